@@ -155,3 +155,17 @@ def shingles(w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         run = w.hash[w.first[d] : w.first[d + 1]]
         out[first[d]] = ngrams(np.concatenate((run, [U64(len(run))])), len(run) + 1)[0]
     return out, first
+
+
+def tight(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, end): the words one space apart, and where each begins and ends in those bytes."""
+    solid = ~SPACE[w.data]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]
+    border = np.concatenate(([0], np.cumsum(keep)))
+    return np.where(solid, w.data, np.uint8(32))[keep], border[w.start], border[w.end]
+
+
+def lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list column from values laid end to end."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))

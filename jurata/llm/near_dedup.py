@@ -58,13 +58,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for d in full:
                     own = np.sort(h[first[d] : first[d + 1]])
                     n[d] = 1 + np.count_nonzero(own[1:] != own[:-1])
-            keep = ~K.SPACE[w.data]
-            keep[1:] |= keep[:-1]
-            tight = w.data[keep]
-            border = np.concatenate(([0], np.cumsum(keep)))
-            begin, stop = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
-            begin[full], stop[full] = border[w.start[w.first[full]]], border[w.end[w.first[full + 1] - 1]]
-            digests = [hashlib.sha256(tight[a:b]).digest()[:16] for a, b in zip(begin, stop, strict=True)]
+            tight, begin, end = K.tight(w)
+            lo, hi = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+            lo[full], hi[full] = begin[w.first[full]], end[w.first[full + 1] - 1]
+            digests = [hashlib.sha256(tight[a:b]).digest()[:16] for a, b in zip(lo, hi, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "words_id", "sig"])
 
 
