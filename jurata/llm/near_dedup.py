@@ -8,9 +8,9 @@
    matches is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= threshold) falls below `miss`. Pairs left
    are confirmed on the full shingle sets of the texts.
 4. Confirmed links are joined into components. Buckets whose other members are still in more than one component are
-   dealt in blocks; signatures of different components are compared inside a block with the same bound, and only
-   survivors leave the task and are confirmed. After that every candidate pair is either linked through its component
-   or has been judged.
+   dealt in blocks; inside a block (or two blocks of one bucket) members of different components are compared with the
+   same bound and confirmed on their full sets, each pair in the first band it shares, and only the links that join
+   components leave the task. After that every candidate pair is either linked through its component or was judged.
 
 Edge cases: a null or wordless text has no shingles and is linked with nothing; a null doc_id takes part only as a copy;
 rows repeated under one doc_id count as one document and all of them are reported; other columns are not read.
@@ -36,7 +36,7 @@ ROWS, BANDS = 5, 24
 PERMS = ROWS * BANDS
 STEP = 24
 #: Members of a bucket that meet in one block.
-BLOCK = 128
+BLOCK = 256
 
 
 def _permutations() -> np.ndarray:
@@ -84,12 +84,12 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _likely(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
-    """Which rows of two signature matrices survive the sequential comparison."""
+def _likely(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Which pairs of rows a, b of sig survive the sequential comparison."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, m in enumerate(least):
-        at = slice(i * STEP, (i + 1) * STEP)
-        matches = matches + np.count_nonzero(a[alive, at] == b[alive, at], axis=1)
+        step = np.ascontiguousarray(sig[:, i * STEP : (i + 1) * STEP])
+        matches = matches + np.count_nonzero(step[a[alive]] == step[b[alive]], axis=1)
         alive, matches = alive[matches >= m], matches[matches >= m]
     return alive
 
@@ -102,28 +102,47 @@ def _prune(least: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                left = pa.array(_likely(_matrix(x.column("sig_a")), _matrix(x.column("sig_b")), least))
+                n = x.num_rows
+                left = pa.array(_likely(np.concatenate((_matrix(x.column("sig_a")), _matrix(x.column("sig_b")))), np.arange(n), np.arange(n, 2 * n), least))
                 yield pa.RecordBatch.from_arrays([x.column("a").take(left), x.column("b").take(left)], ["a", "b"])
 
     return run
 
 
-def _prune_blocks(least: tuple[int, ...]):
-    """Pairs of one bucket's block (or of two blocks of it) whose components differ and whose signatures may pass."""
+def _link_blocks(least: tuple[int, ...], percent: int):
+    """Links between different components of one bucket's block (or of two blocks of it), as few as join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i, j, members in zip(x.column("i").to_pylist(), x.column("j").to_pylist(), x.column("members").to_pylist(), strict=True):
+            for band, i, j, members in zip(x.column("band").to_pylist(), x.column("i").to_pylist(), x.column("j").to_pylist(), x.column("members").to_pylist(), strict=True):
                 sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, PERMS)
                 own, comp, block = (np.array([m[k] for m in members]) for k in ("rep", "component", "block"))
-                left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
+                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 a, b = np.repeat(left, len(right)), np.tile(right, len(left))
                 apart = np.flatnonzero((comp[a] != comp[b]) & ((i != j) | (own[a] < own[b])))
-                if len(apart):
-                    a, b = a[apart], b[apart]
-                    ok = _likely(sig[a], sig[b], least)
-                    lo, hi = np.minimum(own[a[ok]], own[b[ok]]), np.maximum(own[a[ok]], own[b[ok]])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                a, b = a[apart], b[apart]
+                ok = _likely(sig, a, b, least)
+                a, b = a[ok], b[ok]
+                # A pair is judged in the first band that it shares.
+                mine = np.flatnonzero((sig[a].reshape(-1, BANDS, ROWS) == sig[b].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band)
+                top, sets, found = {c: c for c in comp.tolist()}, {}, []
+
+                def root(c, top=top):
+                    while top[c] != c:
+                        c = top[c] = top[top[c]]
+                    return c
+
+                for k, m in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
+                    one, two = root(int(comp[k])), root(int(comp[m]))
+                    if one != two:
+                        for e in (k, m):
+                            if e not in sets:
+                                sets[e] = _set(members[e]["text"])
+                        both = len(sets[k] & sets[m])
+                        if 100 * both >= percent * (len(sets[k]) + len(sets[m]) - both):
+                            top[one] = two
+                            found.append((min(own[k], own[m]), max(own[k], own[m])))
+                yield pa.RecordBatch.from_arrays([pa.array([f[e] for f in found], pa.int64()) for e in (0, 1)], ["a", "b"])
 
     return run
 
@@ -161,8 +180,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> D
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = full.groupBy("words_id").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("words_id", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"))
     reps = written(first, "reps")
-    bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 2 * ROWS + 1, 2 * ROWS)) for i in range(BANDS)])).alias("bucket"))
+    bands = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 2 * ROWS + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "bucket"))
     pivots = bands.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").drop("last")
+    pivots = written(pivots, "pivots")  # an exchange on both sides of the join lets adaptive execution split a hot bucket
     hits = written(bands.join(pivots, "bucket").where("rep <> pivot"), "hits")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -183,16 +203,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> D
     placed = hits.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = written(placed, "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    dealt = placed.join(open_, "bucket").join(reps.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = placed.join(written(open_, "open"), "bucket").join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = dealt.groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig")).alias("members"))
-    more = blocks.select("i", "j", "members").mapInArrow(_prune_blocks(least), "a long, b long").distinct()
-    found = written(confirmed(written(more, "likely")), "links")
+    blocks = dealt.groupBy("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig", "text")).alias("members"))
+    found = written(blocks.select("band", "i", "j", "members").mapInArrow(_link_blocks(least, percent), "a long, b long"), "links")
     if not found.isEmpty():
         labels = components(links.union(found)).withColumnRenamed("node", "rep")
 
     classes = reps.select("words_id", "rep").join(labels, "rep", "left").select("words_id", F.coalesce("component", "rep").alias("of"))
-    out = signed.select("doc_id", "n_shingles", "words_id").join(classes, "words_id", "left")
+    out = signed.select("doc_id", "n_shingles", "words_id").join(written(classes, "classes"), "words_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
