@@ -142,19 +142,20 @@ def repeated_spans(paths: DataFrame, docs: DataFrame, width: int) -> tuple[DataF
     rows = paths.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("anchor", "body", "start", "size")).alias("p")).select("doc_id", "p.*")
     group = rows.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("body").alias("lo"), F.max("body").alias("hi"))
     group = group.where("source < last").select("anchor", "source", (F.col("lo") != F.col("hi")).alias("branches"))
-    shared = written(rows.join(group, "anchor"), "paths")
+    # Aggregates are written before they are joined: with an exchange on both sides adaptive execution can split a hot key.
+    shared = written(rows.join(written(group, "anchors"), "anchor"), "paths")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = written(texts.dropDuplicates(["doc_id"]), "texts")
 
     def with_source(found: DataFrame, key: str) -> DataFrame:
         """doc_id, start, size, source, source_start of what starts in a smaller document too."""
         place = found.where("doc_id = source").groupBy(key).agg(F.min("start").alias("source_start"))
-        return found.where("doc_id > source").join(place, key).select("doc_id", "start", "size", "source", "source_start")
+        return found.where("doc_id > source").join(written(place, "sources"), key).select("doc_id", "start", "size", "source", "source_start")
 
     split = shared.where("branches").groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("size").alias("size"))
     edges = written(texts.join(split, "doc_id").select("doc_id", "text", "start", "size").mapInArrow(_edges(width), "edge long, doc_id long, start int"), "edges")
     first = edges.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    found = with_source(shared.where("not branches"), "anchor").union(with_source(edges.join(first, "edge").withColumn("size", F.lit(1)), "edge"))
+    found = with_source(shared.where("not branches"), "anchor").union(with_source(written(edges.join(written(first, "first"), "edge"), "repeated").withColumn("size", F.lit(1)), "edge"))
 
     apart = F.col("start") - F.col("source_start")
     walk = W.partitionBy("doc_id", "source", "apart").orderBy("start")
