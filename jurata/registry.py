@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of session and table folder) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("jurata.plans.record_queries",)
 
 
 def _gather(name: str) -> dict:
