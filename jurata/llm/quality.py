@@ -149,7 +149,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """Cyclic boosting of feature tables, then of pair tables."""
     rate = float(y.mean()) if len(y) else 0.5
     n = x.shape[1]
-    if not 0 < rate < 1:
+    if not (len(y) and 0 < rate < 1):
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         return Model(float(np.log(rate / (1 - rate))), [np.zeros(0, np.float32)] * n, [np.zeros(1)] * n, [np.zeros(0, np.float32)] * n, {})
     base = float(np.log(rate / (1 - rate)))
