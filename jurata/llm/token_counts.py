@@ -52,22 +52,19 @@ class Merger:
 
     def count(self, token: str) -> int:
         """Tokens that a pre-token becomes."""
-        parts, rank = self.spelled(token), self.rank
-        if len(parts) > 48:
+        parts, rank = self.spelled(token), self.rank.get
+        if len(parts) > 128:
             return self._count_long(parts)
-        while len(parts) > 1:
-            best, at = min([(rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))])
-            if best == 1 << 60:
-                break
-            pair, i, out = (parts[at], parts[at + 1]), 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        none = 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:  # the leftmost of the best pairs, then its two neighbours anew
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return len(parts)
 
     def _count_long(self, parts: list[str]) -> int:
