@@ -143,3 +143,22 @@ def test_paging_errors(spark):
             R.page(df, ["id"], **kw)
     with pytest.raises(ValueError):
         R.records_page(df, status="nope")
+
+
+def test_digests(spark):
+    import hashlib
+    import json
+
+    from jurata.functions import digest as D
+
+    texts = ['{"b": 1, "a": "中"}', "no", None]
+    got = values(spark, texts, D.canonical_json(F.col("t")).alias("c"), D.result_digest(F.col("t")).alias("d"))
+    want = json.dumps({"a": "中", "b": 1}, ensure_ascii=False, sort_keys=True)
+    assert [r.c for r in got] == [want, None, None] and got[0].d == hashlib.sha256(want.encode()).hexdigest()
+    df = records(spark, [("1", 2, {"ref2": "x"})]).select(D.refs_json(F.col("refs")).alias("j")).select("j", D.refs_of(F.col("j")).alias("r"))
+    r = df.first()
+    assert list(json.loads(r.j)) == list(REFS) and r.r.ref2 == "x" and r.r.ref1 is None
+    assert D.below("/out", "a/b.xlsx") == "/out/a/b.xlsx"
+    for bad in ("../x", "/x", "a/../../x"):
+        with pytest.raises(ValueError):
+            D.below("/out", bad)
