@@ -125,10 +125,11 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo, hi = w.first[d], w.first[d + 1]
                 gone = np.zeros(hi - lo + 1, np.int64)
                 for span in spans:
-                    i, n = lo + span["start"], span["length"]
-                    if hashlib.blake2b(data[begin[i] : end[i + n - 1]], digest_size=16).digest() == span["digest"]:
-                        gone[span["start"]] += 1
-                        gone[span["start"] + n] -= 1
+                    n = span["length"]
+                    for at in span["starts"]:
+                        if hashlib.blake2b(data[begin[lo + at] : end[lo + at + n - 1]], digest_size=16).digest() == span["digest"]:
+                            gone[at] += 1
+                            gone[at + n] -= 1
                 stays = np.cumsum(gone)[:-1] == 0
                 removed.append(int(hi - lo - stays.sum()))
                 edge = np.diff(np.concatenate(([0], stays.astype(np.int8), [0])))
@@ -138,7 +139,7 @@ def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(paths: DataFrame, docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts): spans (doc_id, start, length, digest) whose words start a window in a smaller document too, and the texts (doc_id, text) of all documents that share an anchor."""
+    """(spans, texts): spans (doc_id, starts, length, digest) whose words start a window in a smaller document too, and the texts (doc_id, text) of all documents that share an anchor."""
     rows = paths.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("anchor", "body", "start", "size")).alias("p")).select("doc_id", "p.*")
     group = rows.groupBy("anchor").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min("body").alias("lo"), F.max("body").alias("hi"))
     group = group.where("source < last").select("anchor", "source", (F.col("lo") != F.col("hi")).alias("branches"))
@@ -162,11 +163,13 @@ def repeated_spans(paths: DataFrame, docs: DataFrame, width: int) -> tuple[DataF
     found = found.withColumn("apart", apart).withColumn("fresh", F.when(F.col("start") > F.max(F.col("start") + F.col("size")).over(walk.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0))
     found = found.withColumn("span", F.sum("fresh").over(walk.rowsBetween(W.unboundedPreceding, 0)))
     spans = found.groupBy("doc_id", "source", "apart", "span").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("size")) - F.min("start") + F.lit(width - 1)).cast("int").alias("length"))
-    spans = written(spans.select("doc_id", "start", "length", "source", (F.col("start") - F.col("apart")).cast("int").alias("source_start")), "spans")
+    spans = spans.select("doc_id", "start", "length", "source", (F.col("start") - F.col("apart")).cast("int").alias("source_start"))
+    # A line that a document repeats many times has one source place: one row, with all its places.
+    spans = written(spans.groupBy("doc_id", "source", "source_start", "length").agg(F.collect_list("start").alias("starts")), "spans")
     places = spans.select(F.col("source").alias("doc_id"), F.col("source_start").alias("start"), "length").distinct()
     places = places.groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("length").alias("length"))
     digests = texts.join(places, "doc_id").select("doc_id", "text", "start", "length").mapInArrow(_digests, "source long, source_start int, length int, digest binary")
-    return spans.join(digests, ["source", "source_start", "length"]).select("doc_id", "start", "length", "digest"), texts
+    return spans.join(digests, ["source", "source_start", "length"]).select("doc_id", "starts", "length", "digest"), texts
 
 
 def _analysed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +178,7 @@ def _analysed(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_paths(width), "doc_id long, n_words long, sha256 string, anchor array<long>, body array<long>, start array<int>, size array<int>")
     paths = written(paths, "walks")
     spans, texts = repeated_spans(paths, docs, width)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "digest")).alias("spans"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "length", "digest")).alias("spans"))
     trimmed = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_trimmed, "doc_id long, n_removed long, kept_text string")
     return paths.select("doc_id", "n_words", "sha256"), trimmed
 
