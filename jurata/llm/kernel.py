@@ -12,7 +12,7 @@ U64 = np.uint64
 #: Bytes hashed at a time; pieces are cut at white space, so a word is never split.
 PIECE = 1 << 18
 #: Bytes of text worked on at a time (a longer single text is a chunk by itself).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._store import bound_batches, table
 
 #: Pre-tokens whose counts a worker keeps besides the whole ones.
-KEPT = 400_000
+KEPT = 150_000
 
 
 def byte_letters() -> list[str]:
