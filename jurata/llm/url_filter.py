@@ -7,7 +7,8 @@ entry decides ('allow' if there is none). Only DataFrame functions are used.
 
 Entries of one domain and time: the action that sorts last counts ('drop' over 'block' over 'allow'). Entries without
 domain, time or action are ignored. A null or hostless URL, or a null fetch time, has no active entry and is allowed.
-Repeated captures are reported row by row; an empty list allows everything. The join is by domain: a host with a third
+Repeated captures are reported row by row; an empty list allows everything; columns of captures that are named like a
+result column are replaced by it. The join is by domain: a host with a third
 of all captures is a skewed key of the capture side only, which adaptive execution splits, and at most one interval of
 a domain is active at a time, so a capture makes at most one row per label of its host.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import table, written
 
 #: Host of a URL: after the scheme and any user part, to the port, path, query or fragment.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
@@ -45,9 +46,10 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched and others) with host, matched_domain, active_since and verdict."""
-    names = captures.columns
+    names = [c for c in captures.columns if c not in ("host", "matched_domain", "active_since", "verdict")]
     rows = captures.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", host_of(F.col("url")))
     listed = validity(entries).select(F.col("domain").alias("_domain"), F.col("action").alias("_action"), F.col("since").alias("_since"), F.col("until").alias("_until"))
+    listed = written(listed, "validity")  # an exchange on both sides of the join lets adaptive execution split a hot host
     asked = rows.withColumn("_domain", F.explode_outer(F.when(F.col("_host").isNotNull(), domains_of(F.col("_host")))))
     active = (asked["_domain"] == listed["_domain"]) & (F.col("fetched") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("fetched") < F.col("_until")))
     met = asked.join(listed, active, "left").select(*names, "_row", "_host", asked["_domain"].alias("_domain"), "_action", "_since")

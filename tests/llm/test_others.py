@@ -43,8 +43,8 @@ def test_url_filter(spark):
     entries += [(None, day(1), "block"), ("x.org", None, "block"), ("x.org", day(2), None)]
     urls = ["http://example.com/x", "https://u:p@B.a.Example.com:80/?q=@", "ftp://z.x.org#f", "no url", None, "http://10.0.0.1", "http://other.net/", "http:///path"]
     hosts = ["example.com", "b.a.example.com", "z.x.org", None, None, "10.0.0.1", "other.net", None]
-    captures = [(i, urls[i % 8], None if i % 50 == 7 else day(rng.randrange(110)) + timedelta(hours=i % 24), "clash") for i in range(160)]
-    df = spark.createDataFrame(captures, "page_id long, url string, fetched timestamp, action string").repartition(3)
+    captures = [(i, urls[i % 8], None if i % 50 == 7 else day(rng.randrange(110)) + timedelta(hours=i % 24), "clash", "clash") for i in range(160)]
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched timestamp, action string, host string").repartition(3)
     table = spark.createDataFrame(entries, "domain string, since timestamp, action string")
     got = {r.page_id: r for r in url_filter.judged(df, table).collect()}
     assert len(got) == 160
@@ -53,7 +53,7 @@ def test_url_filter(spark):
         if dom and t and act:
             key = (dom.lower(), t)
             log[key] = max(log.get(key, ""), act)
-    for i, _, t, _ in captures:
+    for i, _, t, *_ in captures:
         host, want = hosts[i % 8], (None, None, "allow")
         parts = host.split(".") if host else []
         for k in range(len(parts)):
