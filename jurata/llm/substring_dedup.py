@@ -5,10 +5,11 @@ An edge of the graph is a window of `width` consecutive words; a document is a w
 1. Local paths. Consecutive edges of a walk that share their smallest k-mer (the anchor) form one path, so that equal
    edges always lie in paths of one anchor, and a path stands for about (width - k) / 2 edges.
 2. Repeated paths. Anchors are grouped (partially aggregated); those of a single document go. If all paths of an anchor
-   are equal the path doesn't branch and stays whole; else the walks part inside it and it is split into its edges,
-   which are grouped by themselves.
-3. Compaction. Joins attach the source (the smallest document and the place in it); neighbouring paths and edges with
-   one source document at one distance are merged into spans.
+   are equal the path doesn't branch and stays whole; else the walks part inside it, and each distinct path, whatever
+   number of documents follow it, is split once into its edges, which are grouped by themselves.
+3. Compaction. Joins attach the source (the smallest document and the place in it); neighbouring edges of a path become
+   runs, the documents of the path get its runs by a join, and neighbouring paths and runs with one source document at
+   one distance are merged into spans.
 4. Verification. Each span carries the digest of the words at its source; the words at its own place must have the
    same digest, else the span is left alone.
 
@@ -82,20 +83,21 @@ def _paths(width: int):
 
 
 def _edges(width: int):
-    """Hash and place of every edge of the listed paths."""
+    """Hash and place of every edge of the listed paths: a row of a document has parallel lists of body, last, start and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
                 w = K.words(part.column("text"))
                 grams = K.ngrams(w.hash, width)
-                start, size = part.column("start"), part.column("size")
-                rows = np.repeat(np.arange(part.num_rows), start.value_lengths().to_numpy(zero_copy_only=False))
-                start, size = start.flatten().to_numpy().astype(np.int64), size.flatten().to_numpy().astype(np.int64)
-                row = np.repeat(rows, size)
-                place = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                owner = np.repeat(np.arange(part.num_rows), part.column("start").value_lengths().to_numpy(zero_copy_only=False))
+                body, last, start, size = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("body", "last", "start", "size"))
+                path = np.repeat(np.arange(len(size)), size)
+                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                row, place = owner[path], start[path] + inside
                 ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(grams[w.first[row] + place].view(np.int64)), pa.array(ids[row]), pa.array(place, pa.int32())], ["edge", "doc_id", "start"])
+                columns = (grams[w.first[row] + place].view(np.int64), body[path], inside.astype(np.int32), ids[row], place.astype(np.int32), last[path])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["edge", "body", "inside", "doc_id", "start", "last"])
 
     return run
 
@@ -148,15 +150,23 @@ def repeated_spans(paths: DataFrame, docs: DataFrame, width: int) -> tuple[DataF
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
     texts = written(texts.dropDuplicates(["doc_id"]), "texts")
 
-    def with_source(found: DataFrame, key: str) -> DataFrame:
-        """doc_id, start, size, source, source_start of what starts in a smaller document too."""
-        place = found.where("doc_id = source").groupBy(key).agg(F.min("start").alias("source_start"))
-        return found.where("doc_id > source").join(written(place, "sources"), key).select("doc_id", "start", "size", "source", "source_start")
-
-    split = shared.where("branches").groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("size").alias("size"))
-    edges = written(texts.join(split, "doc_id").select("doc_id", "text", "start", "size").mapInArrow(_edges(width), "edge long, doc_id long, start int"), "edges")
-    first = edges.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    found = with_source(shared.where("not branches"), "anchor").union(with_source(written(edges.join(written(first, "first"), "edge"), "repeated").withColumn("size", F.lit(1)), "edge"))
+    # Paths that don't branch: one source place for each anchor.
+    whole = shared.where("not branches")
+    place = whole.where("doc_id = source").groupBy("anchor").agg(F.min("start").alias("source_start"))
+    found = whole.where("doc_id > source").join(written(place, "sources"), "anchor").select("doc_id", "start", "size", "source", "source_start")
+
+    # Branching ones: each distinct path once, at its first place, is split into edges; equal edges have one source place.
+    bodies = shared.where("branches").groupBy("body").agg(F.min(F.struct("doc_id", "start", "size")).alias("at"), F.max("doc_id").alias("last"))
+    split = bodies.groupBy("at.doc_id").agg(*[F.collect_list(c).alias(n) for c, n in (("body", "body"), ("last", "last"), ("at.start", "start"), ("at.size", "size"))])
+    edges = written(texts.join(split, "doc_id").select("doc_id", "text", "body", "last", "start", "size").mapInArrow(_edges(width), "edge long, body long, inside int, doc_id long, start int, last long"), "edges")
+    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("last").alias("last")).where("at.doc_id < last").select("edge", F.col("at.doc_id").alias("source"), F.col("at.start").alias("source_start"))
+    # Neighbouring edges of a path with one source and distance are one run again, before the documents of the path are joined.
+    met = edges.select("edge", "body", "inside").join(written(first, "first"), "edge").withColumn("apart", F.col("source_start") - F.col("inside"))
+    rank = F.row_number().over(W.partitionBy("body", "source", "apart").orderBy("inside"))
+    runs = met.withColumn("run", F.col("inside") - rank).groupBy("body", "source", "apart", "run").agg(F.min("inside").alias("inside"), F.count("*").cast("int").alias("n"))
+    runs = written(runs.select("body", F.col("source").alias("from"), "apart", "inside", "n"), "runs")
+    branching = shared.where("branches").select("doc_id", "body", "start").join(runs, "body").where("doc_id > from")
+    found = found.union(branching.select("doc_id", (F.col("start") + F.col("inside")).alias("start"), F.col("n").alias("size"), F.col("from").alias("source"), (F.col("apart") + F.col("inside")).alias("source_start")))
 
     apart = F.col("start") - F.col("source_start")
     walk = W.partitionBy("doc_id", "source", "apart").orderBy("start")
