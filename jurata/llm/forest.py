@@ -7,13 +7,16 @@ All rows are indexed where they are, a segment at a time; queries go to the task
 each segment are merged by rank.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the
-query's. Equal vectors of a segment are indexed once and stand for their smallest ids. Ties go to the smaller id; a
-query's own id is no candidate; with fewer candidates than asked all found are returned; extra columns aren't read.
+query's. Equal vectors of a segment are indexed once and stand for their smallest distinct ids. A neighbour is an id, so
+repeated rows count once, before any cut; an id with several vectors counts at the least distance between its vectors and
+the query's. Ties go to the smaller id; a query's own id is no candidate; with fewer candidates than asked all found are
+returned; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +53,13 @@ class Segment:
     """Sorted arrays of hash strings over some vectors."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, planes: np.ndarray, k: int):
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
         self.x, of = np.unique(x, axis=0, return_inverse=True)
-        order = np.argsort(of.ravel(), kind="stable")
-        first = np.searchsorted(of.ravel()[order], np.arange(len(self.x) + 1))
-        self.ids = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(first, first[1:], strict=False)]  # k besides the query itself
+        order = np.lexsort((ids, of.ravel()))
+        ids, of = ids[order], of.ravel()[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1]))  # repeated rows count once
+        ids, of = ids[new], of[new]
+        first = np.searchsorted(of, np.arange(len(self.x) + 1))
+        self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(first, first[1:], strict=False)]  # k besides the query itself
         self.norm = (self.x**2).sum(1)
         strings = _strings(self.x, planes)
         self.order = np.argsort(strings, axis=1)
@@ -73,17 +77,29 @@ class Segment:
         held = (high - low).sum(1)
         level = np.maximum((held >= enough).sum(0) - 1, 0)  # deepest level with enough; level 0 holds everything
         for i, (own, v) in enumerate(zip(ids.tolist(), q, strict=True)):
-            a, b = low[level[i], :, i], high[level[i], :, i]
-            seen = np.zeros(len(self.x), bool)
-            for t in range(TREES):
-                seen[self.order[t, a[t] : b[t]]] = True
-            found = np.flatnonzero(seen)
-            rough = self.norm[found] - 2 * (self.x[found] @ v)
-            if len(found) > 4 * k + 8:
-                found = found[np.argpartition(rough, 4 * k + 7)[: 4 * k + 8]]
-            exact = np.sqrt(((self.x[found] - v) ** 2).sum(1))
-            best = sorted((float(d), int(j)) for d, c in zip(exact, found, strict=True) for j in self.ids[c] if j != own)
-            yield from ((own, j, d) for d, j in best[:k])
+            best: dict[int, float] = {}
+            for at in range(level[i], -1, -1):  # higher than that only while the vectors found hold fewer than k ids
+                seen = np.zeros(len(self.x), bool)
+                for t in range(TREES):
+                    seen[self.order[t, low[at, t, i] : high[at, t, i]]] = True
+                found = np.flatnonzero(seen)
+                if len(best := self._best(found, own, v, k)) >= k:
+                    break
+            yield from ((own, j, d) for j, d in islice(best.items(), k))
+
+    def _best(self, found: np.ndarray, own: int, v: np.ndarray, k: int) -> dict[int, float]:
+        """The ids other than `own` of the nearest vectors found, nearest first: k or more, or all."""
+        rough = self.norm[found] - 2 * (self.x[found] @ v)
+        near = 4 * k + 8
+        while True:
+            some = found if len(found) <= near else found[np.argpartition(rough, near - 1)[:near]]
+            exact = np.sqrt(((self.x[some] - v) ** 2).sum(1))
+            best: dict[int, float] = {}
+            for d, j in sorted((float(d), int(j)) for d, c in zip(exact, some, strict=True) for j in self.ids[c] if j != own):
+                best.setdefault(j, d)
+            if len(best) >= k or len(some) == len(found):
+                return best
+            near *= 4
 
 
 def _search(queries, k: int):
@@ -130,7 +146,8 @@ def nearest(rows: DataFrame, asked: F.Column, k: int = 10) -> DataFrame:
                 sent = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["v"] for r in block], float)))
                 out = out.union(good.where(F.size("v") == dim).select("id", "v").mapInArrow(_search(sent, k), "query_id long, vec_id long, score double"))
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,31 @@ def test_few_candidates(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 5.0)]
 
 
+def test_repeated_vectors(spark, monkeypatch):
+    """Repeated rows take no neighbour's place: every row twice, one row many times, an id with several vectors."""
+    import numpy as np
+
+    monkeypatch.setattr(forest, "SEGMENT", 60)
+    rng = random.Random(8)
+    once = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    once += [(i, once[7][1]) for i in range(80, 95)] + [(50, [x + 0.01 * n for x in once[0][1]]) for n in range(1, 70)]
+    rows = once * 2 + [once[7]] * 40 + [once[0]] * 30
+    want = {}
+    for q in (0, 7):
+        least = {}
+        for i, v in once:
+            if i != q:
+                d = float(np.sqrt(((np.array(v) - np.array(once[q][1])) ** 2).sum()))
+                least[i] = min(d, least.get(i, d))
+        want[q] = [i for _, i in sorted((d, i) for i, d in least.items())[:10]]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = {}
+        for r in forest.nearest(df, df["vec_id"].isin(0, 7)).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against brute force on its own input."""
     import corpus_pipeline as C
