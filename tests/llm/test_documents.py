@@ -237,6 +237,19 @@ def test_pieces(spark, docs):
     assert all(list(r.ids) == pieces.merged(r.unit) for r in sentencepieces.unit_ids(table, pieces).collect())
 
 
+def test_pieces_decoded(spark, monkeypatch):
+    """Every document's ids are decoded and compared with its text."""
+    pieces = sentencepieces.Pieces.load(P.path("piece_bpe_32k.model"))
+    texts = ["a▁b", "a b", " a", "▁a", "", None, "日本語👩 x"]
+    got = sentencepieces.encoded(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), pieces)
+    back = {r.doc_id: r.text for r in sentencepieces.decoded(got, pieces).collect()}
+    assert all(r.round_trip and r.exact == (back[r.doc_id] == (texts[r.doc_id] or "")) == (r.doc_id not in (0, 3)) for r in got.collect())
+    read = sentencepieces._read
+    monkeypatch.setattr(sentencepieces, "_read", lambda ids, spelled: read(ids[:-1], spelled))  # a last piece is lost
+    got = sentencepieces.encoded(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), pieces)
+    assert [r.doc_id for r in got.collect() if r.round_trip or r.exact] == [4, 5]
+
+
 def test_viterbi(spark):
     """A unigram model: the best-scored path, against all paths."""
     rows = ((3, "▁", -2.0), (4, "a", -3.0), (5, "b", -3.5), (6, "ab", -4.0), (7, "▁a", -4.5), (8, "ba", -3.9), (9, "aba", -9.0))
