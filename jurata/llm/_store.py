@@ -1,11 +1,17 @@
-"""Where intermediate tables of the operators go, and the Arrow batch bound they rely on."""
+"""Where intermediate tables of the operators go, and the Arrow batch bound they rely on.
+
+Tables that an operator writes are read by the DataFrame it returns, so they are left in the shared folder. Who writes
+that DataFrame at once (settled() does) can have them deleted.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest Arrow batch handed to Python, so that very long texts never meet in one batch.
 BATCH_BYTES = 4 << 20
@@ -17,21 +23,56 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a fresh local one."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a fresh local one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="jurata-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parted(rows: DataFrame, keys: list[str], per: int) -> DataFrame:
+    """rows with a column `part`: the rows of a key are dealt by hash to parts of about `per` rows, so that a group of (keys, part) stays small."""
+    sizes = written(rows.groupBy(*keys).agg(F.ceil(F.count("*") / per).cast("long").alias("parts")), "parts")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("parts"))).drop("parts")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of its own in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/jurata/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables written so far, oldest first.
+_paths: list[str] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of make(); the tables written on the way to it are deleted."""
+    before = len(_paths)
+    out = written(make(), name)
+    spark, spent = out.sparkSession, _paths[before:-1]
+    del _paths[before:-1]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in spent:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
