@@ -8,12 +8,15 @@
    matches is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= threshold) falls below `miss`. Pairs left
    are confirmed on the full shingle sets of the texts.
 4. Confirmed links are joined into components. Buckets whose other members are still in more than one component are
-   dealt in blocks; inside a block (or two blocks of one bucket) members of different components are compared with the
-   same bound and confirmed on their full sets, each pair in the first band it shares, and only the links that join
-   components leave the task. After that every candidate pair is either linked through its component or was judged.
+   dealt in blocks of ids and signatures (no texts); inside a block (or two blocks of one bucket) members of different
+   components are compared with the same bound, each pair in the first band it shares. First only as many pairs as would
+   join the block's components leave the task, the likeliest first, and are confirmed on their full sets; if any of them
+   isn't confirmed, all other pairs that are still between components follow. After that every candidate pair is either
+   linked through its component or was judged.
 
 Edge cases: a null or wordless text has no shingles and is linked with nothing; a null doc_id takes part only as a copy;
-rows repeated under one doc_id count as one document and all of them are reported; other columns are not read.
+rows repeated under one doc_id count as one document, which is linked with whatever one of its texts is linked with, and
+all of them are reported; other columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ ROWS, BANDS = 5, 24
 PERMS = ROWS * BANDS
 STEP = 24
 #: Members of a bucket that meet in one block.
-BLOCK = 256
+BLOCK = 512
 
 
 def _permutations() -> np.ndarray:
@@ -62,13 +65,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
             lo[full], hi[full] = begin[w.first[full]], end[w.first[full + 1] - 1]
             digests = [hashlib.sha256(tight[a:b]).digest()[:16] for a, b in zip(lo, hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "words_id", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), pa.array(n), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_id", "n_shingles", "words_id", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, words_id, sig) of every document; words_id is one value for one word sequence."""
+    """(doc_id, text_id, n_shingles, words_id, sig) of every document; words_id is one value for one word sequence."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, words_id binary, sig binary")
+    return _texts(docs).mapInArrow(_sign, "doc_id long, text_id long, n_shingles long, words_id binary, sig binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
 
 
 @lru_cache
@@ -84,14 +91,14 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _likely(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
-    """Which pairs of rows a, b of sig survive the sequential comparison."""
+def _likely(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows a, b of sig survive the sequential comparison, and their matches."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, m in enumerate(least):
         step = np.ascontiguousarray(sig[:, i * STEP : (i + 1) * STEP])
         matches = matches + np.count_nonzero(step[a[alive]] == step[b[alive]], axis=1)
         alive, matches = alive[matches >= m], matches[matches >= m]
-    return alive
+    return alive, matches
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,50 +110,56 @@ def _prune(least: tuple[int, ...]):
         for x in batches:
             if x.num_rows:
                 n = x.num_rows
-                left = pa.array(_likely(np.concatenate((_matrix(x.column("sig_a")), _matrix(x.column("sig_b")))), np.arange(n), np.arange(n, 2 * n), least))
+                left = pa.array(_likely(np.concatenate((_matrix(x.column("sig_a")), _matrix(x.column("sig_b")))), np.arange(n), np.arange(n, 2 * n), least)[0])
                 yield pa.RecordBatch.from_arrays([x.column("a").take(left), x.column("b").take(left)], ["a", "b"])
 
     return run
 
 
-def _link_blocks(least: tuple[int, ...], percent: int):
-    """Links between different components of one bucket's block (or of two blocks of it), as few as join them."""
+def _block_pairs(least: tuple[int, ...], every: bool):
+    """Likely pairs between different components of one bucket's block (or of two blocks of it): all, or as few as would join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for band, i, j, members in zip(x.column("band").to_pylist(), x.column("i").to_pylist(), x.column("j").to_pylist(), x.column("members").to_pylist(), strict=True):
+            found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+            for band, i, j, members in zip(*(x.column(c).to_pylist() for c in ("band", "i", "j", "members")), strict=True):
                 sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, PERMS)
                 own, comp, block = (np.array([m[k] for m in members]) for k in ("rep", "component", "block"))
                 left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 a, b = np.repeat(left, len(right)), np.tile(right, len(left))
                 apart = np.flatnonzero((comp[a] != comp[b]) & ((i != j) | (own[a] < own[b])))
                 a, b = a[apart], b[apart]
-                ok = _likely(sig, a, b, least)
+                ok, matches = _likely(sig, a, b, least)
                 a, b = a[ok], b[ok]
                 # A pair is judged in the first band that it shares.
                 mine = np.flatnonzero((sig[a].reshape(-1, BANDS, ROWS) == sig[b].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band)
-                top, sets, found = {c: c for c in comp.tolist()}, {}, []
-
-                def root(c, top=top):
-                    while top[c] != c:
-                        c = top[c] = top[top[c]]
-                    return c
-
-                for k, m in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
-                    one, two = root(int(comp[k])), root(int(comp[m]))
-                    if one != two:
-                        for e in (k, m):
-                            if e not in sets:
-                                sets[e] = _set(members[e]["text"])
-                        both = len(sets[k] & sets[m])
-                        if 100 * both >= percent * (len(sets[k]) + len(sets[m]) - both):
-                            top[one] = two
-                            found.append((min(own[k], own[m]), max(own[k], own[m])))
-                yield pa.RecordBatch.from_arrays([pa.array([f[e] for f in found], pa.int64()) for e in (0, 1)], ["a", "b"])
+                if not every:
+                    mine = _joining(comp, a, b, mine[np.argsort(-matches[mine], kind="stable")])
+                one, two = own[a[mine]], own[b[mine]]
+                found.append(np.stack((np.minimum(one, two), np.maximum(one, two))))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["a", "b"])
 
     return run
 
 
+def _joining(comp: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The pairs that join components not yet joined by the ones before them."""
+    top = {c: c for c in comp.tolist()}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            c = top[c] = top[top[c]]
+        return c
+
+    out = []
+    for p, k, m in zip(order.tolist(), comp[a[order]].tolist(), comp[b[order]].tolist(), strict=True):
+        one, two = root(k), root(m)
+        if one != two:
+            top[one] = two
+            out.append(p)
+    return np.array(out, np.int64)
+
+
 def _set(text: str) -> set:
     w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and exactly the six white-space bytes
     return set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
@@ -178,37 +191,48 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> D
     least = least_matches(percent / 100, miss)
     signed = written(signatures(docs), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy("words_id").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("words_id", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig"))
-    reps = written(first, "reps")
+    first = full.groupBy("words_id").agg(F.min(F.struct("doc_id", "text_id", "sig")).alias("r"))
+    reps = written(first.select("words_id", F.col("r.doc_id").alias("rep"), "r.text_id", "r.sig"), "reps")
     bands = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * 2 * ROWS + 1, 2 * ROWS)) for i in range(BANDS)])).alias("band", "bucket"))
     pivots = bands.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").drop("last")
     pivots = written(pivots, "pivots")  # an exchange on both sides of the join lets adaptive execution split a hot bucket
     hits = written(bands.join(pivots, "bucket").where("rep <> pivot"), "hits")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    taking = hits.select(F.col("rep").alias("id")).union(hits.select("pivot")).distinct()
-    texts = written(texts.join(taking, "id", "left_semi"), "texts")
+    taking = hits.select("rep").union(hits.select("pivot")).distinct().join(reps.select("rep", "text_id"), "rep").select(F.col("rep").alias("doc_id"), "text_id")
+    texts = _texts(docs).join(taking, ["doc_id", "text_id"], "left_semi").dropDuplicates(["doc_id", "text_id"])
+    texts = written(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    sig_a, sig_b = (reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+    def between(labels: DataFrame, every: bool) -> DataFrame:
+        """Likely pairs of the buckets whose members, the pivot aside, are still in several components."""
+        placed = hits.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = written(placed, "placed")
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+        dealt = placed.join(written(open_, "open"), "bucket").join(reps.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        blocks = dealt.groupBy("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig")).alias("members"))
+        return blocks.select("band", "i", "j", "members").mapInArrow(_block_pairs(least, every), "a long, b long").distinct()
 
-    sig_a, sig_b = (reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
     tested = hits.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     likely = tested.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(least), "a long, b long")
-    links = written(confirmed(written(likely, "likely")), "links")
+    own = full.groupBy("doc_id").agg(F.min(F.xxhash64("words_id")).alias("lo"), F.max(F.xxhash64("words_id")).alias("hi")).where("lo < hi").select("doc_id")
+    same = full.select("doc_id", "words_id").join(written(own, "several"), "doc_id", "left_semi").distinct().join(reps.select("words_id", "rep"), "words_id")
+    same = same.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+    links = confirmed(written(likely, "likely")).union(same)
     labels = components(links).withColumnRenamed("node", "rep")
-
-    # Buckets whose members, the pivot aside, are still in several components.
-    placed = hits.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    dealt = placed.join(written(open_, "open"), "bucket").join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = dealt.groupBy("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig", "text")).alias("members"))
-    found = written(blocks.select("band", "i", "j", "members").mapInArrow(_link_blocks(least, percent), "a long, b long"), "links")
+    asked = written(between(labels, every=False), "likely")
+    found = confirmed(asked)
     if not found.isEmpty():
-        labels = components(links.union(found)).withColumnRenamed("node", "rep")
+        links = links.union(found)
+        labels = components(links).withColumnRenamed("node", "rep")
+    if asked.count() > found.count():  # some weren't links, so others that they stood for may be
+        rest = confirmed(written(between(labels, every=True).join(asked, ["a", "b"], "left_anti"), "likely"))
+        if not rest.isEmpty():
+            labels = components(links.union(rest)).withColumnRenamed("node", "rep")
 
     classes = reps.select("words_id", "rep").join(labels, "rep", "left").select("words_id", F.coalesce("component", "rep").alias("of"))
     out = signed.select("doc_id", "n_shingles", "words_id").join(written(classes, "classes"), "words_id", "left")
