@@ -1,21 +1,29 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives a vector a long hash string (signs of random projections); the strings of a segment of SEGMENT rows are
-kept as one sorted array per tree. A query descends in all trees to its longest matching prefixes, then all trees ascend
-together, one bit at a time, until they hold enough candidates between them; the candidates are then measured exactly.
-All rows are indexed where they are, a segment at a time; queries go to the tasks in blocks of bounded size; the best of
-each segment are merged by rank.
+Each tree gives a vector a long hash string (signs of random projections); the strings of a segment of about SEGMENT rows
+are kept as one sorted array per tree. A query descends in all trees to its longest matching prefixes, then all trees
+ascend together, one bit at a time, until they hold enough candidates between them; the candidates are measured exactly.
+
+All rows are indexed. A hash deals the distinct vectors to segments, and every query is sent to every segment; one shuffle
+brings a segment's vectors and, sorted behind them, the queries to a task, which builds the segment's forest once and
+answers the queries batch by batch. The best of each segment are merged by rank. Vectors are read once whatever the number
+of queries, and nothing passes through the driver.
+
+`share` and `least` decide recall: the trees ascend until they hold share * rows of the segment (counted with repeats)
+and at least `least`. On vectors without structure, as the driver's are, recall of 0.9 needs a share this large; where
+near neighbours are clearly nearer than the rest a much smaller one does.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the
 query's. Equal vectors of a segment are indexed once and stand for their smallest distinct ids. A neighbour is an id, so
 repeated rows count once, before any cut; an id with several vectors counts at the least distance between its vectors and
-the query's. Ties go to the smaller id; a query's own id is no candidate; with fewer candidates than asked all found are
-returned; extra columns aren't read.
+the query's. Ties go to the smaller id (no candidate at the distance of the last one is cut unseen); a query's own id is
+no candidate; with fewer candidates than asked all found are returned; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -24,13 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import bound_batches, table
+from ._store import bound_batches, table, written
 
-SEGMENT = 1 << 15
+SEGMENT = 1 << 14
 TREES, DEPTH = 48, 32
-#: Share of a segment that the trees gather (with repeats) before they stop ascending, and the least number.
+#: What `share` and `least` are by default.
 SHARE, LEAST = 0.5, 2000
-QUERY_BYTES = 16 << 20
 
 
 def usable(name: str) -> F.Column:
@@ -39,6 +46,7 @@ def usable(name: str) -> F.Column:
     return F.coalesce(good, F.lit(False))
 
 
+@lru_cache(4)
 def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng([dim, TREES]).standard_normal((dim, TREES * DEPTH)).astype(np.float32)
 
@@ -65,8 +73,8 @@ class Segment:
         self.order = np.argsort(strings, axis=1)
         self.sorted = np.take_along_axis(strings, self.order, 1)
 
-    def search(self, ids: np.ndarray, q: np.ndarray, planes: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        enough = max(LEAST, int(SHARE * len(self.x)))
+    def search(self, ids: np.ndarray, q: np.ndarray, planes: np.ndarray, k: int, enough: float) -> Iterator[tuple[int, int, float]]:
+        """(query, id, distance) of the k nearest of at least `enough` gathered vectors (with repeats)."""
         strings = _strings(q, planes)
         low, high = np.zeros((DEPTH + 1, TREES, len(q)), np.int64), np.zeros((DEPTH + 1, TREES, len(q)), np.int64)
         for bits in range(DEPTH + 1):  # the range of every prefix length in every tree
@@ -90,9 +98,10 @@ class Segment:
     def _best(self, found: np.ndarray, own: int, v: np.ndarray, k: int) -> dict[int, float]:
         """The ids other than `own` of the nearest vectors found, nearest first: k or more, or all."""
         rough = self.norm[found] - 2 * (self.x[found] @ v)
-        near = 4 * k + 8
+        slack = 1e-9 * (self.norm.max() + v @ v)  # far above the error of `rough`, so that no tie is lost to it
+        near = k + 1  # one may be the query itself
         while True:
-            some = found if len(found) <= near else found[np.argpartition(rough, near - 1)[:near]]
+            some = found[rough <= np.partition(rough, near - 1)[near - 1] + slack] if near < len(found) else found
             exact = np.sqrt(((self.x[some] - v) ** 2).sum(1))
             best: dict[int, float] = {}
             for d, j in sorted((float(d), int(j)) for d, c in zip(exact, some, strict=True) for j in self.ids[c] if j != own):
@@ -102,49 +111,44 @@ class Segment:
             near *= 4
 
 
-def _search(queries, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qx = queries.value
-        planes = _planes(qx.shape[1])
+def _search(k: int, share: float, least: int):
+    """Answers of segments: their vectors (kind 0) come before the queries (kind 1)."""
 
-        def answers(ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
-            found = list(Segment(np.concatenate(ids), np.concatenate(rows), planes, k).search(qid, qx, planes, k))
-            columns = zip(*found, strict=True) if found else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-        ids: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows, segment = None, [], [], None
         for b in batches:
-            vectors = b.column("v")
-            fit = vectors.value_lengths().to_numpy(zero_copy_only=False) == qx.shape[1]
-            vectors, own = vectors.filter(pa.array(fit)), b.column("id").filter(pa.array(fit)).to_numpy()
-            if len(own):
-                rows.append(vectors.flatten().to_numpy().reshape(len(own), -1))
-                ids.append(own)
-            if sum(map(len, ids)) >= SEGMENT:
-                yield answers(ids, rows)
-                ids, rows = [], []
-        if ids:
-            yield answers(ids, rows)
+            found: list[tuple[int, int, float]] = []
+            own, marks = b.column("id").to_numpy(), np.stack([b.column(c).to_numpy() for c in ("dim", "part", "kind")], 1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                dim, part, kind = marks[lo].tolist()
+                if (dim, part) != key:
+                    key, ids, rows, segment = (dim, part), [], [], None
+                x = b.column("v").slice(lo, hi - lo).flatten().to_numpy().reshape(-1, dim)
+                if not kind:
+                    ids.append(own[lo:hi].copy())
+                    rows.append(x.copy())
+                elif ids:
+                    if segment is None:
+                        segment = Segment(np.concatenate(ids), np.concatenate(rows), _planes(dim), k)
+                    found += segment.search(own[lo:hi], x, _planes(dim), k, max(least, share * len(segment.x)))
+            columns = zip(*found, strict=True) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(rows: DataFrame, asked: F.Column, k: int = 10) -> DataFrame:
+def nearest(rows: DataFrame, asked: F.Column, k: int = 10, share: float | None = None, least: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of (vec_id, embedding) where `asked` holds, its k nearest others by Euclidean distance."""
-    spark = rows.sparkSession
-    bound_batches(spark)
-    good = rows.where(F.col("vec_id").isNotNull()).where(usable("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), asked.alias("asked"))
-    queries = good.where("asked").select("id", "v").distinct()
-    lengths = queries.groupBy(F.size("v").alias("dim")).count().collect()  # one row per vector length
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for dim, n in sorted(lengths):
-        blocks = -(-n * dim * 8 // QUERY_BYTES)
-        for b in range(blocks):
-            block = queries.where((F.size("v") == dim) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
-            if block:
-                sent = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["v"] for r in block], float)))
-                out = out.union(good.where(F.size("v") == dim).select("id", "v").mapInArrow(_search(sent, k), "query_id long, vec_id long, score double"))
+    bound_batches(rows.sparkSession)
+    good = rows.where(F.col("vec_id").isNotNull()).where(usable("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    good = written(good.groupBy("id", "v").agg(F.bool_or("asked").alias("asked")), "vectors").withColumn("dim", F.size("v"))
+    sizes = written(good.groupBy("dim").agg(F.ceil(F.count("*") / SEGMENT).cast("int").alias("parts")), "segments")  # a row per length
+    dealt = good.join(sizes, "dim").withColumn("v", F.col("v").cast("array<double>"))
+    vectors = dealt.select("dim", F.expr("cast(pmod(xxhash64(id, v), parts) as int)").alias("part"), F.lit(0).alias("kind"), "id", "v")
+    queries = dealt.where("asked").select("dim", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "v")
+    met = vectors.union(queries).repartition("dim", "part").sortWithinPartitions("dim", "part", "kind", "id")
+    out = met.mapInArrow(_search(k, SHARE if share is None else share, LEAST if least is None else least), "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy("score", "vec_id")
     out = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
