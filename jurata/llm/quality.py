@@ -4,10 +4,10 @@ Each feature of a text is cut into at most BINS bins; cyclic boosting fits one s
 adds it to that feature's look-up table, then does the same with two-dimensional tables for the PAIRS pairs that lower
 the loss most. A score is the logistic function of a sum of table entries, so a batch is scored by index additions.
 
-Features come from whole texts only (bytes, words, lines); no label, language, source or id is an input. They are
-computed where the text is, in one pass, and written once (a row of numbers per document). The model is fitted on at
-most `sample` labelled rows in the order of a hash of doc_id (SAMPLE by default), which bounds what the driver gets;
-scoring is a pass over the features without a shuffle.
+Features come from whole texts only (bytes, words, lines); no label, language, source or id is an input. The model is
+fitted on at most `sample` labelled documents (SAMPLE by default), the first by a hash of doc_id; a bound on the hash
+from their number keeps all others from the driver. Scoring computes features and score where the text is, in one pass
+without a shuffle.
 
 Edge cases: a null or empty text has all-zero features and is scored like any other; labels that are null or whose
 doc_id is null are ignored and several labels of one document count by their mean; without labels of both kinds the
@@ -186,13 +186,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.chunks(batch):
             x = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x array<float>): the features of every document, written once."""
-    bound_batches(docs.sparkSession)
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measure, "doc_id long, x array<float>"), "features")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
 
 def held_out() -> F.Column:
@@ -200,30 +194,38 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fitted(x: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of labels (doc_id, quality) from at most `sample` rows that aren't held out."""
-    y = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    rows = x.dropDuplicates(["doc_id"]).join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").collect()
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of labels (doc_id, quality) from at most `sample` documents that aren't held out."""
+    y = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(y, "doc_id"), "labelled")
+    n, place = known.count(), F.xxhash64("doc_id")
+    if n > sample:  # the least hashes that hold `sample` of n: the bound is six deviations above their share
+        known = known.where(place <= int(-(1 << 63) + (sample + 6 * sample**0.5) / n * (1 << 64)) if sample + 6 * sample**0.5 < n else F.lit(True))
+    chosen = written(known.orderBy(place, "doc_id").limit(sample), "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    x = texts.select("doc_id", "y", "text").mapInArrow(_measure, "doc_id long, y double, x array<float>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    rows = x.collect()
     return fit(np.array([r["x"] for r in rows], np.float32).reshape(-1, len(FEATURES)), (np.array([r["y"] for r in rows], float) >= 0.5).astype(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    x = measured(docs)
-    model = docs.sparkSession.sparkContext.broadcast(fitted(x, labels, sample))  # tables of fixed size
+    bound_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = model.value.score(b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+        for batch in batches:
+            for part in K.chunks(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.value.score(features(part.column("text"))))], ["doc_id", "score"])
 
-    out = x.mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """docs whose score is at least `least`; the rows are scored where they are, without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(measured(docs), labels, sample))
+    bound_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
