@@ -7,16 +7,18 @@ document's length. A window and an item that share a minimum under any of PERMS
 passage in one piece the chance of a miss is about 1e-6 at t = 0.8). Items of at most 8 shingles are looked up by all
 their shingles. Candidates are verified by exact containment in the whole document.
 
-The items of one block are sent to all tasks; BLOCK_ITEMS and BLOCK_BYTES bound a block, and a larger benchmark is
-taken in several blocks over the documents.
+The minima of the items are a table (size class, hash function, value). One pass over the documents computes the minima
+of their windows and keeps those whose bit is set in bitmaps of the items' values; the bitmaps are aggregated by the
+cluster and hold MARK_BYTES at most, however many items there are. What is kept is joined to the table, and the candidate
+pairs, one for each different text, are verified with a bounded number of items to a row.
 
 Edge cases: items and texts that are null or have no words match nothing; an item or text under five words is one
-shingle; rows repeated under one id are reported row by row; other columns are passed on or not read.
+shingle; rows repeated under one id and rows without an id are reported row by row; other columns are passed on or not
+read, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,142 +27,166 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from ._store import bound_batches, table
+from ._store import bound_batches, parted, table, unused, written
 from .near_dedup import _set
 
 PERMS = 64
 SMALL = 8
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20
-_TABLE_BITS = 18
+#: Bytes of all bitmaps together, and what one piece of them holds.
+MARK_BYTES, PIECE_BITS = 16 << 20, 1 << 15
+#: Items that are verified in one row with a text.
+BLOCK_ITEMS = 64
 
 
 def _factors() -> np.ndarray:
     return np.random.default_rng(97).integers(1, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class ItemIndex:
-    """Signatures of one block of items, by size partition."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.sets = [_set(text) for _, text in items]
-        w = K.words(pa.array([text for _, text in items], pa.string()), lower=True)
-        h, first = K.shingles(w)
-        small: dict[int, set[int]] = defaultdict(set)
-        levels: dict[int, list[int]] = defaultdict(list)
-        for i, own in enumerate(self.sets):
-            if 0 < len(own) <= SMALL:
-                for x in h[first[i] : first[i + 1]]:
-                    small[int(x)].add(i)
-            elif own:
-                levels[int(np.ceil(np.log2(len(own) / SMALL)))].append(i)
-        self.small = small
-        self.small_keys = np.array(sorted(small), np.uint64)
-        self.levels = {}
-        for level, own in levels.items():
-            values = np.stack([[np.min(h[first[i] : first[i + 1]] * f) >> np.uint64(32) for f in _factors()] for i in own]).astype(np.uint32)
-            marks = np.zeros((PERMS, 1 << _TABLE_BITS), bool)
-            for p in range(PERMS):
-                marks[p, values[:, p] >> np.uint32(32 - _TABLE_BITS)] = True
-            owners: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for i, row in zip(own, values.tolist(), strict=True):
-                for p, v in enumerate(row):
-                    owners[p, v].append(i)
-            self.levels[level] = (marks, dict(owners))
-
-    def candidates(self, part: pa.Array) -> set[tuple[int, int]]:
-        """(row, item) pairs that may match."""
-        h, first = K.shingles(K.words(part, lower=True))
-        found: set[tuple[int, int]] = set()
-        if not len(h):
-            return found
+def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(level, perm, value, item): minima of each item by size class; of small items (level 0) all shingles."""
+    factors, perms = _factors(), np.arange(PERMS)
+    for batch in batches:
+        for part in K.chunks(batch):
+            h, first = K.shingles(K.words(part.column("text"), lower=True))
+            items = part.column("item").to_numpy()
+            found = [np.zeros((4, 0), np.int64)]
+            for i, item in enumerate(items):
+                own = np.unique(h[first[i] : first[i + 1]])
+                if len(own) > SMALL:
+                    values = np.array([(own * f).min() >> np.uint64(32) for f in factors], np.int64)
+                    found.append(np.stack((np.full(PERMS, int(np.ceil(np.log2(len(own) / SMALL)))), perms, values, np.full(PERMS, item))))
+                elif len(own):
+                    found.append(np.stack((np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), own.view(np.int64), np.full(len(own), item))))
+            columns = np.concatenate(found, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])], ["level", "perm", "value", "item"])
+
+
+class Marks:
+    """Bitmaps of the values of each size class and hash function, by the low bits of a value."""
+
+    def __init__(self, bits: dict[int, int], pieces: list):
+        self.bits = bits
+        self.maps = {level: np.zeros((PERMS if level else 1, 1 << n >> 3), np.uint8) for level, n in bits.items()}
+        size = PIECE_BITS >> 3
+        for level, perm, piece, data in pieces:
+            self.maps[level][perm, piece * size : (piece + 1) * size] = np.frombuffer(data, np.uint8)
+
+    def hit(self, level: int, perm: int, values: np.ndarray) -> np.ndarray:
+        """Indices of the values that may be an item's."""
+        at = (values & values.dtype.type((1 << self.bits[level]) - 1)).astype(np.int64)
+        return np.flatnonzero(self.maps[level][perm][at >> 3] >> (at & 7).astype(np.uint8) & 1)
+
+
+def marks(keys: DataFrame) -> Marks:
+    """The bitmaps of a table of keys: 64 bits or more to a value while MARK_BYTES allow, a power of two to each class."""
+    counts = {r["level"]: r["n"] for r in keys.where("perm = 0").groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per size class
+    share = MARK_BYTES * 8 // max(sum(PERMS if level else 1 for level in counts), 1)
+    most = max(share.bit_length() - 1, PIECE_BITS.bit_length() - 1)
+    bits = {level: min(max((64 * n - 1).bit_length(), PIECE_BITS.bit_length() - 1), most) for level, n in counts.items()}
+    mask = F.element_at(F.create_map(*[F.lit(x) for level, n in bits.items() for x in (level, (1 << n) - 1)]), F.col("level")) if bits else F.lit(0)
+    slot = F.col("value").bitwiseAND(mask)
+    pieces = keys.select("level", "perm", F.shiftright(slot, 15).alias("piece"), slot.bitwiseAND(PIECE_BITS - 1).alias("bit"))
+    return Marks(bits, pieces.groupBy("level", "perm", "piece").agg(F.bitmap_construct_agg("bit")).collect())  # MARK_BYTES at most
+
+
+def _window_keys(sent):
+    """(level, perm, value, text_id) of the windows of each text whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, factors = sent.value, _factors()
+        for batch in batches:
+            for part in K.chunks(batch):
+                found = _windows(part.column("text"), own, factors)
+                ids = part.column("text_id").take(pa.array(found[3]))
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2]), ids], ["level", "perm", "value", "text_id"])
+
+    return run
+
+
+def _windows(texts: pa.Array, own: Marks, factors: np.ndarray) -> np.ndarray:
+    """Rows (level, perm, value, row), as columns."""
+    h, first = K.shingles(K.words(texts, lower=True))
+    found = [np.zeros((4, 0), np.int64)]
+
+    def add(level: int, perm: int, values: np.ndarray, rows: np.ndarray) -> None:
+        at = own.hit(level, perm, values)
+        if len(at):
+            found.append(np.stack((np.full(len(at), level), np.full(len(at), perm), values[at].astype(np.int64), rows[at])))
+
+    if len(h) and own.bits:
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        if len(self.small_keys):
-            at = np.minimum(np.searchsorted(self.small_keys, h), len(self.small_keys) - 1)
-            for g in np.flatnonzero(self.small_keys[at] == h):
-                found.update((int(row[g]), i) for i in self.small[int(h[g])])
-        if not self.levels:
-            return found
-        size = 2 * SMALL
+        if 0 in own.bits:
+            add(0, 0, h.view(np.int64), row)
         inside = np.arange(len(h)) - first[row]
-        begin = np.flatnonzero(inside % size == 0)
+        begin = np.flatnonzero(inside % (2 * SMALL) == 0)
         block_row = row[begin]
-        mins = np.stack([np.minimum.reduceat(h * f, begin) >> np.uint64(32) for f in _factors()]).astype(np.uint32)
-        for level in range(1, max(self.levels) + 1):
+        mins = np.stack([np.minimum.reduceat(h * f, begin) >> np.uint64(32) for f in factors]).astype(np.uint32) if max(own.bits) else None
+        for level in range(1, max(own.bits) + 1):
             if level > 1:
                 fresh = np.ones(len(block_row), bool)
                 fresh[1:] = block_row[1:] != block_row[:-1]
                 origin = np.maximum.accumulate(np.where(fresh, np.arange(len(block_row)), 0))
                 begin = np.flatnonzero((np.arange(len(block_row)) - origin) % 2 == 0)
                 mins, block_row = np.minimum.reduceat(mins, begin, axis=1), block_row[begin]
-            if level in self.levels:
-                marks, owners = self.levels[level]
-                pair = mins.copy()
-                joined = block_row[1:] == block_row[:-1]
+            if level in own.bits:
+                pair, joined = mins.copy(), block_row[1:] == block_row[:-1]
                 pair[:, :-1] = np.where(joined, np.minimum(mins[:, 1:], mins[:, :-1]), mins[:, :-1])
                 for p in range(PERMS):
-                    for b in np.flatnonzero(marks[p][pair[p] >> np.uint32(32 - _TABLE_BITS)]):
-                        found.update((int(block_row[b]), i) for i in owners.get((p, int(pair[p, b])), ()))
-        return found
-
-    def matches(self, part: pa.Array, percent: int) -> list[tuple[int, int, int]]:
-        """(row, item, shared shingles) with 100 * shared >= percent * shingles of the item."""
-        out, own = [], (-1, set())
-        for row, item in sorted(self.candidates(part)):
-            if own[0] != row:
-                own = (row, _set(part[row].as_py()))
-            shared = len(own[1] & self.sets[item])
-            if 100 * shared >= percent * len(self.sets[item]):
-                out.append((row, item, shared))
-        return out
-
-
-def item_blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size."""
-    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(-(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES), 1)
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()] for b in range(blocks)] if n else []
+                    add(level, p, pair[p], block_row)
+    return np.unique(np.concatenate(found, 1), axis=1)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every document and item with containment of at least percent / 100."""
+def _verified(percent: int):
+    """(text_id, item_id, n_item, n_shared) with 100 * n_shared >= percent * n_item."""
+    names, types = ["text_id", "item_id", "n_item", "n_shared"], [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                own = _set(batch.column("text")[i].as_py())
+                for item in batch.column("items")[i].as_py():
+                    asked = _set(item["text"])
+                    shared = len(own & asked)
+                    if 100 * shared >= percent * len(asked):
+                        rows.append((batch.column("text_id")[i].as_py(), item["item_id"], len(asked), shared))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return run
+
+
+def _text_id() -> F.Column:
+    return F.md5(F.col("text").cast("binary"))
+
+
+def matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """(text_id, item_id, n_item, n_shared) of every different text and item with containment of at least percent / 100."""
     spark = docs.sparkSession
     bound_batches(spark)
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
+    items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    keys = written(items.select("item", "text").mapInArrow(_item_keys, "level int, perm int, value long, item long"), "item-keys")
+    sent = spark.sparkContext.broadcast(marks(keys))
+    texts = docs.where("text is not null").select(_text_id().alias("text_id"), "text")
+    hits = written(texts.mapInArrow(_window_keys(sent), "level int, perm int, value long, text_id string"), "windows")
+    pairs = written(hits.join(keys, ["level", "perm", "value"]).select("text_id", "item").distinct(), "candidates")
+    asked = parted(pairs, ["text_id"], BLOCK_ITEMS).join(items, "item").groupBy("text_id", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    one = written(texts.join(pairs.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["text_id"]), "texts")
+    return written(one.join(asked, "text_id").select("text_id", "text", "items").mapInArrow(_verified(percent), "text_id string, item_id long, n_item long, n_shared long"), "matches")
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            x = index.value
-            for batch in batches:
-                for part in K.chunks(batch):
-                    found = x.matches(part.column("text"), percent)
-                    ids = part.column("doc_id")
-                    columns = zip(*[(ids[r].as_py(), x.ids[i], len(x.sets[i]), k, k / len(x.sets[i])) for r, i, k in found], strict=True) if found else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        out = out.union(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
-    return out
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every document and item with containment of at least percent / 100."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _text_id().alias("text_id"))
+    return rows.join(matches(docs, items, percent), "text_id").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the documents that contain an item; no shuffle."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    for block in item_blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in K.chunks(batch):
-                    keep = np.ones(part.num_rows, bool)
-                    keep[[r for r, _, _ in index.value.matches(part.column("text"), percent)]] = False
-                    yield part.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """docs without the documents that contain an item."""
+    name = unused(docs, "text_id")
+    found = matches(docs, items, percent).select(F.col("text_id").alias(name)).distinct()
+    return docs.withColumn(name, _text_id()).join(found, name, "left_anti").select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
