@@ -7,10 +7,11 @@ entry decides ('allow' if there is none). Only DataFrame functions are used.
 
 Entries of one domain and time: the action that sorts last counts ('drop' over 'block' over 'allow'). Entries without
 domain, time or action are ignored. A null or hostless URL, or a null fetch time, has no active entry and is allowed.
-Repeated captures are reported row by row; an empty list allows everything; columns of captures that are named like a
-result column are replaced by it. The join is by domain: a host with a third
-of all captures is a skewed key of the capture side only, which adaptive execution splits, and at most one interval of
-a domain is active at a time, so a capture makes at most one row per label of its host.
+An address in brackets (IPv6) is one host without parents. Repeated captures are reported row by row; an empty list allows
+everything; columns of captures that are named like a result column are replaced by it, all others are passed on whatever
+they are called (they travel in one struct). The join is by domain: a host with a third of all captures is a skewed key of
+the capture side only, which adaptive execution splits, and at most one interval of a domain is active at a time, so a
+capture makes at most one row per label of its host.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from ._store import table, written
 
 #: Host of a URL: after the scheme and any user part, to the port, path, query or fragment.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]+)"
 #: Labels of a host that are looked up, from the right (DNS allows no more).
 LABELS = 127
 
@@ -34,6 +35,10 @@ def host_of(url: F.Column) -> F.Column:
 def domains_of(host: F.Column) -> F.Column:
     """The host and its parent domains, longest first."""
     labels = F.slice(F.reverse(F.filter(F.split(host, r"\."), lambda x: x != "")), 1, LABELS)
+    return F.when(host.startswith("["), F.array(host)).otherwise(_parents(labels))
+
+
+def _parents(labels: F.Column) -> F.Column:
     return F.transform(F.sequence(F.size(labels), F.lit(1)), lambda n: F.array_join(F.reverse(F.slice(labels, F.lit(1), n)), "."))
 
 
@@ -46,16 +51,17 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched and others) with host, matched_domain, active_since and verdict."""
-    names = [c for c in captures.columns if c not in ("host", "matched_domain", "active_since", "verdict")]
-    rows = captures.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", host_of(F.col("url")))
-    listed = validity(entries).select(F.col("domain").alias("_domain"), F.col("action").alias("_action"), F.col("since").alias("_since"), F.col("until").alias("_until"))
-    listed = written(listed, "validity")  # an exchange on both sides of the join lets adaptive execution split a hot host
-    asked = rows.withColumn("_domain", F.explode_outer(F.when(F.col("_host").isNotNull(), domains_of(F.col("_host")))))
-    active = (asked["_domain"] == listed["_domain"]) & (F.col("fetched") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("fetched") < F.col("_until")))
-    met = asked.join(listed, active, "left").select(*names, "_row", "_host", asked["_domain"].alias("_domain"), "_action", "_since")
-    longest = lambda c: F.max_by(c, F.when(F.col("_action").isNotNull(), F.length("_domain")))
-    one = met.groupBy("_row", *names, "_host").agg(longest("_domain").alias("matched_domain"), longest("_since").alias("active_since"), longest("_action").alias("_action"))
-    return one.select(*names, F.col("_host").alias("host"), "matched_domain", "active_since", F.coalesce("_action", F.lit("allow")).alias("verdict"))
+    names = [c for c in captures.columns if c.lower() not in ("host", "matched_domain", "active_since", "verdict")]
+    capture = F.struct(*[F.col(f"`{c}`") for c in {"url", "fetched", *names}])
+    rows = captures.select(capture.alias("capture"), F.monotonically_increasing_id().alias("row"), host_of(F.col("url")).alias("host"))
+    listed = written(validity(entries), "validity")  # an exchange on both sides of the join lets adaptive execution split a hot host
+    asked = rows.withColumn("domain", F.explode_outer(F.when(F.col("host").isNotNull(), domains_of(F.col("host")))))
+    fetched = F.col("capture.fetched")
+    active = (asked["domain"] == listed["domain"]) & (fetched >= F.col("since")) & (F.col("until").isNull() | (fetched < F.col("until")))
+    met = asked.join(listed, active, "left").select("row", "capture", "host", asked["domain"], "action", "since")
+    longest = lambda c: F.max_by(c, F.when(F.col("action").isNotNull(), F.length("domain")))
+    one = met.groupBy("row", "host").agg(F.any_value("capture").alias("capture"), longest("domain").alias("matched_domain"), longest("since").alias("active_since"), longest("action").alias("action"))
+    return one.select(*[F.col(f"capture.`{c}`").alias(c) for c in names], "host", "matched_domain", "active_since", F.coalesce("action", F.lit("allow")).alias("verdict"))
 
 
 DAY0 = "2024-01-01"
