@@ -145,12 +145,33 @@ def test_contamination(spark, docs):
 
 
 def test_blocks_of_items(spark, docs, monkeypatch):
+    """Bitmaps too small for the items and one item to a row give the same result."""
     items = [(i, " ".join(t.split()[:30])) for i, t, *_ in corpus.documents()[9:40] if t and len(t.split()) > 40]
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str)
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
-    assert len(decontamination.item_blocks(bench)) > 2
-    assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str) == whole
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(decontamination, "MARK_BYTES", 1)
+    assert whole and sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str) == whole
+
+
+def test_scattered_items(spark):
+    """Items whose shingles lie one by one all over a long document, and one that is repeated wholly at its end."""
+    rng = random.Random(13)
+    w = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [w(rng.choice([7, 11, 25, 60, 200])) for _ in range(40)]
+    rows = []
+    for i, item in enumerate(items):
+        text = w(2000)
+        for k in range(len(item) - 4):
+            text += item[k : k + 5] + w(rng.choice([1, 3]) if i % 2 else 20)
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(w(3000) + item)) for i, item in enumerate(items)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, text_id string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert {(100 + i, i) for i in range(40)} <= got and len(got & {(i, i) for i in range(40)}) >= 39
+    clean = decontamination.without_items(df, bench)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
 def test_quality(spark):
@@ -302,3 +323,144 @@ def test_empty_tables(spark, empty):
     pieces = sentencepieces.Pieces.load(P.path("piece_bpe_32k.model"))
     for out in (near_dedup.near_duplicates(empty), substring_dedup.repeated_words(empty), substring_dedup.without_repeats(empty), decontamination.contaminated(empty, none), decontamination.without_items(empty, none), quality.scored(empty, marks), quality.accepted(empty, marks), hilbert.sharded(empty, ["lang", "size"]), sentencepieces.encoded(empty, pieces), token_counts.token_counts(empty, P.path("byte_bpe_50k.json"), P.PATTERN)):
         assert out.count() == 0
+
+
+def test_rows_of_one_document(spark):
+    """Rows of one doc_id with different texts are judged each by itself, and helper names may be taken."""
+    rng = random.Random(5)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, other = w(60), w(55)
+    rows = [(1, passage), (2, f"a b {passage} c"), (2, "short text of its own"), (2, f"{other} {passage}"), (3, f"x {other}"), (3, f"x {other}"), (None, passage)]
+    names = ["doc_id", "text", "_id", "_kept", "text_id", "KEPT_TEXT", "kept_doc_id", "anchor"]
+    df = spark.createDataFrame([(d, t, i, f"k{i}", i, "x", i, "y") for i, (d, t) in enumerate(rows)], "doc_id long, text string, _id int, _kept string, text_id int, KEPT_TEXT string, kept_doc_id int, anchor string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeated_words(df).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == Counter([(1, 60, 0, sha(passage)), (2, 63, 60, sha("a b c")), (2, 5, 0, sha("short text of its own")), (2, 115, 60, sha(other)), (3, 56, 55, sha("x")), (3, 56, 55, sha("x")), (None, 60, 0, sha(passage))])
+    out = substring_dedup.without_repeats(df)
+    assert out.columns == names
+    assert sorted((r["_id"], r.doc_id, r["_kept"], r.text) for r in out.collect()) == [(0, 1, "k0", passage), (1, 2, "k1", "a b c"), (2, 2, "k2", rows[2][1]), (3, 2, "k3", other), (4, 3, "k4", "x"), (5, 3, "k5", "x"), (6, None, "k6", passage)]
+
+
+def test_places_in_parts(spark, docs, monkeypatch):
+    """A source document with more places than one part takes gives the same result."""
+    whole = sorted(map(tuple, substring_dedup.repeated_words(docs).collect()), key=str)
+    monkeypatch.setattr(substring_dedup, "PLACES", 3)
+    assert sorted(map(tuple, substring_dedup.repeated_words(docs).collect()), key=str) == whole
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_blocks_in_rounds(spark, monkeypatch, block):
+    """Buckets with many pairs just below and just above the threshold: pairs that aren't confirmed don't hide links behind them."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    edited = lambda w, n: [f"n{rng.randrange(10**6)}" if k in at else x for at in [set(rng.sample(range(200), n))] for k, x in enumerate(w)]
+    groups = [edited(base, 3) for _ in range(6)]
+    for i in range(60):
+        rows.append((i, " ".join(edited(groups[i % 6], rng.choice([1, 2, 2, 3]))), "en", "s", 0, ""))
+    want, _ = classes(rows, 85)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(corpus.frame(spark, rows), 85).collect()}
+    assert got == want and 6 <= len(set(want.values())) < 50
+
+
+def test_documents_with_several_texts(spark):
+    """A doc_id is one document, linked with what any of its texts is linked with; repeated rows change nothing."""
+    rng = random.Random(12)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two = w(80), w(80)
+    rows = [(1, one), (2, one + " x"), *[(2, one + " x")] * 5, (2, two), (3, two + " y"), (None, one)]
+    df = spark.createDataFrame([(d, t, i, 0) for i, (d, t) in enumerate(rows)], "doc_id long, text string, text_id int, rep int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 85).collect())
+    assert got == Counter([(1, 76, 1, True), *[(2, 77, 1, False)] * 6, (2, 76, 1, False), (3, 77, 1, False), (None, 76, 1, False)])
+
+
+def plain_fit(x, y):
+    """The same boosting, bin by bin in plain loops: every stump by trying all cuts."""
+
+    def stump(g, h, depth):
+        total = sum(g) / (sum(h) + 1)
+        best = sum(g) ** 2 / (sum(h) + 1) + 1e-9, None
+        for at in range(1, len(g)) if depth else ():
+            gain = sum(sum(a) ** 2 / (sum(b) + 1) for a, b in ((g[:at], h[:at]), (g[at:], h[at:])))
+            if gain > best[0] + 1e-12:
+                best = gain, at
+        return [total] * len(g) if best[1] is None else stump(g[: best[1]], h[: best[1]], depth - 1) + stump(g[best[1] :], h[best[1] :], depth - 1)
+
+    rate = sum(y) / len(y)
+    base = np.log(rate / (1 - rate))
+    cuts = [sorted({np.float32(np.quantile(x[:, j], k / quality.BINS)) for k in range(1, quality.BINS)}) for j in range(x.shape[1])]
+    bins = [[sum(c <= v for c in cuts[j]) for v in x[:, j]] for j in range(x.shape[1])]
+    tables, z = [[0.0] * (len(c) + 1) for c in cuts], [base] * len(y)
+    for _ in range(quality.ROUNDS):
+        for j, t in enumerate(tables):
+            g, h = [0.0] * len(t), [0.0] * len(t)
+            for i, v in enumerate(z):
+                p = 1 / (1 + np.exp(-v))
+                g[bins[j][i]] += y[i] - p
+                h[bins[j][i]] += p * (1 - p)
+            step = [quality.RATE * s for s in stump(g, h, 2)]
+            tables[j] = [a + b for a, b in zip(t, step, strict=True)]
+            z = [v + step[bins[j][i]] for i, v in enumerate(z)]
+    return base, cuts, tables
+
+
+def test_quality_against_plain_loops(monkeypatch):
+    """fit() and Model.score() without pairs against loops over rows and bins."""
+    monkeypatch.setattr(quality, "ROUNDS", 3)
+    monkeypatch.setattr(quality, "PAIRS", 0)
+    monkeypatch.setattr(quality, "BINS", 6)
+    rng = np.random.default_rng(4)
+    x = rng.random((150, 5)).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.random(150) > 0.7).astype(float)
+    m = quality.fit(x, y)
+    base, cuts, tables = plain_fit(x, y)
+    assert m.base == pytest.approx(base) and all(np.allclose(a, b) for a, b in zip(m.mains, tables, strict=True))
+    want = [1 / (1 + np.exp(-(base + sum(t[sum(c <= v for c in cuts[j])] for j, (t, v) in enumerate(zip(tables, row, strict=True)))))) for row in x]
+    assert np.allclose(m.score(x), want)
+
+
+def test_quality_sample(spark):
+    """The documents learnt from are the first by hash, whatever their number."""
+    df = spark.createDataFrame([(i, f"text {i} " * (i % 9 + 1)) for i in range(3000)] + [(5, "other text")], "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 9 > 4)) for i in range(2, 2900)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        for n in (10**6, 300):
+            quality.fitted(df, marks, n)
+    finally:
+        quality.fit = fit
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(2, 2900)), 300]
+
+
+def test_write_every_row(spark, docs, tmp_path):
+    """Rows without doc_id and of one doc_id are written, once each."""
+    rows = hilbert.numbered(docs)
+    hilbert.write_shards(rows, hilbert.sharded(rows, ["source"], 4, keep=("row",)), f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    key = lambda r: (str(r.doc_id), str(r.text), str(r.source))
+    assert sorted(map(key, back.collect())) == sorted(map(key, docs.collect())) and set(back.columns) == {*docs.columns, "shard"}
+    with pytest.raises(ValueError, match="repeated"):
+        hilbert.write_shards(docs, hilbert.sharded(docs, ["source"], 4), f"{tmp_path}/no")
+
+
+def test_shards_follow_the_curve(spark):
+    """Places against brute force: cells by the same cuts, texts that share long prefixes in cells of their own, the order of (curve, digest, doc_id) cut in equal runs."""
+    rng = random.Random(14)
+    hosts = [f"https://www.example.com/a/long/common/prefix/{k:03d}" for k in range(64)]
+    rows = [(i, f"text {i}", rng.choice(hosts), rng.randrange(1000)) for i in range(640)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, n int").repartition(3)
+    got = hilbert.sharded(df, ["host", "n"], 8).collect()
+    cuts_host = hilbert._text_cuts(df, "host")
+    assert len(cuts_host) > 24 and cuts_host == sorted(cuts_host)
+    cuts_n = sorted(set(df.selectExpr(f"percentile_approx(n, array({', '.join(str(i / 32) for i in range(1, 32))}), 10000) AS p").first().p))
+    cell = {i: (sum(c <= h for c in cuts_host), sum(c <= n for c in cuts_n)) for i, _, h, n in rows}
+    full = [(x, y) for x in range(32) for y in range(32)]
+    index = dict(zip(full, hilbert.curve_index(np.array(full)).tolist(), strict=True))
+    assert all(r.curve == index[cell[r.doc_id]] for r in got)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in got)
+    assert [(r.shard, r.slot) for r in order] == [(k * 8 // 640, k % 80) for k in range(640)]
+    spread = Counter(x for x, _ in cell.values())
+    assert max(spread.values()) <= 3 * len(rows) / 32

@@ -179,3 +179,83 @@ def test_pipeline(spark, tmp_path):
     assert seen == ["quality", "near_dedup", "substring_dedup", "decontamination", "sentencepieces"]
     assert C.run(spark, str(tmp_path)).count() == docs.count()
     assert near_dedup.least_matches(0.8, 1e-6) and math.isfinite(score[0])
+
+
+def test_ties(spark):
+    """Of equally distant neighbours the smallest ids are answered, however many there are."""
+    rng = random.Random(3)
+    signs = [[rng.choice((-1.0, 1.0)) / 4 for _ in range(16)] for _ in range(199)]
+    rows = [(0, [1.0] + [0.0] * 15), *((200 - i, [abs(v[0]), *v[1:]]) for i, v in enumerate(signs))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in forest.nearest(df, df["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == sorted(i for i, _ in rows[1:])[:10]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall(spark, sf):
+    """Recall against brute force on the given embeddings, with the parameters of the query."""
+    import numpy as np
+    from pathlib import Path
+
+    if not Path(f"/root/testdata/{sf}").exists():
+        pytest.skip("no test data")
+    got = {}
+    for r in forest.op4_hash_forest(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").where(forest.usable("embedding")).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    hit = n = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        best = [int(j) for j in ids[np.lexsort((ids, d))] if j != q][:10]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 11)) and all(m[2] == d[ids == m[1]][0] for m in mine)
+        hit, n = hit + len({m[1] for m in mine} & set(best)), n + 10
+    assert hit / n >= 0.9
+
+
+def test_clashing_names_of_captures(spark):
+    """Captures may have columns that are called like anything; brackets hold one host; a long URL is no trouble."""
+    urls = ["http://[2001:db8::1.2.3.4]:80/x", "http://a.example.com/" + "q" * 2_000_000, "http://b.net"]
+    rows = [(u, datetime(2024, 2, 1), "d", "a", 1, 2, "s", "u", "c", "o") for u in urls]
+    names = ["url", "fetched", "_domain", "_action", "_row", "row", "since", "until", "capture", "Domain"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, ["string", "timestamp", "string", "string", "int", "int", "string", "string", "string", "string"], strict=True)))
+    entries = spark.createDataFrame([("example.com", datetime(2024, 1, 1), "block"), ("[2001:db8::1.2.3.4]", datetime(2024, 1, 1), "block"), ("4]", datetime(2024, 1, 1), "allow")], "domain string, since timestamp, action string")
+    out = url_filter.judged(df, entries)
+    assert out.columns == [*names, "host", "matched_domain", "active_since", "verdict"]
+    got = {r.url[:12]: (r.host, r.matched_domain, r.verdict, r["_domain"], r["row"], r["Domain"]) for r in out.collect()}
+    assert got == {urls[0][:12]: ("[2001:db8::1.2.3.4]", "[2001:db8::1.2.3.4]", "block", "d", 2, "o"), urls[1][:12]: ("a.example.com", "example.com", "block", "d", 2, "o"), urls[2][:12]: ("b.net", None, "allow", "d", 2, "o")}
+
+
+def test_long_conversations(spark):
+    """A turn of two million characters and a conversation of 600 turns, with their snapshots."""
+    long = "x" * 2_000_000
+    turns = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "y")] + [(3, i, "user", f"t{i}") for i in range(600)] + [(4, i, "user", f"t{i}") for i in range(599)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, len(r.text)) for r in chat.chat_documents(df).collect()}
+    assert set(got) == {2, 3} and got[2][0] == 2 and got[2][1] > len(long) and got[3][0] == 600
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Null ids, repeated rows (equal ones and ones that differ), clashing names, and empty tables."""
+    import corpus_pipeline as C
+
+    rng = random.Random(21)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, three = w(90), w(90), w(90)
+    rows = [(1, one), (1, one), (2, one), (3, two), (3, three), (None, two + " tail"), (None, two + " tail"), (None, None), (5, None), (6, ""), (7, w(8000))]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _id int, _kept string, text_id int, again string, rep int, kept boolean"
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), i, "k", i, "a", i, None) for i, (d, t) in enumerate(rows)], names)
+    tables = {"labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, three[:300].rsplit(" ", 1)[0])], "item_id long, text string")}
+    for suffix, df in (("", docs), ("-empty", docs.where("false"))):
+        folder = tmp_path / f"in{suffix}"
+        for name, t in tables.items():
+            t.write.parquet(f"{folder}/{name}.parquet")
+        at = df
+        for name, stage in C.STAGES[:-1]:
+            at = C.settled(lambda stage=stage, at=at, folder=folder: stage(spark, at, str(folder)), name)
+            assert at.columns == docs.columns
+            if not suffix and name == "near_dedup":
+                assert sorted((str(r.doc_id), r.text or "") for r in at.collect()) == sorted([("1", one), ("3", two), ("3", three), ("None", two + " tail"), ("None", ""), ("5", ""), ("6", ""), ("7", rows[10][1])])
+        left = C.STAGES[-1][1](spark, at, str(folder)).collect()
+        assert sorted(str(r.doc_id) for r in left) == ([] if suffix else sorted(["1", "3", "None", "None", "5", "6", "7"]))
