@@ -36,12 +36,17 @@ def json_object(text: Column) -> Column:
     return F.when(F.coalesce(whole_value & is_object, F.lit(False)), candidate)
 
 
+def normalized_refs(refs: Column) -> Column:
+    """The references as evidence is compared with them: once per record, not once per quote."""
+    return F.struct(*[normalize_text(refs[r]).alias(r) for r in REFS])
+
+
 def evidence_problem(item: Column, refs: Column) -> Column:
-    """The kind of what is wrong with one piece of evidence, null if it quotes its reference."""
+    """The kind of what is wrong with one piece of evidence, null if it quotes its (normalised) reference."""
     source = reduce(lambda c, r: c.when(item["ref_id"] == r, refs[r]), REFS, F.when(F.lit(False), F.lit(None).cast("string")))
     quote = normalize_text(item["quote"])
     known = F.coalesce(item["ref_id"].isin(*REFS), F.lit(False))
-    return F.when(~known, "ref_range").when(source.isNull(), "empty_ref").when(F.coalesce(quote, F.lit("")) == "", "empty_quote").when(~F.contains(normalize_text(source), quote), "evidence_substring")
+    return F.when(~known, "ref_range").when(source.isNull(), "empty_ref").when(F.coalesce(quote, F.lit("")) == "", "empty_quote").when(~F.contains(source, quote), "evidence_substring")
 
 
 def first_evidence_problem(items: Column, refs: Column) -> Column:
@@ -79,16 +84,16 @@ def _filled(s: Column, *names: str) -> Column:
     return reduce(lambda a, b: a & b, [s[n].isNotNull() for n in names]) & F.coalesce(s["evidence_sufficiency"].isin(*SUFFICIENCY), F.lit(False))
 
 
-def stage1_problem(text: Column, parsed: Column, refs: Column) -> Column:
-    """Kind of the first problem of a stage-1 output whose object was parsed by the stage-1 schema."""
-    return F.when(json_object(text).isNull(), "output_format").when(~_filled(parsed, "required_points", "reason"), "field_schema").otherwise(F.coalesce(first_evidence_problem(parsed["evidence"], refs), F.when(stage1_rule(parsed).isNotNull(), "consistency")))
+def stage1_problem(found: Column, parsed: Column, refs: Column) -> Column:
+    """Kind of the first problem of a stage-1 output: its JSON object, that parsed by the stage-1 schema, and normalised references."""
+    return F.when(found.isNull(), "output_format").when(~_filled(parsed, "required_points", "reason"), "field_schema").otherwise(F.coalesce(first_evidence_problem(parsed["evidence"], refs), F.when(stage1_rule(parsed).isNotNull(), "consistency")))
 
 
-def stage2_problem(text: Column, parsed: Column, refs: Column) -> Column:
-    """Kind of the first problem of a stage-2 output whose object was parsed by the stage-2 schema."""
+def stage2_problem(found: Column, parsed: Column, refs: Column) -> Column:
+    """The same for a stage-2 output."""
     every = F.concat(F.coalesce(parsed["evidence"], F.array()), F.flatten(F.transform(F.coalesce(parsed["stage1_corrections"], F.array()), lambda c: F.coalesce(c["evidence"], F.array()))))
     legal = F.coalesce(parsed["label"].isin(*LABELS), F.lit(False))
-    return F.when(json_object(text).isNull(), "output_format").when(~legal | ~_filled(parsed, "reason", "review_required"), "field_schema").otherwise(F.coalesce(first_evidence_problem(every, refs), F.when(stage2_rule(parsed).isNotNull(), "consistency")))
+    return F.when(found.isNull(), "output_format").when(~legal | ~_filled(parsed, "reason", "review_required"), "field_schema").otherwise(F.coalesce(first_evidence_problem(every, refs), F.when(stage2_rule(parsed).isNotNull(), "consistency")))
 
 
 def error_code(status: Column, name: Column, text: Column) -> Column:
@@ -97,6 +102,18 @@ def error_code(status: Column, name: Column, text: Column) -> Column:
     return F.when(status.isNotNull(), by_status).when(name.isin(*RETRYABLE_NAMES), "MODEL_RETRYABLE").otherwise("MODEL_PERMANENT")
 
 
+def error_code_of(error: BaseException) -> str:
+    """The same class for an exception inside a task: its own `code`, else by its `status` or name."""
+    if code := getattr(error, "code", None):
+        return str(code)
+    status = getattr(error, "status", None)
+    if status is None:
+        return "MODEL_RETRYABLE" if type(error).__name__ in RETRYABLE_NAMES else "MODEL_PERMANENT"
+    if status in RETRYABLE_STATUS or 500 <= status <= 599:
+        return "MODEL_RETRYABLE"
+    return "CONTEXT_LIMIT" if status == 400 and "context" in str(error).lower() else "MODEL_PERMANENT"
+
+
 def attempt_outcome(status: Column, code: Column) -> Column:
     return F.when(status == "succeeded", "ok").when(status == "unknown", "unknown_after_interrupt").when(code == OUTPUT_INVALID, "validation_error").otherwise("model_error")
 

@@ -23,6 +23,8 @@ HINTS = {
     "output_format": "请只输出一个完整的 JSON 对象，字符串里的换行写成 \\n。",
     "consistency": "字段之间不能自相矛盾，请按规则修正后重新输出。",
 }
+# What frames a hint, and what is told for any other kind.
+_REJECTED, _AGAIN = "上一次输出未通过校验：", "请只重新输出一个符合要求的 JSON 对象，不要输出其它文字或代码块以外的内容。"
 _OTHER = "请对照要求逐项检查输出内容，修正后重新输出。"
 
 
@@ -62,6 +64,17 @@ def missing_refs(messages: Column, refs: Column) -> Column:
 def feedback(messages: Column, output: Column, problem: Column, kind: Column) -> Column:
     """The messages with the rejected output and what to mend."""
     hint = reduce(lambda c, kv: c.when(kind == kv[0], kv[1]), HINTS.items(), F.when(F.lit(False), "")).otherwise(_OTHER)
-    text = F.concat(F.lit("上一次输出未通过校验："), problem, F.lit("。"), hint, F.lit("请只重新输出一个符合要求的 JSON 对象，不要输出其它文字或代码块以外的内容。"))
+    text = F.concat(F.lit(_REJECTED), problem, F.lit("。"), hint, F.lit(_AGAIN))
     more = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce(F.nullif(output, F.lit("")), F.lit(_EMPTY_OUTPUT)).alias("content")), F.struct(F.lit("user").alias("role"), text.alias("content")))
     return F.concat(messages, more)
+
+
+def answered(messages: list[dict], output: str, problem: str, kind: str) -> list[dict]:
+    """The same inside a task, where a rejected output is answered at once."""
+    return [*messages, {"role": "assistant", "content": output or _EMPTY_OUTPUT}, {"role": "user", "content": f"{_REJECTED}{problem}。{HINTS.get(kind, _OTHER)}{_AGAIN}"}]
+
+
+def with_stage1(messages: list[dict], stage1: str) -> list[dict]:
+    """Stage-2 messages that were made with a null stage 1, with the stage-1 result (JSON) that a task got since."""
+    *first, last = messages
+    return [*first, {"role": last["role"], "content": f"{last['content']}\n\n{stage1}"}]

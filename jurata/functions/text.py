@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import EXCEL_CELL_MAX, TRUNCATION_MARK
+from ..schemas import EXCEL_CELL_MAX, ID, INPUT_COLUMNS, REFS, TRUNCATION_MARK, A, Q
 
 # What counts as white space at the ends of a text (as Python's str.strip has it).
-_BLANK = r"[\s\x{1c}-\x{1f}\x{85}]+"
+_BLANK = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Error values of a cell.
 ERROR_VALUES = ("#N/A", "#VALUE!", "#REF!", "#DIV/0!", "#NAME?", "#NULL!", "#NUM!", "#GETTING_DATA")
 # Characters a worksheet can't hold, and first characters that would start a formula.
@@ -24,23 +24,39 @@ STAGE_TEXT = {"stage1": "阶段一", "stage2": "阶段二"}
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(c, F.lit(_BLANK))
 
 
 def normalize_text(c: Column) -> Column:
     """Line ends as \\n, no white space at the ends."""
-    return strip(F.regexp_replace(c, r"\r\n|\r", "\n"))
+    return strip(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def number_text(c: Column) -> Column:
+    """Text of a number as a cell stores it: integers digit by digit, other numbers by the digits of their double, whole ones without a fraction.
+
+    Very small numbers are scientific (1e-05). Where the JVM's own digits of a double aren't the shortest ones, neither are these.
+    """
+    integer = F.regexp_extract(c, r"^\s*[+]?(-?)0*(\d+)\s*$", 2)
+    sign = F.when(integer != "0", F.regexp_extract(c, r"^\s*[+]?(-?)", 1)).otherwise("")
+    number = c.try_cast("double")
+    text = number.cast("string")
+    whole = F.when(F.abs(number) < 2.0**63, number.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", number))
+    plain = F.rtrim(number.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
+    exponent = F.regexp_extract(text, r"E-(\d+)$", 1)
+    small = F.concat(F.regexp_replace(text, r"(\.0)?E.*$", ""), F.lit("e-"), F.when(F.length(exponent) < 2, F.lit("0")).otherwise(""), exponent)
+    real = F.when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).when(number == F.floor(number), whole).when(F.abs(number) < 1e-4, small).when(F.contains(text, F.lit("E")) | F.abs(number).between(1e-4, 1e-3), plain).otherwise(text)
+    return F.when(integer != "", F.concat(sign, integer)).otherwise(real)
+
+
 def cell_to_text(kind: Column, value: Column) -> Column:
-    """Text of a cell by kind: n(umber), s(tring), b(oolean), e(rror); whole numbers without .0, blanks as null."""
-    number = value.cast("double")
-    whole = F.when(number == F.floor(number), F.format_string("%.0f", number)).otherwise(number.cast("string"))
-    return F.when(value.isNull(), None).when(kind == "b", F.when(F.lower(value).isin("1", "true"), "TRUE").otherwise("FALSE")).when(kind == "n", whole).otherwise(F.nullif(normalize_text(value), F.lit("")))
+    """Text of a cell by kind: n(umber), s(tring), b(oolean), e(rror), d(ate, as its text); whole numbers without .0, blanks as null."""
+    truth = F.when(F.lower(value).isin("1", "true"), "TRUE").otherwise("FALSE")
+    return F.when(value.isNull(), None).when(kind == "b", truth).when(kind == "n", number_text(value)).otherwise(F.nullif(normalize_text(value), F.lit("")))
 
 
 def is_error_value(c: Column) -> Column:
@@ -107,7 +123,7 @@ def download_name(kind: Column, run_id: Column, export_id: Column) -> Column:
 
 def q_preview(c: Column, n: int = 200) -> Column:
     """One line of at most n characters, cut ones end with an ellipsis."""
-    line = strip(F.regexp_replace(c, r"(?U)[\s\x{1c}-\x{1f}\x{85}]+", " "))
+    line = strip(F.regexp_replace(c, rf"[{_BLANK}]+", " "))
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
 
 
@@ -126,11 +142,15 @@ def clip_output(c: Column, most: int = 8000, head: int = 6000, tail: int = 2000)
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, head), F.lit(OUTPUT_GAP), F.right(c, F.lit(tail)))).otherwise(c)
 
 
+# Patterns of key-like tokens and of drive or share paths.
+_TOKEN, _PLACE = r"\bsk-[A-Za-z0-9_\-]{8,}\b", r"(?:[A-Za-z]:[\\/]|\\\\)[^\s'\"]*"
+
+
 def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
     """Without the given secrets (longest first) and without key-like tokens."""
     for s in sorted((s for s in secrets if s), key=len, reverse=True):
         c = F.replace(c, F.lit(s), F.lit("***"))
-    return F.regexp_replace(c, r"\bsk-[A-Za-z0-9_\-]{8,}\b", "***")
+    return F.regexp_replace(c, _TOKEN, "***")
 
 
 def scrub_paths(c: Column, root: str | None = None, most: int = 300) -> Column:
@@ -139,7 +159,7 @@ def scrub_paths(c: Column, root: str | None = None, most: int = 300) -> Column:
     if root:
         for form in sorted({root, root.replace("\\", "/"), root.replace("\\", "\\\\")}, key=len, reverse=True):
             c = F.regexp_replace(c, "(?i)\\Q" + form + "\\E" + r"(?:[\\/][^\s'\"]*)?", "<outputs>")
-    c = F.regexp_replace(c, r"(?:[A-Za-z]:[\\/]|\\\\)[^\s'\"]*", "<path>")
+    c = F.regexp_replace(c, _PLACE, "<path>")
     return F.substring(F.split(c, r"\n").getItem(0), 1, most)
 
 
@@ -160,3 +180,42 @@ def display_width(c: Column) -> Column:
 def numeric_prefix(c: Column) -> Column:
     """The integer a text starts with, 0 without one."""
     return F.coalesce(F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def stage_number(c: Column) -> Column:
+    """1 or 2 for the name of a stage; any other name is null."""
+    return F.when(c == "stage1", 1).when(c == "stage2", 2)
+
+
+def stage_name(c: Column) -> Column:
+    return F.when(c.isin(1, 2), F.concat(F.lit("stage"), c.cast("string")))
+
+
+def capped(c: Column, n: int, more: str = "…+%d") -> Column:
+    """The first n of a list of texts; the number of the others stands in a last one."""
+    return F.when(F.size(c) > n, F.concat(F.slice(c, 1, n), F.array(F.format_string(more, F.size(c) - n)))).otherwise(c)
+
+
+def utc_text(c: Column) -> Column:
+    """A time as ISO text in UTC, whole seconds; the session's time zone must be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def new_key(*of: Column) -> Column:
+    """A 32-digit key: of given values always the same one, else a random one."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *of), 256), 1, 32) if of else F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def ref_count(refs: Column) -> Column:
+    """Number of references that are there."""
+    return F.size(F.array_compact(F.array(*[refs[r] for r in REFS])))
+
+
+def raw_input(*columns: Column) -> Column:
+    """The input columns of a record as a map in their order."""
+    return F.map_from_arrays(F.array(*map(F.lit, INPUT_COLUMNS)), F.array(*columns))
+
+
+def input_of(raw: Column) -> Column:
+    """struct(record_id, q, a, refs) of such a map."""
+    return F.struct(raw[ID].alias("record_id"), raw[Q].alias("q"), raw[A].alias("a"), F.struct(*[raw[r].alias(r) for r in REFS]).alias("refs"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import REFS
+from .ranks import ranked
 
 # Sheet names and their columns.
 SHEETS = ("分类结果", "复核清单", "失败清单", "运行概况")
@@ -64,8 +64,8 @@ def failure_rows(snap: DataFrame) -> DataFrame:
 
 
 def sheet_rows(rows: DataFrame) -> DataFrame:
-    """With the physical row in the sheet: the header is row 1 (a sheet's rows are bounded by contract)."""
-    return rows.withColumn("sheet_row", F.row_number().over(W.orderBy("order_index")) + 1)
+    """With the physical row in the sheet: the header is row 1."""
+    return ranked(rows, ["order_index"], "sheet_row").withColumn("sheet_row", (F.col("sheet_row") + 1).cast("int"))
 
 
 def rewrites(rows: DataFrame, sheet: str) -> DataFrame:
@@ -78,7 +78,7 @@ def rewrites(rows: DataFrame, sheet: str) -> DataFrame:
 
 
 def summary_rows(run: DataFrame, extra: Mapping[str, str] | None = None) -> DataFrame:
-    """(ord, 项目, 值): the summary sheet of a one-row table of counters and facts, all rows in their fixed order."""
+    """(ord, 项目, 值) and run_id: the summary sheet of each run of a table of counters and facts, all rows in their fixed order."""
     extra = dict(extra or {})
     known = {"批次标识": "run_id", "来源文件": "source_filename", "工作表": "sheet_name", "输入摘要": "input_digest", "捕获时间": "captured_at", "捕获修订": "revision", "总数": "total", "有效记录": "valid", "输入失败": "input_invalid", "已分类": "classified", "技术失败": "failed", "未处理": "remaining", "需复核": "review_required", "被截断单元格数": "truncated", "文本前缀防护单元格数": "guarded", "清理控制字符单元格数": "sanitized"}
 
@@ -91,7 +91,7 @@ def summary_rows(run: DataFrame, extra: Mapping[str, str] | None = None) -> Data
             return F.col(known[name]).cast("string")
         return F.lit(EXCEL_DIGEST_NOTE if name == SUMMARY[-1] else "")
 
-    return run.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("项目"), value(k).alias("值")) for k in SUMMARY])).alias("ord", "kv")).select("ord", "kv.*")
+    return run.select("run_id", F.posexplode(F.array(*[F.struct(F.lit(k).alias("项目"), value(k).alias("值")) for k in SUMMARY])).alias("ord", "kv")).select("run_id", "ord", "kv.*")
 
 
 def json_lines(snap: DataFrame, export_id: str, versions: Mapping[str, str] | None = None) -> DataFrame:

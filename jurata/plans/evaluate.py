@@ -1,21 +1,21 @@
 """An evaluation and a split end to end: gates first, then metrics, then files; a closed gate writes nothing.
 
-The files are reports of a fixed size and manifests of a gold set (bounded by contract), written by the driver; rows of
-an evaluation stay a DataFrame.
+The files are reports of a fixed size and manifests of a gold set (bounded by contract), written by the driver through
+Spark's file systems; rows of an evaluation stay a DataFrame.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..schemas import INPUT_COLUMNS, LABELS, SPLITS
-from ..sources.xlsx import write_workbook
+from ..sources import files
+from ..sources.xlsx import workbook_bytes
 
 # States in which a run can be evaluated.
 TERMINAL = ("completed", "partial_failed")
@@ -54,12 +54,8 @@ def run_evaluation(gold: DataFrame, manifest: DataFrame, records: DataFrame, spl
         report |= {k: [r.record_id for r in missing if r.kind == k] for k in ("failed", "unfinished")}
     finally:
         scored.unpersist()
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
     for name, text in (("report.json", json.dumps(report, ensure_ascii=False, indent=2, default=str)), ("report.md", markdown(report))):
-        part = out / f".{name}.part"
-        part.write_text(text + "\n", encoding="utf-8")
-        part.replace(out / name)
+        files.put(gold.sparkSession, f"{folder}/{name}", f"{text}\n".encode())
     return report, E.comparisons(scored)
 
 
@@ -80,8 +76,8 @@ def markdown(report: Mapping) -> str:
 
 def generate_split(gold: DataFrame, folder: str, facts: Mapping[str, str], generated_at: str, seed: int = E.SPLIT_SEED, forced: Sequence[str] = E.FORCED_IDS) -> dict:
     """Splits a gold set (rows of gold_rows() with pos, record_id, gold_label, excluded and the 13 input columns), writes the manifest and both subset workbooks, never over existing ones."""
-    out = Path(folder)
-    if any((out / n).exists() for n in ("split.json", *(f"{s}.xlsx" for s in SPLITS))):
+    spark = gold.sparkSession
+    if any(files.exists(spark, f"{folder}/{n}") for n in ("split.json", *(f"{s}.xlsx" for s in SPLITS))):
         raise Gate("a frozen split is there already")
     rows = gold.orderBy("pos").collect()
     ids: dict[str, list[str]] = {}
@@ -96,23 +92,33 @@ def generate_split(gold: DataFrame, folder: str, facts: Mapping[str, str], gener
         "counts": {"gold_total": len(rows), "included": len(order), "excluded": len(rows) - len(order), **{s: sum(by_label[s].values()) for s in SPLITS}, **{f"{s}_by_label": by_label[s] for s in SPLITS}},
         "forced_calibration": [i for i in forced if i in assigned], "assignments": {i: assigned[i] for i in order}, "generated_at": generated_at,
     }
-    out.mkdir(parents=True, exist_ok=True)
     for s in SPLITS:  # the input columns only: labels never leave with a subset
-        write_workbook(str(out / f"{s}.xlsx"), {"QA_REF": (list(INPUT_COLUMNS), (tuple(r[c] for c in INPUT_COLUMNS) for r in rows if assigned.get(r["record_id"]) == s))})
-    (out / "split.json").write_text(json.dumps(manifest, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+        own = (tuple(r[c] for c in INPUT_COLUMNS) for r in rows if assigned.get(r["record_id"]) == s)
+        files.put(spark, f"{folder}/{s}.xlsx", workbook_bytes({"QA_REF": (list(INPUT_COLUMNS), own)}))
+    files.put(spark, f"{folder}/split.json", (json.dumps(manifest, ensure_ascii=False, indent=2) + "\n").encode())
     return manifest
 
 
+# What a manifest must hold, and its version.
+MANIFEST_KEYS, MANIFEST_VERSION = ("manifest_version", "seed", "calibration_target", "gold", "counts", "forced_calibration", "assignments", "generated_at"), "1"
+
+
 def read_manifest(spark, path: str) -> DataFrame:
-    """(record_id, split, pos) of a manifest file; anything missing or unknown is an error."""
+    """(record_id, split, pos) of a manifest file; anything missing or unknown is an error, and so are counts that don't add up."""
     try:
         payload = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
         pairs = [(str(k), str(v), i) for i, (k, v) in enumerate(payload["assignments"].items())]
         int(payload["seed"]), payload["gold"]["sha256"]
+        if lost := [k for k in MANIFEST_KEYS if k not in payload]:
+            raise KeyError(", ".join(lost))
+        if str(payload["manifest_version"]) != MANIFEST_VERSION:
+            raise ValueError(f"version {payload['manifest_version']!r}")
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise Gate(f"not a split manifest: {e!r}") from e
     if unknown := {v for _, v, _ in pairs} - set(SPLITS):
         raise Gate(f"unknown splits {sorted(unknown)}")
+    if any(payload["counts"].get(s) != sum(v == s for _, v, _ in pairs) for s in SPLITS):
+        raise Gate("the counts aren't those of the assignments")
     return spark.createDataFrame(pairs, "record_id string, split string, pos int")
 
 

@@ -1,7 +1,8 @@
 """Publishes the export of a run: one workbook of four sheets and JSON lines, both or neither.
 
 The workbook is bounded by contract (a run's records fit a sheet) and goes through the driver; JSON lines are written by
-the cluster. The manifest row that makes an export visible is written last, after both files are there.
+the cluster. All of them are written by Spark's own file systems, below any path that its writers take. The manifest that
+makes an export visible is written last, after both files are there.
 """
 
 from __future__ import annotations
@@ -9,15 +10,15 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Mapping
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import excel_cell
 from ..operators import export as E
 from ..operators.records import batch_counters
-from ..sources.xlsx import write_workbook
+from ..sources import files
+from ..sources.xlsx import workbook_bytes
 
 #: Records of a run that a workbook takes.
 MOST_ROWS = 100_000
@@ -39,23 +40,27 @@ def document(snap: DataFrame, run: Mapping[str, str]) -> dict[str, DataFrame]:
     facts = batch_counters(snap).withColumns({"valid": F.col("total") - F.col("input_invalid"), "status": F.lit(run.get("status", "completed")), "truncated": F.lit(counts.truncated), "guarded": F.lit(counts.guarded), "sanitized": F.lit(counts.sanitized)})
     extra = {k: v for k, v in run.items() if k in E.SUMMARY} | {"被截断单元格位置": counts.cut or "", "清理控制字符位置": counts.cleaned or ""}
     ordered = {n: r.orderBy("order_index").drop("order_index") for n, r in sheets.items()}
-    return ordered | {E.SHEETS[3]: E.summary_rows(facts, extra).orderBy("ord").drop("ord")}
+    return ordered | {E.SHEETS[3]: E.summary_rows(facts, extra).orderBy("ord").drop("ord", "run_id")}
 
 
 def publish(snap: DataFrame, folder: str, export_id: str, run: Mapping[str, str]) -> dict:
     """Writes detail.jsonl (a folder of parts), result.xlsx and manifest.json below folder; returns the manifest."""
-    out = Path(folder)
-    if (out / "manifest.json").exists():
+    spark = snap.sparkSession
+    if files.exists(spark, f"{folder}/manifest.json"):
         raise FileExistsError(f"{folder} is published already")
     if snap.limit(MOST_ROWS + 1).count() > MOST_ROWS:
         raise ValueError(f"a workbook takes {MOST_ROWS} records")
     lines = E.json_lines(snap, export_id).orderBy("order_index").select("value")
     lines.write.mode("overwrite").text(f"{folder}/detail.jsonl")
     tables = {name: (df.columns, map(tuple, _encoded(df).collect())) for name, df in document(snap, run).items()}
-    write_workbook(f"{folder}/result.xlsx", tables)
-    excel = hashlib.sha256((out / "result.xlsx").read_bytes()).hexdigest()
-    manifest = {"export_id": export_id, "artifacts": [{"kind": "excel", "path": "result.xlsx", "sha256": excel}, {"kind": "jsonl", "path": "detail.jsonl"}]}
-    part = out / ".manifest.part"
-    part.write_text(json.dumps(manifest, ensure_ascii=False), encoding="utf-8")
-    part.replace(out / "manifest.json")
+    book = workbook_bytes(tables)
+    files.put(spark, f"{folder}/result.xlsx", book)
+    manifest = {"export_id": export_id, "artifacts": [{"kind": "excel", "path": "result.xlsx", "sha256": hashlib.sha256(book).hexdigest()}, {"kind": "jsonl", "path": "detail.jsonl", "sha256": lines_digest(spark, f"{folder}/detail.jsonl")}]}
+    files.put(spark, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False).encode())
     return manifest
+
+
+def lines_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the sorted names and digests of the parts of a folder of lines; each part is hashed where it is read."""
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return hashlib.sha256("".join(f"{r.name} {r.digest}\n" for r in parts.orderBy("name").collect()).encode()).hexdigest()

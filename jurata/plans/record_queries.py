@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import constraints as C
 from ..operators import records as R
+from ..operators.ranks import ranked
 from ..schemas import JOB_STATES, RECORD_STATES
 from . import adapter as V
 
@@ -164,12 +164,11 @@ def initial_status(spark, d):
     return R.with_initial_status(V.records(spark, d).drop("status"), _errors(spark, d)).select("record_id", "status")
 
 
-@query("SELECT lang || '-' || n_chars AS record_id, n AS rank FROM (SELECT lang, n_chars, row_number() OVER (ORDER BY n_chars, lang) AS n FROM (SELECT DISTINCT lang, n_chars FROM documents)) WHERE n <= 40")
+@query("SELECT lang || '-' || n_chars AS record_id, cast(row_number() OVER (ORDER BY n_chars, lang) AS bigint) AS rank FROM (SELECT DISTINCT lang, n_chars FROM documents)")
 def order_numeric_prefix(spark, d):
     ids = spark.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("-", F.col("n_chars").cast("string"), "lang").alias("x")).distinct()
-    top = ids.orderBy(*R.in_numeric_order(ids, "x")).limit(40)
-    w = F.row_number().over(W.orderBy(*R.in_numeric_order(top, "x")))
-    return top.select(F.concat_ws("-", F.split_part("x", F.lit("-"), F.lit(2)), F.split_part("x", F.lit("-"), F.lit(1))).alias("record_id"), w.alias("rank"))
+    out = ranked(ids, R.in_numeric_order(ids, "x"), "rank")
+    return out.select(F.concat_ws("-", F.split_part("x", F.lit("-"), F.lit(2)), F.split_part("x", F.lit("-"), F.lit(1))).alias("record_id"), "rank")
 
 
 @query("SELECT user_id AS run_id, count(*) FILTER (event_type IN ('view', 'click', 'purchase')) AS revision FROM events GROUP BY user_id")

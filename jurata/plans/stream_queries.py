@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.ranks import shared_folder
 from ..streaming import queue as S
 
 QUERIES: dict = {}
@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 
 def _folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()) + f"/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/jurata/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):
@@ -29,12 +29,12 @@ def stateful_budget_stream(spark, d):
 
 
 def deduplicated_stream(spark, d):
-    events = _events(spark, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"))
-    return S.to_table(spark, S.first_events(events, ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), _folder(spark), "first")
+    events = _events(spark, d).select("user_id", "event_type", F.col("event_id").alias("seq"))
+    return S.to_table(spark, S.first_events(events, ["user_id", "event_type"]), _folder(spark), "first")
 
 
 QUERIES |= {"stateful_budget_stream": stateful_budget_stream, "deduplicated_stream": deduplicated_stream}
 ORACLE |= {
     "stateful_budget_stream": "WITH n AS (SELECT cast(user_id AS varchar) AS record_key, event_id AS seq, event_type AS stage, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) SELECT record_key, seq, stage, cast(least(r, 3) AS integer) AS attempt_no, CASE WHEN r <= 3 THEN 'reserved' ELSE 'BUDGET_EXHAUSTED' END AS outcome FROM n",
-    "deduplicated_stream": "SELECT DISTINCT user_id, event_type FROM events",
+    "deduplicated_stream": "SELECT user_id, event_type, min(event_id) AS seq FROM events GROUP BY ALL",
 }

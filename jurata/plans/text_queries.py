@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import export as E
 from ..operators import judge
 from ..operators import records as R
+from ..operators.evidence import quoted_in
 from ..schemas import REFS
 from . import adapter as V
 
@@ -60,13 +61,12 @@ def key_ref_split(spark, d):
     return refs.select("event_id", F.array_join("r", "|").alias("refs"), unknown.alias("n_unknown"))
 
 
-@query("SELECT item_id, count(d.doc_id) AS n_sources FROM benchmark LEFT JOIN documents d ON contains(d.text, substring(benchmark.text, 1, 60)) GROUP BY item_id")
+@query("SELECT item_id, count(d.doc_id) AS n_sources FROM benchmark LEFT JOIN documents d ON contains(d.text, benchmark.text) GROUP BY item_id")
 def evidence_substring_check(spark, d):
-    """Quotes of benchmark items looked for in documents: quotes share their first word with a source, so the join is an equi-join on it."""
-    quote = _table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote")).withColumn("_w", F.split("quote", " ").getItem(1))
-    words = _table(spark, d, "documents").select("doc_id", "text").withColumn("_w", F.explode(F.array_distinct(F.split("text", r"[ \n]"))))
-    hits = words.join(quote, "_w").where(F.contains("text", F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return quote.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
+    """How many documents hold each whole benchmark item word for word."""
+    hits = quoted_in(_table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), _table(spark, d, "documents").select("doc_id", "text"))
+    n = hits.groupBy(F.col("quote_id").alias("item_id")).agg(F.count("*").alias("n"))
+    return _table(spark, d, "benchmark").select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_sources"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props ELSE NULL END AS found FROM events")
@@ -120,10 +120,10 @@ def export_failures(spark, d):
 
 
 
-@query(f"WITH {V.RECORDS_SQL}, b AS (SELECT run_id, count(*) AS total, count(*) FILTER (status = 'completed') AS classified, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'input_invalid') AS input_invalid, count(*) FILTER (status IN ('pending', 'stage1_done')) AS remaining FROM records WHERE run_id = 'src1' GROUP BY run_id), k AS (SELECT unnest([{', '.join(chr(39) + k + chr(39) for k in E.SUMMARY)}]) AS k, unnest(range(28)) AS ord FROM b) SELECT cast(ord AS integer) AS ord, k.k AS item, CASE k.k WHEN '批次标识' THEN run_id WHEN '批次状态（捕获时）' THEN '部分失败（partial_failed）' WHEN '总数' THEN cast(total AS varchar) WHEN '已分类' THEN cast(classified AS varchar) WHEN '技术失败' THEN cast(failed AS varchar) WHEN '输入失败' THEN cast(input_invalid AS varchar) WHEN '未处理' THEN cast(remaining AS varchar) WHEN 'Excel 文件摘要' THEN '{E.EXCEL_DIGEST_NOTE}' ELSE '' END AS value FROM k, b")
+@query(f"WITH {V.RECORDS_SQL}, b AS (SELECT run_id, count(*) AS total, count(*) FILTER (status = 'completed') AS classified, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'input_invalid') AS input_invalid, count(*) FILTER (status IN ('pending', 'stage1_done')) AS remaining FROM records GROUP BY run_id), k AS (SELECT DISTINCT unnest([{', '.join(chr(39) + k + chr(39) for k in E.SUMMARY)}]) AS k, unnest(range(28)) AS ord) SELECT run_id, cast(ord AS integer) AS ord, k.k AS item, CASE k.k WHEN '批次标识' THEN run_id WHEN '批次状态（捕获时）' THEN '部分失败（partial_failed）' WHEN '总数' THEN cast(total AS varchar) WHEN '已分类' THEN cast(classified AS varchar) WHEN '技术失败' THEN cast(failed AS varchar) WHEN '输入失败' THEN cast(input_invalid AS varchar) WHEN '未处理' THEN cast(remaining AS varchar) WHEN 'Excel 文件摘要' THEN '{E.EXCEL_DIGEST_NOTE}' ELSE '' END AS value FROM k, b")
 def export_summary_kv(spark, d):
-    run = R.batch_counters(V.records(spark, d).where("run_id = 'src1'")).drop("review_required").withColumn("status", F.lit("partial_failed"))
-    return E.summary_rows(run).toDF("ord", "item", "value")
+    run = R.batch_counters(V.records(spark, d)).drop("review_required").withColumn("status", F.lit("partial_failed"))
+    return E.summary_rows(run).toDF("run_id", "ord", "item", "value")
 
 
 @query(f"WITH {V.RECORDS_SQL}, r AS (SELECT order_index, q, row_number() OVER (ORDER BY order_index) + 1 AS row FROM records WHERE status = 'completed') SELECT cast(row AS integer) AS sheet_row, '分类结果!q 第 ' || row || ' 行（原 ' || length(q) * 12 || ' 字符）' AS location FROM r WHERE length(q) * 12 > 32767")
@@ -144,6 +144,14 @@ def jsonl_export(spark, d):
     return E.json_lines(_snapshot(spark, d), "e1").orderBy("order_index")
 
 
+@query(f"WITH {V.RECORDS_SQL} SELECT order_index, {len(E.JSONL_FIELDS)} AS n_fields, 'e1' AS export_id, cast(order_index + 1 AS varchar) AS ordinal, record_id, md5(q) AS q, status, label, CASE WHEN review_required THEN 'true' WHEN NOT review_required THEN 'false' END AS review, CASE WHEN status = 'completed' THEN 'reason ' || record_id END AS reason, CASE WHEN status = 'completed' THEN q[1:20] END AS quote, CASE WHEN status = 'failed' THEN failure_code END AS code, a AS ref2 FROM records")
+def jsonl_fields(spark, d):
+    """The lines of jsonl_export, read back."""
+    lines = E.json_lines(_snapshot(spark, d), "e1")
+    get = lambda path: F.get_json_object("value", f"$.{path}")
+    return lines.select("order_index", F.size(F.json_object_keys("value")).alias("n_fields"), get("export_id").alias("export_id"), get("ordinal").alias("ordinal"), get("record_id").alias("record_id"), F.md5(get("q").cast("binary")).alias("q"), get("status").alias("status"), get("label").alias("label"), get("review_required").alias("review"), get("reason").alias("reason"), get("evidence[0].quote").alias("quote"), get("failure.code").alias("code"), get("refs.ref2").alias("ref2"))
+
+
 def _judged_records(spark, d):
     docs = _table(spark, d, "documents")
     refs = F.struct(*[F.when((F.col("doc_id") % 6 != 0) & (F.lit(i) == F.col("doc_id") % 10), F.col("text")).alias(k) for i, k in enumerate(REFS)])
@@ -158,8 +166,6 @@ def judge_two_stage_mock(spark, d):
 
 @query()
 def quote_diagnosis(spark, d):
-    """No SQL: longest common part and similarity are computed by difflib."""
-    items = _table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("quote"), F.overlay("text", F.lit("#"), 30).alias("source"))
+    """No SQL: longest common part and similarity are computed by difflib; tests hold them against plain loops."""
+    items = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.overlay("text", F.lit("#"), 30).alias("source"))
     return judge.diagnosed(items).drop("quote", "source")
-
-

@@ -21,6 +21,18 @@ _NO_CACHE, _FORMULA_ERROR, _CELL_ERROR = "公式单元格没有缓存值（文
 _SHA, _DATE = r"^[0-9a-f]{12}$", r"^\d{4}-\d{2}-\d{2}$"
 
 
+def verified(stored: DataFrame, records: DataFrame, again: DataFrame, keys: Sequence[str] = ("file", "source_row")) -> DataFrame:
+    """(file, problem) of stored inputs that aren't what was validated: another digest, or rows that read otherwise now.
+
+    stored holds (file, sha256, sha256_now); records and again are the rows as they were stored and as they read now.
+    """
+    digest = stored.where(~F.col("sha256").eqNullSafe(F.col("sha256_now"))).select("file", F.lit("DIGEST_CHANGED").alias("problem"))
+    rest = [c for c in records.columns if c not in keys]
+    row = lambda df, name: df.select(*keys, F.struct(*rest).alias(name))
+    other = row(records, "was").join(row(again, "now"), list(keys), "full").where(~F.col("was").eqNullSafe(F.col("now")))
+    return digest.union(other.select("file", F.lit("ROWS_CHANGED").alias("problem")).distinct())
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
@@ -33,9 +45,16 @@ def selected_sheet(catalog: DataFrame, requested: str | None = None) -> DataFram
     return catalog.groupBy("file").agg(chosen.alias("sheet"))
 
 
+def _shown(cells: DataFrame) -> tuple[Column, Column]:
+    """(kind, value) that a cell shows: a formula's stored result with the kind it was stored as."""
+    formula = F.col("kind") == "f"
+    stored = F.col("cached_kind") if "cached_kind" in cells.columns else F.when(F.col("cached").isNotNull(), "s")
+    return F.when(formula, stored).otherwise(F.col("kind")), F.when(formula, F.col("cached")).otherwise(F.col("value"))
+
+
 def headers(cells: DataFrame) -> DataFrame:
     """(file, name, col, again): first-row names; again marks a repeated one."""
-    first = cells.where("row = 1").select("file", "col", X.cell_to_text(F.col("kind"), F.coalesce("cached", "value")).alias("name")).where("name is not null")
+    first = cells.where("row = 1").select("file", "col", X.cell_to_text(*_shown(cells)).alias("name")).where("name is not null")
     return first.withColumn("again", F.row_number().over(W.partitionBy("file", "name").orderBy("col")) > 1)
 
 
@@ -57,11 +76,10 @@ def rows_of(cells: DataFrame, columns: Sequence[str] = INPUT_COLUMNS) -> DataFra
     """(file, source_row, columns..., why map, numeric_id): the data rows of a sheet; blank rows between them included."""
     named = cells.where("row > 1").join(headers(cells).where("not again").select("file", "col", "name"), ["file", "col"])
     why = unreadable(F.col("kind"), F.col("value"), F.col("cached"))
-    used = F.when(F.col("kind") == "f", F.col("cached")).otherwise(F.col("value"))
-    kind = F.when(F.col("kind") == "f", F.when(F.col("cached").try_cast("double").isNotNull(), "n").otherwise("s")).otherwise(F.col("kind"))
+    kind, used = _shown(cells)
     named = named.withColumn("why", why).withColumn("text", F.when(why.isNull(), X.cell_to_text(kind, used)))
     value = [F.max(F.when(F.col("name") == c, F.col("text"))).alias(c) for c in columns]
-    numeric = F.coalesce(F.bool_or((F.col("name") == ID) & (F.col("kind") == "n")), F.lit(False))
+    numeric = F.coalesce(F.bool_or((F.col("name") == ID) & (kind == "n")), F.lit(False))
     reasons = F.map_from_entries(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("name", "why"))))
     return named.groupBy("file", F.col("row").alias("source_row")).agg(*value, reasons.alias("why"), numeric.alias("numeric_id"))
 
@@ -126,13 +144,19 @@ def gold_rows(cells: DataFrame) -> DataFrame:
     return df.withColumn("problems", F.when(good & (seen > 1), F.array(F.lit("GOLD_ID_DUPLICATE"))).otherwise(F.col("problems")))
 
 
-def gold_metadata(cells: DataFrame) -> DataFrame:
-    """(file, four values, problems): a key-value sheet, the last value of a key counts."""
-    text = X.cell_to_text(F.col("kind"), F.coalesce("cached", "value"))
+def gold_metadata(cells: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file, four values, problems) of key-value sheets, the last value of a key counts; of `files` (file), those without such a sheet say so."""
+    text = X.cell_to_text(*_shown(cells))
     pairs = cells.groupBy("file", "row").agg(F.max(F.when(F.col("col") == 1, text)).alias("k"), F.max(F.when(F.col("col") == 2, text)).alias("v")).where("v is not null")
     value = [F.max_by(F.when(F.col("k") == m, F.col("v")), F.when(F.col("k") == m, F.col("row"))).alias(m) for m in GOLD_META]
     df = pairs.groupBy("file").agg(*value)
     c = lambda m: F.col(f"`{m}`")
     lacking = F.array_compact(F.array(*[F.when(c(m).isNull(), m) for m in GOLD_META]))
     problems = F.array(F.when(F.size(lacking) > 0, "GOLD_META_INCOMPLETE"), F.when(~c(GOLD_META[2]).rlike(_DATE), "GOLD_META_INVALID_DATE"), F.when(~X.sha_prefix(c(GOLD_META[3])).rlike(_SHA), "GOLD_META_INVALID_SHA256"))
-    return df.withColumn("problems", F.array_compact(problems))
+    df = df.withColumn("problems", F.array_compact(problems))
+    if files is None:
+        return df
+    present = cells.select("file").distinct().withColumn("there", F.lit(True))
+    df = files.select("file").distinct().join(present, "file", "left").join(df, "file", "left")
+    none = F.when(F.col("there"), F.array(F.lit("GOLD_META_INCOMPLETE"))).otherwise(F.array(F.lit("GOLD_META_MISSING")))
+    return df.withColumn("problems", F.coalesce("problems", none)).drop("there")

@@ -1,36 +1,51 @@
 """Workbooks as a Spark data source: cells in, sheets out, with the standard library's zip and XML readers.
 
 spark.dataSource.register(XlsxDataSource); spark.read.format("xlsx").load(path) gives one row per cell:
-(file, sheet, visible, row, col, kind, value, cached), kind n(umber), s(tring), b(oolean), e(rror) or f(ormula, whose
-formula is value and whose stored result is cached). Option mode=catalog gives only (file, sheet, visible). Several
-comma-separated paths are read in parallel, one partition per file. Guards run before cells are read: size of the
-unpacked archive, number of visible sheets, cells of a sheet.
+(file, sheet, visible, row, col, kind, value, cached, cached_kind), kind n(umber), s(tring), b(oolean), d(ate or time, by
+the cell's number format, as ISO text), e(rror) or f(ormula, whose formula is value and whose stored result is cached, of
+cached_kind). Numbers are texts: integers digit by digit, others by the shortest digits of their double. Option
+mode=catalog gives only (file, sheet, visible). Several comma-separated paths are read in parallel, one partition per
+file. Guards run before cells are read: size of the unpacked archive, number of visible sheets, cells of a sheet.
 
 df.write.format("xlsx").mode("append").option("sheet", name).save(path) writes one workbook per partition (order the rows
-and use one partition for one file): bold header row, frozen, no formulas.
+and use one partition for one file): bold header row, frozen, no formulas, at most MAX_ROWS rows, written as they come.
+
+Both read and write paths that every machine has: in a cluster they need option shared=true (a mounted folder).
+stored_cells() reads workbooks from any file system that Spark reads.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timedelta
+from itertools import chain, islice
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .files import contents
+
 # Names of the workbook format.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_SCHEMA = "file string, sheet string, visible boolean, row int, col int, kind string, value string, cached string"
+_SCHEMA = "file string, sheet string, visible boolean, row int, col int, kind string, value string, cached string, cached_kind string"
 _CATALOG = "file string, sheet string, visible boolean"
 
 # Limits of a workbook.
 MAX_UPLOAD, UNZIP_FACTOR, MAX_SHEETS, MAX_CELLS = 50 << 20, 8, 50, 500_000
+#: Data rows that a sheet holds below its header, by the format.
+MAX_ROWS = (1 << 20) - 1
+# Numbers of the format's own date and time formats, those of them that are durations, and the day 0.
+_DATES, _DURATIONS, _DAY0, _DAY0_1904 = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]), frozenset([46]), datetime(1899, 12, 30), datetime(1904, 1, 1)
 
 
 class WorkbookTooLarge(ValueError):
@@ -53,9 +68,9 @@ def sheets(book: zipfile.ZipFile) -> list[Sheet]:
     return found
 
 
-def guarded(path: str, max_upload: int = MAX_UPLOAD) -> zipfile.ZipFile:
+def guarded(path: str | io.BytesIO, max_upload: int = MAX_UPLOAD) -> zipfile.ZipFile:
     """The opened workbook, within the limits on its size and sheets."""
-    if os.path.getsize(path) > max_upload:
+    if (os.path.getsize(path) if isinstance(path, str) else path.getbuffer().nbytes) > max_upload:
         raise WorkbookTooLarge(f"file is larger than {max_upload} bytes")
     book = zipfile.ZipFile(path)
     if sum(i.file_size for i in book.infolist()) > UNZIP_FACTOR * max_upload:
@@ -65,6 +80,63 @@ def guarded(path: str, max_upload: int = MAX_UPLOAD) -> zipfile.ZipFile:
     return book
 
 
+@dataclass(frozen=True)
+class Dates:
+    """Which cell formats show dates, and the day that serial number 0 stands for."""
+
+    dates: frozenset[int] = frozenset()
+    durations: frozenset[int] = frozenset()
+    day0: datetime = _DAY0
+
+    @staticmethod
+    def of(book: zipfile.ZipFile) -> Dates:
+        flag = next(ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}workbookPr"), None)
+        day0 = _DAY0_1904 if flag is not None and flag.get("date1904") in ("1", "true") else _DAY0
+        if "xl/styles.xml" not in book.namelist():
+            return Dates(day0=day0)
+        styles = ET.fromstring(book.read("xl/styles.xml"))
+        codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_MAIN}numFmt")}
+        formats = styles.find(f"{_MAIN}cellXfs")
+        ids = [int(x.get("numFmtId", 0)) for x in formats] if formats is not None else []
+        return Dates(frozenset(i for i, n in enumerate(ids) if _shows_date(n, codes)), frozenset(i for i, n in enumerate(ids) if _shows_duration(n, codes)), day0)
+
+    def text(self, number: str, style: int) -> str | None:
+        """The date, time or duration of a serial number as ISO text, null if it stands for none."""
+        days = float(number)
+        try:
+            if style in self.durations:
+                return str(timedelta(milliseconds=round(days * 86_400_000)))
+            whole, part = divmod(days, 1)
+            inside = timedelta(milliseconds=round(part * 86_400_000))
+            if 0 <= days < 1 and not inside.days:
+                return (datetime.min + inside).time().isoformat()
+            whole += 0 < days < 60 and self.day0 == _DAY0  # the format counts a day that 1900 didn't have
+            return str(self.day0 + timedelta(days=whole) + inside)
+        except (OverflowError, ValueError):
+            return None
+
+
+def _plain(code: str) -> str:
+    """The first section of a format without quoted texts, escaped characters and what stands in brackets, durations aside."""
+    return re.sub(r'"[^"]*"|\\.|\[(?!(?:h+|m+|s+)\])[^\]]*\]', "", code.split(";")[0], flags=re.I)
+
+
+def _shows_date(number: int, codes: dict[int, str]) -> bool:
+    return bool(re.search("[dmhys]", _plain(codes[number]), re.I)) if number in codes else number in _DATES
+
+
+def _shows_duration(number: int, codes: dict[int, str]) -> bool:
+    return bool(re.search(r"\[(?:h+|m+|s+)\]", _plain(codes[number]), re.I)) if number in codes else number in _DURATIONS
+
+
+def number_text(number: str) -> str:
+    """A stored number as text: an integer as it is, others by the shortest digits of their double, whole ones without a fraction."""
+    if not re.search("[.eE]", number):
+        return str(int(number))
+    x = float(number)
+    return str(int(x)) if x.is_integer() else str(x)
+
+
 def _column(reference: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]+", reference)[0]:
@@ -79,8 +151,9 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
 
 
 def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: int = MAX_CELLS) -> Iterator[tuple]:
-    """(row, col, kind, value, cached) of the cells with a value, streamed."""
-    kinds = {"n": "n", "s": "s", "str": "s", "inlineStr": "s", "b": "b", "e": "e"}
+    """(row, col, kind, value, cached, cached_kind) of the cells with a value, streamed."""
+    kinds = {"n": "n", "s": "s", "str": "s", "inlineStr": "s", "b": "b", "e": "e", "d": "d"}
+    dates = Dates.of(book)
     row = rows = cols = 0
     with book.open(sheet.part) as f:
         for _, e in ET.iterparse(f):
@@ -99,10 +172,15 @@ def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: in
                 rows, cols = max(rows, row), max(cols, col)
                 if rows * cols > max_cells:
                     raise WorkbookTooLarge(f"sheet {sheet.name} has more than {max_cells} cells")
+                kind = kinds.get(kind, "s")
+                if kind == "n" and text is not None:
+                    style = int(c.get("s", 0))
+                    date = dates.text(text, style) if style in dates.dates else None
+                    kind, text = ("d", date) if date is not None else ("n", number_text(text))
                 if formula is not None:
-                    yield row, col, "f", "=" + (formula.text or ""), text
+                    yield row, col, "f", "=" + (formula.text or ""), text, kind if text is not None else None
                 elif text is not None:
-                    yield row, col, kinds.get(kind, "s"), text, None
+                    yield row, col, kind, text, None, None
             e.clear()
 
 
@@ -112,9 +190,43 @@ class _File(InputPartition):
         self.path = path
 
 
+def _rows_of(book: zipfile.ZipFile, name: str, catalog: bool, sheet: str | None) -> Iterator[tuple]:
+    strings = None if catalog else _shared(book)
+    for s in sheets(book):
+        if catalog:
+            yield name, s.name, s.visible
+        elif sheet in (None, s.name):
+            for cell in cells(book, s, strings):
+                yield (name, s.name, s.visible, *cell)
+
+
+def stored_cells(spark: SparkSession, *paths: str, catalog: bool = False, sheet: str | None = None, max_upload: int = MAX_UPLOAD) -> DataFrame:
+    """The same rows for workbooks on any file system that Spark reads, a task per file or several small ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split()[0] for f in (_CATALOG if catalog else _SCHEMA).split(", ")]
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                with guarded(io.BytesIO(content), max_upload) as book:
+                    found = pd.DataFrame(list(_rows_of(book, file, catalog, sheet)), columns=names)
+                    yield found.astype({c: "Int32" for c in ("row", "col") if c in names})
+
+    return contents(spark, *paths).mapInPandas(run, _CATALOG if catalog else _SCHEMA)
+
+
+def _mounted(options: dict, path: str) -> str:
+    """A plain path, which all machines must have."""
+    spark = SparkSession.getActiveSession()
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: use stored_cells() to read from another file system, and files.put() to write to it")
+    if spark is not None and not spark.sparkContext.master.startswith("local") and options.get("shared", "").lower() != "true":
+        raise ValueError(f"{path}: set option shared=true if all machines have this folder")
+    return path.removeprefix("file://")
+
+
 class XlsxReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p.strip().removeprefix("file://") for p in options["path"].split(",")]
+        self.paths = [_mounted(options, p.strip()) for p in options["path"].split(",")]
         self.catalog, self.sheet = options.get("mode") == "catalog", options.get("sheet")
         self.max_upload = int(options.get("maxbytes", options.get("maxBytes", MAX_UPLOAD)))
 
@@ -123,17 +235,11 @@ class XlsxReader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with guarded(partition.path, self.max_upload) as book:
-            strings = None if self.catalog else _shared(book)
-            for s in sheets(book):
-                if self.catalog:
-                    yield partition.path, s.name, s.visible
-                elif self.sheet in (None, s.name):
-                    for cell in cells(book, s, strings):
-                        yield (partition.path, s.name, s.visible, *cell)
+            yield from _rows_of(book, partition.path, self.catalog, self.sheet)
 
 
-def sheet_xml(columns: list[str], rows: Iterator[tuple]) -> tuple[str, int]:
-    """A worksheet and its number of rows; texts are inline, numbers are numbers, nulls are absent; a formula is an error."""
+def sheet_xml(columns: list[str], rows: Iterator[tuple], write: Callable[[str], object], max_rows: int = MAX_ROWS) -> int:
+    """Writes a worksheet piece by piece and returns its number of rows; texts are inline, numbers are numbers, nulls are absent; a formula is an error."""
 
     def cell(v) -> str:
         if v is None or v == "":
@@ -146,15 +252,19 @@ def sheet_xml(columns: list[str], rows: Iterator[tuple]) -> tuple[str, int]:
             raise ValueError("a cell must not start a formula; encode it first")
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    body, n, widths = [], 0, [_wide(c) for c in columns]
-    for n, r in enumerate(rows, 1):
-        body.append("<row>" + "".join(map(cell, r)) + "</row>")
-        if n <= 200:
-            widths = [max(w, _wide(v)) for w, v in zip(widths, r, strict=True)]
-    head = "<row>" + "".join(f'<c t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for c in columns) + "</row>"
+    first = list(islice(rows, 200))  # the widths come from these
+    widths = [max(map(_wide, values)) for values in zip(columns, *first, strict=True)]
     cols = "".join(f'<col min="{i}" max="{i}" width="{min(max(w + 2, 10), 60)}" customWidth="1"/>' for i, w in enumerate(widths, 1))
+    head = "<row>" + "".join(f'<c t="inlineStr" s="1"><is><t>{escape(c)}</t></is></c>' for c in columns) + "</row>"
     view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-    return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}">{view}<cols>{cols}</cols><sheetData>{head}{"".join(body)}</sheetData></worksheet>', n
+    write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN[1:-1]}">{view}<cols>{cols}</cols><sheetData>{head}')
+    n = 0
+    for n, r in enumerate(chain(first, rows), 1):
+        if n > max_rows:
+            raise WorkbookTooLarge(f"more than {max_rows} rows in a sheet")
+        write("<row>" + "".join(map(cell, r)) + "</row>")
+    write("</sheetData></worksheet>")
+    return n
 
 
 def _wide(v) -> int:
@@ -163,22 +273,32 @@ def _wide(v) -> int:
 
 def write_workbook(path: str, tables: dict[str, tuple[list[str], Iterator[tuple]]]) -> int:
     """Writes sheets in order to a hidden part file that is renamed at the end; returns the rows."""
-    part, total = f"{os.path.dirname(path)}/.{os.path.basename(path)}.part", 0
-    names = list(tables)
+    part = f"{os.path.dirname(path)}/.{os.path.basename(path)}.part"
+    total = _write(part, tables)
+    os.replace(part, path)
+    return total
+
+
+def workbook_bytes(tables: dict[str, tuple[list[str], Iterator[tuple]]]) -> bytes:
+    out = io.BytesIO()
+    _write(out, tables)
+    return out.getvalue()
+
+
+def _write(target: str | io.BytesIO, tables: dict[str, tuple[list[str], Iterator[tuple]]]) -> int:
+    total, names = 0, list(tables)
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pkg = "http://schemas.openxmlformats.org/package/2006"
-    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for i, name in enumerate(names, 1):
-            xml, n = sheet_xml(*tables[name])
-            z.writestr(f"xl/worksheets/sheet{i}.xml", xml)
-            total += n
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f, io.TextIOWrapper(f, "utf-8", newline="") as text:
+                total += sheet_xml(*tables[name], text.write)
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
         z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{pkg}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(names) + 1)) + "</Types>")
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{pkg}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="s{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{pkg}/relationships">' + "".join(f'<Relationship Id="s{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + f'<Relationship Id="st" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", f'<?xml version="1.0"?><styleSheet xmlns="{_MAIN[1:-1]}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
-    os.replace(part, path)
     return total
 
 
@@ -190,17 +310,18 @@ class _Written(WriterCommitMessage):
 
 class XlsxWriter(DataSourceWriter):
     def __init__(self, schema: StructType, options: dict):
-        self.columns, self.folder, self.sheet = schema.names, options["path"].removeprefix("file://"), options.get("sheet", "Sheet1")
+        self.columns, self.folder, self.sheet = schema.names, _mounted(options, options["path"]), options.get("sheet", "Sheet1")
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
-        data = [tuple(r) for r in rows]
-        if not data and TaskContext.get().partitionId():
+        rows = map(tuple, rows)
+        first = list(islice(rows, 1))
+        if not first and TaskContext.get().partitionId():
             return _Written(None, 0)
         os.makedirs(self.folder, exist_ok=True)
         path = f"{self.folder}/part-{TaskContext.get().partitionId():05d}.xlsx"
-        return _Written(path, write_workbook(path, {self.sheet: (self.columns, iter(data))}))
+        return _Written(path, write_workbook(path, {self.sheet: (self.columns, chain(first, rows))}))
 
     def commit(self, messages: list) -> None:
         with open(f"{self.folder}/_SUCCESS", "w"):

@@ -1,13 +1,15 @@
 """The job queue and its stateful parts as Structured Streaming.
 
 A queue is a folder of job events. claim_jobs() hands out jobs in order, one micro-batch at a time (the single slot),
-past a gate that holds all but exports while paused. attempt_budget() keeps each record's attempts per stage in the state
+past a gate that holds all but exports while paused; held jobs stay waiting, and are handed out with the next micro-batch
+or by hand_out() once the gate is open. attempt_budget() keeps each record's attempts per stage in the state
 store: an attempt is reserved before a call and never given back, and a restart goes on from the checkpoint.
 first_events() and revisions() are the deduplication of automatic exports and the revision counter.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,8 +32,42 @@ class Systemic(RuntimeError):
 SYSTEMIC = ("CONFIG_INVALID", "MODEL_PERMANENT")
 
 
-def claim_jobs(jobs: DataFrame, run: Callable[[dict], str | None], paused: Callable[[], bool], record: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """A writer that runs the jobs of each micro-batch in the order (created_at, job_id).
+#: Outcomes that are recorded together.
+KEPT = 100
+
+
+def waiting(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The jobs that were held and not run since: `outcomes` is all that was recorded of them."""
+    held = outcomes.groupBy("job_id").agg(F.bool_and(F.col("status") == "held").alias("held")).where("held")
+    return jobs.join(held.select("job_id"), "job_id", "left_semi")
+
+
+def hand_out(jobs: DataFrame, run: Callable[[dict], str | None], paused: Callable[[], bool], record: Callable[[DataFrame], None]) -> None:
+    """Runs jobs in the order (created_at, job_id); a systemic code ends it after its outcome was recorded, the rest are held."""
+    done: list[tuple] = []
+    stop = None
+
+    def keep() -> None:
+        if done:
+            record(jobs.sparkSession.createDataFrame(done, "job_id string, status string, code string"))
+            done.clear()
+
+    for job in jobs.orderBy("created_at", "job_id").toLocalIterator():
+        if stop or (paused() and job["kind"] != "export"):
+            done.append((job["job_id"], "held", None))
+        else:
+            code = run(job.asDict())
+            done.append((job["job_id"], "failed" if code else "completed", code))
+            stop = code if code in SYSTEMIC else None
+        if len(done) >= KEPT:
+            keep()
+    keep()
+    if stop:
+        raise Systemic(stop)
+
+
+def claim_jobs(jobs: DataFrame, run: Callable[[dict], str | None], paused: Callable[[], bool], record: Callable[[DataFrame], None], held: Callable[[], DataFrame] | None = None) -> DataStreamWriter:
+    """A writer that runs the jobs of each micro-batch in the order (created_at, job_id), those that held() gives among them.
 
     run(job) returns an error code or None. Outcomes go to record() as (job_id, status, code): completed, failed, or held
     while the gate is closed. A systemic code stops the query after its outcome was recorded. A micro-batch that is
@@ -39,18 +75,7 @@ def claim_jobs(jobs: DataFrame, run: Callable[[dict], str | None], paused: Calla
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        done, stop = [], None
-        for job in df.orderBy("created_at", "job_id").toLocalIterator():
-            if stop or (paused() and job["kind"] != "export"):
-                done.append((job["job_id"], "held", None))
-                continue
-            code = run(job.asDict())
-            done.append((job["job_id"], "failed" if code else "completed", code))
-            stop = code if code in SYSTEMIC else None
-        if done:
-            record(df.sparkSession.createDataFrame(done, "job_id string, status string, code string"))
-        if stop:
-            raise Systemic(stop)
+        hand_out(df if held is None else df.unionByName(held().select(*df.columns)).dropDuplicates(["job_id"]), run, paused, record)
 
     return jobs.writeStream.foreachBatch(batch)
 
@@ -65,16 +90,25 @@ class _Budget(StatefulProcessor):
         self.used = handle.getMapState("used", "stage string", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(rows, ignore_index=True).sort_values("seq", kind="stable")
+        """Only the requests with the least seq can be reserved: as many are kept as the budget has left, all others go at once."""
+        names = ["record_key", "seq", "stage", "attempt_no", "outcome"]
+        first: dict[str, list[int]] = {}
+        used: dict[str, int] = {}
+        for frame in rows:
+            out = []
+            for seq, stage in zip(frame["seq"].tolist(), frame["stage"], strict=True):
+                if stage not in used:
+                    used[stage], first[stage] = self.used.getValue((stage,))[0] if self.used.containsKey((stage,)) else 0, []
+                heapq.heappush(first[stage], -seq)
+                if len(first[stage]) > self.most - used[stage]:
+                    out.append((key[0], -heapq.heappop(first[stage]), stage, self.most, BUDGET_EXHAUSTED))
+            yield pd.DataFrame(out, columns=names)
         out = []
-        for seq, stage in zip(asked["seq"], asked["stage"], strict=True):
-            n = self.used.getValue((stage,))[0] if self.used.containsKey((stage,)) else 0
-            if n < self.most:
-                self.used.updateValue((stage,), (n + 1,))
-                out.append((key[0], int(seq), stage, n + 1, "reserved"))
-            else:
-                out.append((key[0], int(seq), stage, n, BUDGET_EXHAUSTED))
-        yield pd.DataFrame(out, columns=["record_key", "seq", "stage", "attempt_no", "outcome"])
+        for stage, kept in first.items():
+            out += [(key[0], seq, stage, n, "reserved") for n, seq in enumerate(sorted(-s for s in kept), used[stage] + 1)]
+            if kept:
+                self.used.updateValue((stage,), (used[stage] + len(kept),))
+        yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
@@ -86,9 +120,34 @@ def attempt_budget(requests: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
     return requests.select("record_key", "stage", "seq").groupBy("record_key").transformWithStateInPandas(statefulProcessor=_Budget(most), outputStructType="record_key string, seq long, stage string, attempt_no int, outcome string", outputMode="Append", timeMode="None")
 
 
-def first_events(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first event of each key within the watermark on event_time: automatic exports, idempotency keys."""
-    return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(keys)
+class _First(StatefulProcessor):
+    """The first row of each key: of those that arrive together the one with the least order."""
+
+    def __init__(self, names: list[str], order: str, ttl: int | None):
+        self.names, self.order, self.ttl = names, order, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for frame in rows:
+            least = frame.nsmallest(1, self.order)
+            if best is None or least[self.order].iloc[0] < best[self.order].iloc[0]:
+                best = least
+        if not self.seen.exists() and best is not None:
+            self.seen.update((True,))
+            yield best[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+def first_events(events: DataFrame, keys: list[str], order: str = "seq", hours: int | None = None) -> DataFrame:
+    """The first event of each key, by `order` among those of a micro-batch: automatic exports, idempotency keys. Keys are forgotten after `hours`, if given."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    first = _First(events.columns, order, hours * 3_600_000 if hours else None)
+    return events.groupBy(*keys).transformWithStateInPandas(statefulProcessor=first, outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime" if hours else "None")
 
 
 def revisions(events: DataFrame) -> DataFrame:

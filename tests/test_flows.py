@@ -161,3 +161,53 @@ def test_resume_and_recovery(spark):
 def test_command_line(spark, capsys):
     assert cli.main(["queries"]) == 0 and "confusion_matrix" in capsys.readouterr().out
     assert cli.main(["run", "nope", "/nowhere"]) == 2
+
+
+def test_held_jobs_are_released(spark, tmp_path):
+    """Jobs held at a closed gate run when it is open: with the next micro-batch, or at once."""
+    src, log = f"{tmp_path}/jobs", f"{tmp_path}/log"
+    frame = lambda rows: spark.createDataFrame([(j, r, k, "mock", t, i) for i, (j, r, k, t) in enumerate(rows)], "job_id string, run_id string, kind string, mode string, created_at string, seq long").withColumn("created_at", F.col("created_at").cast("timestamp")).coalesce(1)
+    frame([("b", "r1", "classify", "2024-01-01 00:00:01"), ("x", "r1", "export", "2024-01-01 00:00:02")]).write.parquet(src)
+    ran = []
+    keep = lambda df: df.coalesce(1).write.mode("append").parquet(log)
+    held = lambda: S.waiting(spark.read.schema(S.JOB_SCHEMA).parquet(src), spark.read.schema("job_id string, status string, code string").parquet(log)) if Path(log).exists() else spark.createDataFrame([], S.JOB_SCHEMA)
+    run = lambda j: ran.append(j["job_id"])
+    stream = lambda: spark.readStream.schema(S.JOB_SCHEMA).parquet(src)
+    S.drain(S.claim_jobs(stream(), run, lambda: True, keep, held), f"{tmp_path}/c")
+    assert ran == ["x"] and [r.job_id for r in held().collect()] == ["b"]
+    frame([("a", "r2", "classify", "2024-01-03 00:00:00")]).write.mode("append").parquet(src)
+    S.drain(S.claim_jobs(stream(), run, lambda: True, keep, held), f"{tmp_path}/c")
+    assert ran == ["x"] and {r.job_id for r in held().collect()} == {"a", "b"}
+    S.hand_out(held(), run, lambda: False, keep)
+    assert ran == ["x", "b", "a"] and held().isEmpty()
+    frame([("z", "r2", "classify", "2024-01-04 00:00:00")]).write.mode("append").parquet(src)
+    S.drain(S.claim_jobs(stream(), run, lambda: False, keep, held), f"{tmp_path}/c")
+    assert ran == ["x", "b", "a", "z"]
+
+
+def test_many_requests_of_one_key(spark, tmp_path):
+    """A key with more requests than a frame holds: the least seq are reserved, in their order."""
+    src = f"{tmp_path}/requests"
+    spark.createDataFrame([("k", "stage1", (i * 7919) % 30011) for i in range(30000)], "record_key string, stage string, seq long").coalesce(1).write.parquet(src)
+    got = S.to_table(spark, S.attempt_budget(spark.readStream.schema("record_key string, stage string, seq long").parquet(src)), f"{tmp_path}/t", "b")
+    least = sorted((i * 7919) % 30011 for i in range(30000))[:3]
+    assert [(r.seq, r.attempt_no) for r in got.where("outcome = 'reserved'").orderBy("seq").collect()] == [(s, n) for n, s in enumerate(least, 1)]
+    assert got.count() == 30000 and got.where("outcome <> 'reserved' and attempt_no = 3").count() == 29997
+
+
+def test_manifests_are_strict(spark, tmp_path):
+    m = evaluate.generate_split(gold(spark), f"{tmp_path}/split", {"sha256": "ab"}, "2026-01-01")
+    for change in ({"manifest_version": "2"}, {"counts": {**m["counts"], "holdout": 1}}, {"seed": None}):
+        Path(f"{tmp_path}/m.json").write_text(json.dumps(m | change, ensure_ascii=False))
+        with pytest.raises(evaluate.Gate):
+            evaluate.read_manifest(spark, f"{tmp_path}/m.json")
+    for key in m:
+        Path(f"{tmp_path}/m.json").write_text(json.dumps({k: v for k, v in m.items() if k != key}, ensure_ascii=False))
+        with pytest.raises(evaluate.Gate):
+            evaluate.read_manifest(spark, f"{tmp_path}/m.json")
+
+
+def test_published_digests(spark, tmp_path):
+    out = publish.publish(snapshot(spark), f"{tmp_path}/e", "e", {})
+    assert json.loads(Path(f"{tmp_path}/e/manifest.json").read_text()) == out and all(len(a["sha256"]) == 64 for a in out["artifacts"])
+    assert publish.lines_digest(spark, f"{tmp_path}/e/detail.jsonl") == out["artifacts"][1]["sha256"]

@@ -125,3 +125,78 @@ def test_gold_metadata(read):
     assert B.gold_metadata(bad).first().problems == ["GOLD_META_INCOMPLETE", "GOLD_META_INVALID_DATE"]
 
 
+
+
+def test_typed_cells(spark, tmp_path):
+    """Stored results keep their kind, numbers their digits, and date formats show dates; the same from bytes as from a path."""
+    from jurata.sources.xlsx import stored_cells
+
+    spark.dataSource.register(XlsxDataSource)
+    path = f"{tmp_path}/t.xlsx"
+    write_workbook(path, {"S": (["x"], iter([]))})
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    given = [
+        ("<c><v>12345678901234567</v></c>", "n", "12345678901234567"), ("<c><v>1E-05</v></c>", "n", "1e-05"), ("<c><v>1E5</v></c>", "n", "100000"), ("<c><v>12345678.5</v></c>", "n", "12345678.5"), ("<c><v>1E+23</v></c>", "n", "99999999999999991611392"),
+        ('<c t="str"><f>A1</f><v>007</v></c>', "s", "007"), ('<c t="str"><f>A1</f><v>1e5</v></c>', "s", "1e5"), ('<c t="b"><f>A1</f><v>1</v></c>', "b", "1"), ("<c><f>A1</f><v>7.0</v></c>", "n", "7"), ("<c><f>A1</f></c>", None, None), ('<c t="e"><f>A1</f><v>#N/A</v></c>', "e", "#N/A"),
+        ('<c s="1"><v>45292</v></c>', "d", "2024-01-01 00:00:00"), ('<c s="1"><v>45292.75</v></c>', "d", "2024-01-01 18:00:00"), ('<c s="2"><v>0.5</v></c>', "d", "12:00:00"), ('<c s="3"><v>1.5</v></c>', "d", "1 day, 12:00:00"), ('<c s="4"><v>45292</v></c>', "n", "45292"), ('<c s="5"><v>45292</v></c>', "d", "2024-01-01 00:00:00"), ('<c s="1"><v>1</v></c>', "d", "1900-01-01 00:00:00"), ('<c s="1"><f>A1</f><v>45292</v></c>', "d", "2024-01-01 00:00:00"), ('<c t="d"><v>2024-01-01</v></c>', "d", "2024-01-01"), ('<c s="6"><v>3</v></c>', "n", "3"),
+    ]
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = "".join(f"<row>{c}</row>" for c, _, _ in given)
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>'.encode()
+    formats = ["0", "14", "20", "46", "164", "165", "166"]
+    codes = {"164": "0.0&quot; days&quot;", "165": "[$-804]yyyy\\年m;@", "166": "[Red]\\d0"}
+    parts["xl/styles.xml"] = (f'<styleSheet xmlns="{main}"><numFmts>' + "".join(f'<numFmt numFmtId="{i}" formatCode="{c}"/>' for i, c in codes.items()) + "</numFmts><cellXfs>" + "".join(f'<xf numFmtId="{i}"/>' for i in formats) + "</cellXfs></styleSheet>").encode()
+    with zipfile.ZipFile(path, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    found = spark.read.format("xlsx").load(path).collect()
+    got = {r.row: (r.cached_kind, r.cached) if r.kind == "f" else (r.kind, r.value) for r in found}
+    assert [got[i] for i in range(1, len(given) + 1)] == [(k, v) for _, k, v in given]
+    assert sorted(map(tuple, stored_cells(spark, path).collect())) == sorted(map(tuple, found))
+    assert [tuple(r)[1:] for r in stored_cells(spark, path, catalog=True).collect()] == [("S", True)]
+
+
+def test_stored_results_as_text(spark):
+    rows = [("f", 2, 1, "f", "=A", "007", "s"), ("f", 2, 2, "f", "=A", "1", "b"), ("f", 2, 3, "f", "=A", "7", "n"), ("f", 2, 4, "d", "2024-01-01 00:00:00", None, None)]
+    names = "file string, row int, col int, kind string, value string, cached string, cached_kind string"
+    head = [("f", 1, i, "s", n, None, None) for i, n in enumerate(HEAD[:4], 1)]
+    r = B.rows_of(spark.createDataFrame(head + rows, names), HEAD[:4]).first()
+    assert [r[c] for c in HEAD[:4]] == ["007", "TRUE", "7", "2024-01-01 00:00:00"] and not r.numeric_id
+
+
+def test_rows_of_a_sheet(tmp_path):
+    from jurata.sources import xlsx
+
+    out = []
+    assert xlsx.sheet_xml(["a"], iter([(i,) for i in range(300)]), out.append, max_rows=300) == 300 and "".join(out).count("<row>") == 301
+    with pytest.raises(WorkbookTooLarge):
+        xlsx.sheet_xml(["a"], iter([(1,)] * 4), out.append, max_rows=3)
+
+
+def test_shared_paths(spark, tmp_path):
+    """Files of the driver go through Spark's file systems; other schemes aren't taken as local paths."""
+    from jurata.sources import files, xlsx
+
+    for path in (f"{tmp_path}/d/x.bin", f"file://{tmp_path}/d/y.bin"):
+        files.put(spark, path, b"1")
+        files.put(spark, path, b"22")
+        assert files.exists(spark, path) and files.get(spark, path) == b"22"
+        files.remove(spark, path)
+        assert not files.exists(spark, path)
+    with pytest.raises(ValueError, match="another file system"):
+        xlsx._mounted({}, "s3a://bucket/x.xlsx")
+
+
+def test_verified(spark):
+    stored = spark.createDataFrame([("a", "1", "1"), ("b", "1", "2"), ("c", "1", "1")], "file string, sha256 string, sha256_now string")
+    was = spark.createDataFrame([("a", 2, "q", None), ("c", 2, "q", None), ("c", 3, "r", None)], "file string, source_row int, q string, a string")
+    now = spark.createDataFrame([("a", 2, "q", None), ("c", 2, "q", "x")], "file string, source_row int, q string, a string")
+    assert sorted(map(tuple, B.verified(stored, was, now).collect())) == [("b", "DIGEST_CHANGED"), ("c", "ROWS_CHANGED")]
+
+
+def test_missing_metadata(spark, read):
+    cells = read("meta3", {"M": (["项", "值"], [("数据版本", "v1")])})
+    files = spark.createDataFrame([("none",)], "file string").union(cells.select("file").distinct())
+    got = {r.file == "none": r.problems for r in B.gold_metadata(cells.where("row > 1"), files).collect()}
+    assert got == {True: ["GOLD_META_MISSING"], False: ["GOLD_META_INCOMPLETE"]}
