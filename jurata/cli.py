@@ -1,4 +1,8 @@
-"""python -m jurata.cli: queries | run NAME SF_DIR | inspect FILE.xlsx"""
+"""python -m jurata.cli: queries | run NAME SF_DIR | inspect FILE.xlsx | resume TABLES | export TABLES RUN OUT | evaluate TABLES RUN MANIFEST SPLIT OUT
+
+TABLES is a folder of Parquet tables: runs, records, results, attempts, campaigns, jobs, gold. Exit codes: 0 done, 2 wrong
+arguments, 3 what was asked isn't possible now.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -19,6 +24,14 @@ def main(argv: list[str] | None = None) -> int:
     inspect = commands.add_parser("inspect", help="prechecks a workbook")
     inspect.add_argument("file")
     inspect.add_argument("--sheet")
+    resume = commands.add_parser("resume", help="what a resume of each run would do, and what may be done with it")
+    resume.add_argument("tables")
+    export = commands.add_parser("export", help="publishes a run's workbook and JSON lines")
+    for name in ("tables", "run", "out"):
+        export.add_argument(name)
+    evaluate = commands.add_parser("evaluate", help="scores a run against a split of the gold set")
+    for name in ("tables", "run", "manifest", "split", "out"):
+        evaluate.add_argument(name)
     args = parser.parse_args(argv)
 
     from . import registry
@@ -33,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         registry.queries()[args.name](spark, args.sf_dir).show(args.rows, truncate=60)
         return 0
+    if args.command in ("resume", "export", "evaluate"):
+        return _stored(spark, args)
     from .sources import workbook
     from .sources.xlsx import XlsxDataSource
 
@@ -46,5 +61,34 @@ def main(argv: list[str] | None = None) -> int:
     return 0 if report["status"] == "passed" else 3
 
 
+def _stored(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Commands over stored tables."""
+    from .operators import export as E
+    from .operators import records as R
+    from .plans import evaluate, publish
+
+    table = lambda name: spark.read.parquet(f"{args.tables.rstrip('/')}/{name}.parquet")
+    if args.command == "resume":
+        R.allowed_actions(table("runs"), table("records"), table("campaigns"), table("attempts"), table("jobs")).orderBy("run_id").show(1000, truncate=False)
+        return 0
+    run = table("runs").where(F.col("run_id") == args.run).first()
+    if run is None:
+        print(f"no run {args.run}", file=sys.stderr)
+        return 2
+    records = table("records").where(F.col("run_id") == args.run)
+    try:
+        if args.command == "export":
+            own = records.select("record_key")
+            of = lambda name: table(name).join(own, "record_key", "left_semi")
+            print(publish.publish(E.snapshot(records, of("results"), of("attempts")), args.out, f"export-{args.run}", {"status": run["status"]}))
+        else:
+            report, _ = evaluate.run_evaluation(table("gold"), evaluate.read_manifest(spark, args.manifest), records, args.split, run["status"], args.out)
+            print(report["display"])
+    except (evaluate.Gate, FileExistsError, ValueError) as e:
+        print(e, file=sys.stderr)
+        return 3
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -78,3 +79,23 @@ def with_stage1(messages: list[dict], stage1: str) -> list[dict]:
     """Stage-2 messages that were made with a null stage 1, with the stage-1 result (JSON) that a task got since."""
     *first, last = messages
     return [*first, {"role": last["role"], "content": f"{last['content']}\n\n{stage1}"}]
+
+
+#: The instructions of each stage and their versions; a run keeps the ones it was made with.
+PROMPT_VERSION = "1"
+PROMPTS = {
+    "stage1": "You are given a question and up to ten references. List the points that a right answer must have, say whether the references are sufficient, insufficient or uncertain for them, and quote the evidence word for word with the name of its reference. Don't answer the question. Reply with one JSON object with the fields required_points, evidence_sufficiency, evidence, missing_information, conflicts and reason.",
+    "stage2": "You are given a question, an answer, up to ten references and the analysis of stage 1. Judge the answer with exactly one of the three labels, give the reason, the issues and the evidence word for word, correct stage 1 where it is wrong, and say whether people should review the judgement and why. Reply with one JSON object with the fields label, reason, issues, evidence_sufficiency, evidence, review_required, review_reasons and stage1_corrections.",
+}
+
+
+def load_prompt(stage: str) -> str:
+    """The current instructions of a stage; an unknown stage is an error."""
+    if stage not in PROMPTS:
+        raise ValueError(f"no stage {stage!r}")
+    return PROMPTS[stage]
+
+
+def prompt_snapshot() -> dict[str, dict[str, str]]:
+    """stage -> text, sha256 and version, as a run stores them."""
+    return {s: {"text": t, "sha256": hashlib.sha256(t.encode()).hexdigest(), "version": PROMPT_VERSION} for s, t in PROMPTS.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -69,19 +70,18 @@ def strip_control(c: Column) -> Column:
     return F.struct(clean.alias("text"), (F.length(c) - F.length(clean)).alias("removed"))
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def excel_cell(c: Column) -> Column:
     """struct(text, truncated, guarded, sanitized): cleaned, then guarded against formulas, then cut to a cell's size."""
-    clean = F.regexp_replace(c, ILLEGAL, "")
-    guarded = reduce(lambda a, b: a | b, [clean.startswith(p) for p in FORMULA_STARTS])
-    full = F.when(guarded, F.concat(F.lit("'"), clean)).otherwise(clean)
-    long = F.length(full) > EXCEL_CELL_MAX
-    cut = F.when(long, F.concat(F.substring(full, 1, EXCEL_CELL_MAX - len(TRUNCATION_MARK)), F.lit(TRUNCATION_MARK))).otherwise(full)
-    return F.struct(
-        F.coalesce(cut, F.lit("")).alias("text"),
-        F.coalesce(long, F.lit(False)).alias("truncated"),
-        F.coalesce(guarded, F.lit(False)).alias("guarded"),
-        F.coalesce(F.length(c) - F.length(clean), F.lit(0)).alias("sanitized"),
-    )
+    formula = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in FORMULA_STARTS])
+    long = lambda y: F.length(y) > EXCEL_CELL_MAX
+    cut = lambda y: F.when(long(y), F.concat(F.substring(y, 1, EXCEL_CELL_MAX - len(TRUNCATION_MARK)), F.lit(TRUNCATION_MARK))).otherwise(y)
+    parts = lambda x, y: F.struct(F.coalesce(cut(y), F.lit("")).alias("text"), F.coalesce(long(y), F.lit(False)).alias("truncated"), F.coalesce(formula(x), F.lit(False)).alias("guarded"), F.coalesce(F.length(c) - F.length(x), F.lit(0)).alias("sanitized"))
+    return _with(F.regexp_replace(c, ILLEGAL, ""), lambda x: _with(F.when(formula(x), F.concat(F.lit("'"), x)).otherwise(x), lambda y: parts(x, y)))
 
 
 def shown(c: Column, texts: dict[str, str]) -> Column:

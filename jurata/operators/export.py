@@ -64,8 +64,9 @@ def failure_rows(snap: DataFrame) -> DataFrame:
 
 
 def sheet_rows(rows: DataFrame) -> DataFrame:
-    """With the physical row in the sheet: the header is row 1."""
-    return ranked(rows, ["order_index"], "sheet_row").withColumn("sheet_row", (F.col("sheet_row") + 1).cast("int"))
+    """With the physical row in the sheet, the header being row 1: order_index, one to a row, is ranked by itself and joined."""
+    places = ranked(rows.select("order_index"), ["order_index"], "sheet_row")
+    return rows.join(places, "order_index").withColumn("sheet_row", (F.col("sheet_row") + 1).cast("int"))
 
 
 def rewrites(rows: DataFrame, sheet: str) -> DataFrame:

@@ -216,6 +216,19 @@ def results(attempts: DataFrame) -> DataFrame:
     return last.select("record_id", F.when(done, "completed").otherwise("failed").alias("status"), "stage1_json", "stage2_json", F.when(~done, F.col("last.stage")).alias("failure_stage"), F.when(~done, failure).alias("failure"), "simulated", "models")
 
 
+def payloads(records: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(record_id, value): one JSON object for each record's result, with its attempts in order; raw outputs of rejected attempts only.
+
+    records are results() with source_row; a record without stage 2 has no label.
+    """
+    raw = F.when(F.col("outcome") == "validation_error", F.col("content")).alias("raw_output")
+    entry = F.struct("stage", F.col("attempt_no").alias("attempt"), "outcome", "model", "latency_ms", "simulated", "error_code", "error_message", raw)
+    tried = attempts.groupBy("record_id").agg(F.array_sort(F.collect_list(entry)).alias("attempts"))
+    two = F.try_parse_json("stage2_json")
+    value = F.struct("record_id", "source_row", "status", F.get_json_object("stage2_json", "$.label").alias("label"), "simulated", F.try_parse_json("stage1_json").alias("stage1"), two.alias("stage2"), "failure_stage", "failure", "attempts")
+    return records.join(tried, "record_id", "left").select("record_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("value"))
+
+
 # Characters that are compared for similarity, those shown of the common part, and those around it.
 _SIMILAR, _ECHO, _AROUND = 4000, 200, 30
 

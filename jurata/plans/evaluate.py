@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digest import below
+from ..functions.prompts import prompt_snapshot
 from ..operators import evaluation as E
 from ..schemas import INPUT_COLUMNS, LABELS, SPLITS
 from ..sources import files
@@ -99,6 +101,19 @@ def generate_split(gold: DataFrame, folder: str, facts: Mapping[str, str], gener
     return manifest
 
 
+def evaluation_folder(root: str, run_id: str, evaluation_id: str) -> str:
+    """Where an evaluation's reports go; ids that would leave the root are errors."""
+    return f"{root.rstrip('/')}/{below('evaluations', f'{run_id}/{evaluation_id}')}"
+
+
+def frozen(run: Mapping, facts: Mapping[str, str]) -> dict[str, str]:
+    """The versions that an evaluation rests on: the run's own, the prompts' and what is given (gold and manifest digests); nothing that looks like a secret."""
+    versions = {f"prompt_{s}": p["sha256"] for s, p in (run.get("prompts") or prompt_snapshot()).items()}
+    own = {k: str(run[k]) for k in ("run_id", "input_digest", "revision", "mode") if run.get(k) is not None}
+    secret = ("key", "token", "secret", "password")
+    return {k: v for k, v in (own | versions | dict(facts)).items() if not any(s in k.lower() for s in secret)}
+
+
 # What a manifest must hold, and its version.
 MANIFEST_KEYS, MANIFEST_VERSION = ("manifest_version", "seed", "calibration_target", "gold", "counts", "forced_calibration", "assignments", "generated_at"), "1"
 

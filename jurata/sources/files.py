@@ -6,6 +6,9 @@ files pass through the driver: they are bounded by contract (reports of a fixed
 
 from __future__ import annotations
 
+import hashlib
+from typing import BinaryIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,34 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"could not rename to {path}")
 
 
+class TooLarge(ValueError):
+    """An upload above its limit."""
+
+
+def put_stream(spark: SparkSession, path: str, stream: BinaryIO, limit: int, piece: int = 1 << 20) -> tuple[int, str]:
+    """(bytes, sha256) of a stream copied to path piece by piece; above the limit, or if the stream fails, nothing is left of it."""
+    folder, _, name = path.rpartition("/")
+    fs, part = _system(spark, f"{folder}/.{name}.part")
+    at, size, digest, whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), 0, hashlib.sha256(), False
+    out = fs.create(part, True)
+    try:
+        while data := stream.read(piece):
+            size += len(data)
+            if size > limit:
+                raise TooLarge(f"more than {limit} bytes")
+            digest.update(data)
+            out.write(bytearray(data))
+        whole = True
+    finally:
+        out.close()
+        if not whole:
+            fs.delete(part, False)
+    fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"could not rename to {path}")
+    return size, digest.hexdigest()
+
+
 def contents(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, content) of whole files; file is a plain path for local ones."""
     return spark.read.format("binaryFile").load(list(paths)).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content")

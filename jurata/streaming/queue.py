@@ -15,9 +15,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from ..functions.judgement import BUDGET_EXHAUSTED
+from ..functions.judgement import BUDGET_EXHAUSTED, error_code_of
 from ..schemas import MAX_ATTEMPTS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -80,6 +80,41 @@ def claim_jobs(jobs: DataFrame, run: Callable[[dict], str | None], paused: Calla
     return jobs.writeStream.foreachBatch(batch)
 
 
+# Fixed value: the code of an export that failed; it never stops a queue.
+EXPORT_FAILED = "EXPORT_FAILED"
+
+
+def routed(classify: Callable[[dict], str | None], export: Callable[[dict], str | None]) -> Callable[[dict], str | None]:
+    """run() for claim_jobs() by the kind of a job: whatever is raised becomes a code, an export's failure that job's alone."""
+
+    def run(job: dict) -> str | None:
+        try:
+            return (export if job["kind"] == "export" else classify)(job)
+        except Exception as e:  # noqa: BLE001 - a job that fails is recorded, the queue goes on unless the code is systemic
+            return EXPORT_FAILED if job["kind"] == "export" else error_code_of(e)
+
+    return run
+
+
+class Heartbeat(StreamingQueryListener):
+    """Passes each micro-batch's progress (name, batch, rows) to beat(); it shows that a queue moves and decides nothing."""
+
+    def __init__(self, beat: Callable[[str | None, int, int], None]):
+        self.beat = beat
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - names of the listener's methods
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.beat(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 class _Budget(StatefulProcessor):
     """Attempts used per stage of one record's campaign."""
 

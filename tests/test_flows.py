@@ -211,3 +211,74 @@ def test_published_digests(spark, tmp_path):
     out = publish.publish(snapshot(spark), f"{tmp_path}/e", "e", {})
     assert json.loads(Path(f"{tmp_path}/e/manifest.json").read_text()) == out and all(len(a["sha256"]) == 64 for a in out["artifacts"])
     assert publish.lines_digest(spark, f"{tmp_path}/e/detail.jsonl") == out["artifacts"][1]["sha256"]
+
+
+def test_commands_on_stored_tables(spark, tmp_path, capsys):
+    """resume, export and evaluate over a folder of tables."""
+    g = gold(spark)
+    evaluate.generate_split(g, f"{tmp_path}/split", {"sha256": "ab"}, "2026-01-01")
+    refs = F.struct(*[F.lit(None).cast("string").alias(r) for r in REFS])
+    held = evaluate.read_manifest(spark, f"{tmp_path}/split/split.json").where("split = 'holdout'").select("record_id", "pos")
+    records = held.join(g.select("record_id", "gold_label"), "record_id").select(F.lit("r1").alias("run_id"), F.concat(F.lit("k"), "record_id").alias("record_key"), "record_id", F.col("pos").alias("source_row"), F.col("pos").alias("order_index"), F.lit("q").alias("q"), F.lit("a").alias("a"), refs.alias("refs"), F.lit("completed").alias("status"), F.col("gold_label").alias("label"), F.col("gold_label").alias("agent_label"), F.lit(False).alias("review_required"), F.lit(None).cast("string").alias("failure_stage"), F.lit(None).cast("string").alias("failure_code"), F.lit(None).cast("struct<code:string,message:string,attempt_count:int,retryable:boolean>").alias("failure"))
+    tables = {
+        "runs": spark.createDataFrame([("r1", "completed", 4)], "run_id string, status string, revision long"), "records": records, "gold": g,
+        "results": records.select("record_key", F.lit(2).alias("stage"), F.lit('{"reason": "x"}').alias("result_json")),
+        "attempts": records.select("record_key", F.lit("c").alias("campaign_id"), F.lit(1).alias("stage"), F.lit("succeeded").alias("status"), F.lit(True).alias("simulated")),
+        "campaigns": spark.createDataFrame([], "campaign_id string, record_key string, stage string, campaign_no int, max_attempts int"),
+        "jobs": spark.createDataFrame([], "job_id string, run_id string, kind string, status string, created_at timestamp"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/t/{name}.parquet")
+    assert cli.main(["resume", f"{tmp_path}/t"]) == 0 and "ended" in capsys.readouterr().out
+    assert cli.main(["export", f"{tmp_path}/t", "r1", f"{tmp_path}/e"]) == 0 and Path(f"{tmp_path}/e/manifest.json").exists()
+    assert cli.main(["export", f"{tmp_path}/t", "r1", f"{tmp_path}/e"]) == 3 and cli.main(["export", f"{tmp_path}/t", "r9", f"{tmp_path}/x"]) == 2
+    scored = lambda split, out: cli.main(["evaluate", f"{tmp_path}/t", "r1", f"{tmp_path}/split/split.json", split, f"{tmp_path}/{out}"])
+    assert scored("holdout", "v") == 0 and json.loads(Path(f"{tmp_path}/v/report.json").read_text())["passed"]
+    assert scored("calibration", "w") == 3 and not Path(f"{tmp_path}/w").exists()
+
+
+def test_routing_and_heartbeat(spark, tmp_path):
+    """Exceptions of jobs become codes; an export's never stops the queue; progress is passed on."""
+    import time
+
+    from jurata.operators.judge import ModelError
+
+    src = f"{tmp_path}/jobs"
+    spark.createDataFrame([(j, "r", k, "mock", i) for i, (j, k) in enumerate([("a", "export"), ("b", "classify"), ("c", "classify"), ("d", "classify")])], "job_id string, run_id string, kind string, mode string, seq long").withColumn("created_at", F.timestamp_seconds("seq")).select("job_id", "run_id", "kind", "mode", "created_at", "seq").coalesce(1).write.parquet(src)
+
+    def classify(job):
+        if job["job_id"] == "b":
+            raise ModelError("busy", status=503)
+        if job["job_id"] == "c":
+            raise ModelError("refused", status=401)
+
+    def export(job):
+        raise OSError("disk full")
+
+    out, beats = [], []
+    listener = S.Heartbeat(lambda *b: beats.append(b))
+    spark.streams.addListener(listener)
+    with pytest.raises(Exception, match="MODEL_PERMANENT"):
+        S.drain(S.claim_jobs(spark.readStream.schema(S.JOB_SCHEMA).parquet(src), S.routed(classify, export), lambda: False, lambda df: out.extend(map(tuple, df.collect()))), f"{tmp_path}/c")
+    assert out == [("a", "failed", "EXPORT_FAILED"), ("b", "failed", "MODEL_RETRYABLE"), ("c", "failed", "MODEL_PERMANENT"), ("d", "held", None)]
+    S.to_table(spark, spark.readStream.schema(S.JOB_SCHEMA).parquet(src), f"{tmp_path}/t", "copy")
+    for _ in range(50):
+        if beats:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert beats and beats[-1][2] == 4
+
+
+def test_versions(spark):
+    import hashlib
+
+    snap = prompts.prompt_snapshot()
+    assert all(snap[s]["sha256"] == hashlib.sha256(prompts.load_prompt(s).encode()).hexdigest() for s in ("stage1", "stage2"))
+    with pytest.raises(ValueError):
+        prompts.load_prompt("stage3")
+    facts = evaluate.frozen({"run_id": "r", "revision": 3, "api_key": "x"}, {"gold_sha256": "ab", "token": "t"})
+    assert facts == {"run_id": "r", "revision": "3", "prompt_stage1": snap["stage1"]["sha256"], "prompt_stage2": snap["stage2"]["sha256"], "gold_sha256": "ab"}
+    assert evaluate.evaluation_folder("/out/", "r", "e") == "/out/evaluations/r/e"
+    with pytest.raises(ValueError):
+        evaluate.evaluation_folder("/out", "r", "../../x")

@@ -294,3 +294,15 @@ def test_ranked(spark):
     got = ranked(spark.createDataFrame(rows, "k int, v string").repartition(5), ["k", "v"]).collect()
     assert [r.place for r in sorted(got, key=lambda r: (r.k, r.v))] == list(range(1, 501))
     assert ranked(spark.createDataFrame([], "k int, v string"), ["k"]).count() == 0
+
+
+def test_payloads(spark):
+    import json
+
+    tries = spark.createDataFrame([("1", "stage1", 1, "validation_error", "no", "OUTPUT_INVALID", "p", "m", 1, False), ("1", "stage1", 2, "ok", '{"a": 1}', None, None, "m", 1, False), ("1", "stage2", 1, "ok", '{"label": "L"}', None, None, "m", 1, True), ("2", "stage1", 1, "model_error", None, "CONTEXT_LIMIT", "e", None, 1, None)], judge.ATTEMPT)
+    done = judge.results(tries).withColumn("source_row", F.lit(2))
+    got = {r.record_id: json.loads(r.value) for r in judge.payloads(done, tries).collect()}
+    one, two = got["1"], got["2"]
+    assert (one["status"], one["label"], one["stage2"], one["simulated"], one["failure"]) == ("completed", "L", {"label": "L"}, True, None)
+    assert [(a["stage"], a["attempt"], a["raw_output"]) for a in one["attempts"]] == [("stage1", 1, "no"), ("stage1", 2, None), ("stage2", 1, None)]
+    assert (two["status"], two["label"], two["stage1"], two["failure_stage"], two["failure"]["code"], two["failure"]["retryable"]) == ("failed", None, None, "stage1", "CONTEXT_LIMIT", False)

@@ -200,3 +200,41 @@ def test_missing_metadata(spark, read):
     files = spark.createDataFrame([("none",)], "file string").union(cells.select("file").distinct())
     got = {r.file == "none": r.problems for r in B.gold_metadata(cells.where("row > 1"), files).collect()}
     assert got == {True: ["GOLD_META_MISSING"], False: ["GOLD_META_INCOMPLETE"]}
+
+
+def test_samples(spark, tmp_path):
+    """Each sample is blocked or passes as its name says, read from bytes."""
+    from jurata.sources import files, samples
+    from jurata.sources.xlsx import stored_cells
+
+    for name in samples.samples():
+        files.put(spark, f"{tmp_path}/s/{name}.xlsx", samples.sample_bytes(name))
+    got = {r.file.rsplit("/", 1)[1][:-5]: (r.blockers, r.total, r.valid, r.skipped_blank_rows, r.warnings) for r in B.precheck(stored_cells(spark, f"{tmp_path}/s")).collect()}
+    assert got == {
+        "passed": ([], 3, 3, 0, []), "blank_rows": ([], 2, 2, 1, []), "missing_column": (["MISSING_COLUMNS"], None, None, None, []), "repeated_column": (["DUPLICATE_COLUMNS"], None, None, None, []),
+        "extra_column": ([], 3, 3, 0, ["EXTRA_COLUMNS_UNUSED"]), "repeated_ids": (["DUPLICATE_RECORD_ID"], 2, 2, 0, []), "unreadable_cells": ([], 3, 1, 0, []), "no_valid_record": (["NO_VALID_RECORDS"], 1, 0, 0, []),
+    }
+    files.put(spark, f"{tmp_path}/g.xlsx", samples.gold_bytes([(*samples.record("1"), LABELS[0], "r", None, None, None)], {"数据版本": "v1"}))
+    cells = stored_cells(spark, f"{tmp_path}/g.xlsx")
+    assert B.gold_rows(cells.where("sheet = 'gold'")).first().problems == [] and B.gold_metadata(cells.where("sheet = 'meta' and row > 1")).first().problems == ["GOLD_META_INCOMPLETE"]
+
+
+def test_uploads(spark, tmp_path):
+    import hashlib
+    import io
+
+    from jurata.sources import files
+
+    data = bytes(range(256)) * 50
+    assert files.put_stream(spark, f"{tmp_path}/u/a.bin", io.BytesIO(data), len(data), piece=1000) == (len(data), hashlib.sha256(data).hexdigest())
+    assert files.get(spark, f"{tmp_path}/u/a.bin") == data
+    with pytest.raises(files.TooLarge):
+        files.put_stream(spark, f"{tmp_path}/u/b.bin", io.BytesIO(data), len(data) - 1, piece=1000)
+
+    class Broken(io.BytesIO):
+        def read(self, n=-1):
+            raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        files.put_stream(spark, f"{tmp_path}/u/c.bin", Broken(), 10)
+    assert [p.name for p in (tmp_path / "u").iterdir() if not p.name.startswith(".") or ".part" in p.name] == ["a.bin"]
