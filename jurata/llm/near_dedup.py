@@ -9,10 +9,11 @@
    are confirmed on the full shingle sets of the texts.
 4. Confirmed links are joined into components. Buckets whose other members are still in more than one component are
    dealt in blocks of ids and signatures (no texts); inside a block (or two blocks of one bucket) members of different
-   components are compared with the same bound, each pair in the first band it shares. First only as many pairs as would
-   join the block's components leave the task, the likeliest first, and are confirmed on their full sets; if any of them
-   isn't confirmed, all other pairs that are still between components follow. After that every candidate pair is either
-   linked through its component or was judged.
+   components are compared with the same bound, each pair in the first band it shares, and the members of likely pairs
+   are named.
+5. Those members, and no others, are dealt again with their texts, in blocks bounded by bytes too; inside a block the
+   likely pairs are confirmed on their full sets, the likeliest first, and only links that join components leave the task.
+   After that every candidate pair is either linked through its component or was judged.
 
 Edge cases: a null or wordless text has no shingles and is linked with nothing; a null doc_id takes part only as a copy;
 rows repeated under one doc_id count as one document, which is linked with whatever one of its texts is linked with, and
@@ -22,7 +23,7 @@ all of them are reported; other columns are not read, whatever they are called.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
@@ -38,8 +39,8 @@ from .components import components
 ROWS, BANDS = 5, 24
 PERMS = ROWS * BANDS
 STEP = 24
-#: Members of a bucket that meet in one block.
-BLOCK = 512
+#: Members of a bucket that meet in one block, and bytes of their texts where they are needed.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
 def _permutations() -> np.ndarray:
@@ -116,34 +117,65 @@ def _prune(least: tuple[int, ...]):
     return run
 
 
-def _block_pairs(least: tuple[int, ...], every: bool):
-    """Likely pairs between different components of one bucket's block (or of two blocks of it): all, or as few as would join them."""
+def _block(x: pa.RecordBatch, row: int, least: tuple[int, ...]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(members, components, a, b, matches): the likely pairs a, b of one block (or of two) between components, the likeliest first."""
+    band, i, j, members = (x.column(c)[row].as_py() for c in ("band", "i", "j", "members"))
+    sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, PERMS)
+    own, comp, block = (np.array([m[k] for m in members]) for k in ("rep", "component", "block"))
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    apart = np.flatnonzero((comp[a] != comp[b]) & ((i != j) | (own[a] < own[b])))
+    a, b = a[apart], b[apart]
+    ok, matches = _likely(sig, a, b, least)
+    a, b = a[ok], b[ok]
+    # A pair is judged in the first band that it shares.
+    mine = np.flatnonzero((sig[a].reshape(-1, BANDS, ROWS) == sig[b].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band)
+    mine = mine[np.argsort(-matches[mine], kind="stable")]
+    return members, comp, a[mine], b[mine], own
+
+
+def _block_members(least: tuple[int, ...]):
+    """(bucket, rep) of the members of each block that have a likely pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+            for row in range(x.num_rows):
+                _, _, a, b, own = _block(x, row, least)
+                reps = own[np.unique(np.concatenate((a, b)))]
+                found.append(np.stack((np.full(len(reps), x.column("bucket")[row].as_py()), reps)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["bucket", "rep"])
+
+    return run
+
+
+def _block_links(least: tuple[int, ...], percent: int):
+    """Links of each block between its components, as few as join them, confirmed on the members' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-            for band, i, j, members in zip(*(x.column(c).to_pylist() for c in ("band", "i", "j", "members")), strict=True):
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, PERMS)
-                own, comp, block = (np.array([m[k] for m in members]) for k in ("rep", "component", "block"))
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-                apart = np.flatnonzero((comp[a] != comp[b]) & ((i != j) | (own[a] < own[b])))
-                a, b = a[apart], b[apart]
-                ok, matches = _likely(sig, a, b, least)
-                a, b = a[ok], b[ok]
-                # A pair is judged in the first band that it shares.
-                mine = np.flatnonzero((sig[a].reshape(-1, BANDS, ROWS) == sig[b].reshape(-1, BANDS, ROWS)).all(2).argmax(1) == band)
-                if not every:
-                    mine = _joining(comp, a, b, mine[np.argsort(-matches[mine], kind="stable")])
-                one, two = own[a[mine]], own[b[mine]]
+            for row in range(x.num_rows):
+                members, comp, a, b, own = _block(x, row, least)
+                sets: dict[int, set] = {}
+
+                def linked(k: int, m: int, members=members, sets=sets) -> bool:
+                    for e in (k, m):
+                        if e not in sets:
+                            sets[e] = _set(members[e]["text"])
+                    both = len(sets[k] & sets[m])
+                    return 100 * both >= percent * (len(sets[k]) + len(sets[m]) - both)
+
+                at = _joining(comp, a, b, linked)
+                one, two = own[a[at]], own[b[at]]
                 found.append(np.stack((np.minimum(one, two), np.maximum(one, two))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, 1)], ["a", "b"])
 
     return run
 
 
-def _joining(comp: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The pairs that join components not yet joined by the ones before them."""
+def _joining(comp: np.ndarray, a: np.ndarray, b: np.ndarray, linked: Callable[[int, int], bool]) -> np.ndarray:
+    """The linked pairs, in order, that join components not yet joined by the ones before them."""
     top = {c: c for c in comp.tolist()}
 
     def root(c: int) -> int:
@@ -152,9 +184,9 @@ def _joining(comp: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray)
         return c
 
     out = []
-    for p, k, m in zip(order.tolist(), comp[a[order]].tolist(), comp[b[order]].tolist(), strict=True):
-        one, two = root(k), root(m)
-        if one != two:
+    for p, (k, m, x, y) in enumerate(zip(a.tolist(), b.tolist(), comp[a].tolist(), comp[b].tolist(), strict=True)):
+        one, two = root(x), root(y)
+        if one != two and linked(k, m):
             top[one] = two
             out.append(p)
     return np.array(out, np.int64)
@@ -207,15 +239,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> D
         left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
-    def between(labels: DataFrame, every: bool) -> DataFrame:
-        """Likely pairs of the buckets whose members, the pivot aside, are still in several components."""
-        placed = hits.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = written(placed, "placed")
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-        dealt = placed.join(written(open_, "open"), "bucket").join(reps.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members (bucket, band, rep, ...) of the buckets in which they are in several components, with their components."""
+        placed = written(members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        return placed.join(written(open_, "open"), "bucket")
+
+    def blocks(members: DataFrame, size: F.Column, *fields: str) -> DataFrame:
+        """Every two blocks of a bucket (and each by itself) in one row; size says how many blocks a bucket has."""
+        n = written(members.groupBy("bucket").agg(size.cast("long").alias("blocks")), "blocks")
+        dealt = members.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        blocks = dealt.groupBy("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig")).alias("members"))
-        return blocks.select("band", "i", "j", "members").mapInArrow(_block_pairs(least, every), "a long, b long").distinct()
+        return dealt.groupBy("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "block", "sig", *fields)).alias("members"))
+
+    def signed_blocks(labels: DataFrame) -> DataFrame:
+        members = open_members(hits, labels).join(reps.select("rep", "sig"), "rep")
+        return blocks(members, F.ceil(F.count("*") / BLOCK))
 
     tested = hits.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     likely = tested.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(least), "a long, b long")
@@ -224,15 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, miss: float = 1e-6) -> D
     same = same.select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
     links = confirmed(written(likely, "likely")).union(same)
     labels = components(links).withColumnRenamed("node", "rep")
-    asked = written(between(labels, every=False), "likely")
-    found = confirmed(asked)
+    needed = written(signed_blocks(labels).mapInArrow(_block_members(least), "bucket long, rep long").distinct(), "needed")
+    members = open_members(hits.join(needed, ["bucket", "rep"], "left_semi"), labels).join(reps.select("rep", "sig"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES))
+    found = written(blocks(members, size, "text").mapInArrow(_block_links(least, percent), "a long, b long"), "links")
     if not found.isEmpty():
-        links = links.union(found)
-        labels = components(links).withColumnRenamed("node", "rep")
-    if asked.count() > found.count():  # some weren't links, so others that they stood for may be
-        rest = confirmed(written(between(labels, every=True).join(asked, ["a", "b"], "left_anti"), "likely"))
-        if not rest.isEmpty():
-            labels = components(links.union(rest)).withColumnRenamed("node", "rep")
+        labels = components(links.union(found)).withColumnRenamed("node", "rep")
 
     classes = reps.select("words_id", "rep").join(labels, "rep", "left").select("words_id", F.coalesce("component", "rep").alias("of"))
     out = signed.select("doc_id", "n_shingles", "words_id").join(written(classes, "classes"), "words_id", "left")

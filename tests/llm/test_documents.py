@@ -352,6 +352,7 @@ def test_places_in_parts(spark, docs, monkeypatch):
 def test_blocks_in_rounds(spark, monkeypatch, block):
     """Buckets with many pairs just below and just above the threshold: pairs that aren't confirmed don't hide links behind them."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block * 1000)
     rng = random.Random(11)
     base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
     rows = []
