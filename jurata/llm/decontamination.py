@@ -172,7 +172,8 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     hits = written(texts.mapInArrow(_window_keys(sent), "level int, perm int, value long, text_id string"), "windows")
     pairs = written(hits.join(keys, ["level", "perm", "value"]).select("text_id", "item").distinct(), "candidates")
     asked = parted(pairs, ["text_id"], BLOCK_ITEMS).join(items, "item").groupBy("text_id", "part").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    one = written(texts.join(pairs.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["text_id"]), "texts")
+    few = written(pairs.select("text_id").distinct(), "asked")  # a table of known size: the planner shuffles the corpus only if it is large
+    one = written(texts.join(few, "text_id", "left_semi").dropDuplicates(["text_id"]), "texts")
     return written(one.join(asked, "text_id").select("text_id", "text", "items").mapInArrow(_verified(percent), "text_id string, item_id long, n_item long, n_shared long"), "matches")
 
 
