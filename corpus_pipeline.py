@@ -8,8 +8,9 @@ sentencepieces   the texts that are left become ids
 
 Stages keep the columns of documents, whatever further ones there are, and the last one returns ids. A row without doc_id
 is never dropped as a copy of a document with one; rows that agree in doc_id (null included) and text are one row after
-near_dedup, rows of one doc_id with different texts stay. A stage's intermediate tables are deleted once its result is
-written, so one stage's and the result's are on disk at a time.
+near_dedup, rows of one doc_id with different texts stay. Once a stage's result is written its intermediate tables and the
+result of the stage before are deleted; what stays behind run() is the input of the last stage and that stage's own tables,
+as the DataFrame returned reads them.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    spent: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(partial(stage, spark, docs, sf_dir), f"stage-{name}", spent)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

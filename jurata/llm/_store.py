@@ -1,14 +1,17 @@
 """Where intermediate tables of the operators go, and the Arrow batch bound they rely on.
 
 Tables that an operator writes are read by the DataFrame it returns, so they are left in the shared folder. Who writes
-that DataFrame at once (settled() does) can have them deleted.
+that DataFrame at once (settled() does) can have them deleted. What was written is known to the call that asked for it
+alone (a context variable), so operators may run in several threads of a driver.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes in this session (rows alone don't bound memory)."""
+    """Bounds Arrow batches by bytes in this session, for good: results are lazy (rows alone don't bound memory)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -48,29 +51,52 @@ def parted(rows: DataFrame, keys: list[str], per: int) -> DataFrame:
     return rows.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("parts"))).drop("parts")
 
 
+#: Paths of the tables that the innermost scratch() of this call has seen written, oldest first.
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/jurata/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of its own in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/jurata/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
+    if (mine := _paths.get()) is not None:
+        mine.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables written so far, oldest first.
-_paths: list[str] = []
-
-
-def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The written result of make(); the tables written on the way to it are deleted."""
-    before = len(_paths)
-    out = written(make(), name)
-    spark, spent = out.sparkSession, _paths[before:-1]
-    del _paths[before:-1]
+def deleted(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in spent:
+    for path in paths:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that are written inside, in this thread, at its end; who keeps one takes its path off the list."""
+    mine: list[str] = []
+    token = _paths.set(mine)
+    try:
+        yield mine
+    finally:
+        _paths.reset(token)
+        deleted(spark, mine)
+
+
+def settled(make: Callable[[], DataFrame], name: str, spent: list[str] | None = None) -> DataFrame:
+    """The written result of make(); the tables written on the way to it are deleted, and those whose paths are in `spent`, which has the result's path then."""
+    with scratch(SparkSession.active()) as mine:
+        out = written(make(), name)
+        path = mine.pop()
+    if spent is not None:
+        deleted(out.sparkSession, spent)
+        spent[:] = [path]
     return out
 
 
