@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "substring_dedup", "decontamination", "token_counts", "quality", "chat", "url_filter", "hilbert", "forest", "sentencepieces", "token_files")
+MODULES = ("near_dedup", "substring_dedup", "decontamination", "token_counts", "quality", "chat", "url_filter", "hilbert", "forest", "sentencepieces", "token_files", "merkle", "sort_means")
 
 
 def _gather(name: str) -> dict:

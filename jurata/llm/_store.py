@@ -70,6 +70,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with `place`, from 0 in the given order, and `part`, the sorted partition they are in: a range sort, written, and one count per partition."""
+    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("part", F.shiftright("_at", 33))
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("part").count().collect())):  # one row per sorted partition
+        offsets.append((part, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(offsets, "part long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(offsets), "part").withColumn("place", place).drop("_at", "_before")
+
+
 def deleted(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
