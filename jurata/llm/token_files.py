@@ -15,9 +15,10 @@ The format is a folder that Spark writes and reads on any of its file systems:
             counts are ids per document, gaps the bits from each checkpoint to the next (unsigned 16-bit integers), payload
             the codes, highest bit first
 
-Units (white space and what follows it up to the next) are encoded once a worker while they stay in a table of bounded size:
-the library cuts a text before ASCII white space that follows other characters, whatever stands around. Where a text holds
-other white space the library gets the whole text.
+Units are encoded once a worker while they stay in a table of bounded size: the library cuts a text before ASCII white space
+that follows other characters, and between ASCII letters, digits and other signs (but for the apostrophe), whatever stands
+around. Texts with other white space or the string of a special token go to the library whole. Needs a byte-level file
+without a normaliser, as the bytes of ids tell where a unit ends.
 
 Tasks hold a batch of texts, a block, and the table of units; no group and no document meets others than its neighbours.
 The driver holds the counts (bounded by the vocabulary) and a range bound and a sum for each part.
@@ -29,6 +30,7 @@ a document longer than a block is a block by itself; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import bound_batches, fresh_path, scratch, table, written
+from ._store import BATCH_BYTES, bound_batches, fresh_path, scratch, table, written
 from .kernel import chunks, string_bytes
 
 #: Longest code in bits (more where the vocabulary needs more).
@@ -54,6 +56,12 @@ TOGETHER = 1 << 17
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes between which the library always cuts: letters 1, digits 2, other signs but the apostrophe 4; blanks and all else 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 4
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
 # White space beyond ASCII, in UTF-8 (with U+180E, which was white space once).
 _OTHER_BLANK = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -77,7 +85,17 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # of this worker: Spark runs the tasks side by side
         self.library = Tokenizer.from_file(path)
+        special = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        vocab = self.library.get_vocab(with_added_tokens=False)
+        self.size = np.zeros(max([*vocab.values(), *special]) + 1, np.int64)  # bytes of each id
+        for token, i in vocab.items():
+            self.size[i] = len(token)  # a letter stands for a byte
+        for i, n in special.items():
+            self.size[i] = n
+        strings = [re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()]
+        self.apart = re.compile(b"|".join([_OTHER_BLANK.pattern, *strings]))
         self._forget()
 
     def _forget(self) -> None:
@@ -96,50 +114,59 @@ class Encoder:
         self.bytes += sum(map(len, units))
 
     def _learn(self, units: list[bytes]) -> None:
-        """Encodes new units: those that start with white space and don't end with it stay apart when they are joined."""
-        joined: list[bytes] = []
-        size = 0
+        """Encodes new units, many in one text: behind one that doesn't end with white space may stand one that starts with it, or a line feed."""
+        for led, mark in ((True, b""), (False, b"\n")):
+            some, size = [], 0
+            for u in units:
+                if not _BLANK[u[-1]] and led == bool(_BLANK[u[0]]):
+                    some.append(u)
+                    size += len(u)
+                    if size >= TOGETHER:
+                        self._learn_joined(some, mark)
+                        some, size = [], 0
+            if some:
+                self._learn_joined(some, mark)
         for u in units:
-            if _BLANK[u[0]] and not _BLANK[u[-1]]:
-                joined.append(u)
-                size += len(u)
-                if size >= TOGETHER:
-                    self._learn_joined(joined)
-                    joined, size = [], 0
-            else:
+            if _BLANK[u[-1]]:
                 ids = self.whole(u.decode())
                 self._add([u], ids, np.array([len(ids)]))
-        if joined:
-            self._learn_joined(joined)
 
-    def _learn_joined(self, units: list[bytes]) -> None:
-        texts = [u.decode() for u in units]
-        found = self.library.encode("".join(texts), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        counts = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(units))
-        self._add(units, np.array(found.ids, np.uint32), counts)
+    def _learn_joined(self, units: list[bytes], mark: bytes) -> None:
+        ids = np.array(self.library.encode_batch_fast([mark.join([*units, b""]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(np.stack((size, np.full(len(units), len(mark))), 1).ravel())  # of each unit and of the mark behind it
+        at = np.cumsum(self.size[ids])
+        if at[-1] != ends[-1]:
+            raise ValueError("the tokenizer isn't a byte-level one without a normaliser")
+        span = np.searchsorted(ends, at)
+        own = span % 2 == 0
+        self._add(units, ids[own], np.bincount(span[own] // 2, minlength=len(units)))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of a column of texts."""
         offsets, data = string_bytes(column)
         n = len(column)
-        if _OTHER_BLANK.search(data):
-            each = [self.whole(t) if _OTHER_BLANK.search((t or "").encode()) else self.encode(pa.array([t], pa.string()))[0] for t in column.to_pylist()]
+        if self.apart.search(data):
+            each = [self.whole(t) if self.apart.search((t or "").encode()) else self.encode(pa.array([t], pa.string()))[0] for t in column.to_pylist()]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.fromiter(map(len, each), np.int64, n)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         if len(self.code) >= KEPT or self.bytes >= KEPT_BYTES:
             self._forget()
-        blank = _BLANK[data]
+        blank, kind = _BLANK[data], _KIND[data]
         starts = np.zeros(len(data) + 1, bool)
-        starts[1:-1] = blank[1:] & ~blank[:-1]
+        starts[1:-1] = (blank[1:] & ~blank[:-1]) | ((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0))
         starts[offsets] = True
         at = np.flatnonzero(starts)  # the end of all too
         units = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
         distinct = units.dictionary.to_pylist()
-        self._learn([u for u in distinct if u not in self.code])
-        code = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        known = self.code.get
+        code = np.fromiter((known(u, -1) for u in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(code < 0)
+        units_new = [distinct[i] for i in new]
+        self._learn(units_new)
+        code[new] = [self.code[u] for u in units_new]
+        code = code[units.indices.to_numpy()]
         length = self.length.room[code]
         ends = np.cumsum(length)
         ids = self.ids.room[np.repeat(self.start.room[code] - ends + length, length) + np.arange(ends[-1])]
@@ -159,7 +186,7 @@ def encoded(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=BATCH_BYTES):
                 ids, counts = encoder.encode(part.column("text"))
                 after = np.cumsum(counts)
                 ids = np.insert(ids, after, end).astype("<u4")
