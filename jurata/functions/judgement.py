@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import builtins
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import CORRECT, LABELS, REF_OK_ANSWER_WRONG, REFS
-from .text import normalize_text, strip
+from ..schemas import CORRECT, REF_OK_ANSWER_WRONG, REFS
+from .text import normalize_text, normalized, redacted, strip
+from .typed import check, told_of
 
 # Kinds of a rejected output and the codes of failures.
 KINDS = ("output_format", "field_schema", "label_enum", "ref_range", "empty_ref", "empty_quote", "evidence_substring", "consistency")
 OUTPUT_INVALID, BUDGET_EXHAUSTED = "OUTPUT_INVALID", "BUDGET_EXHAUSTED"
-SUFFICIENCY = ("sufficient", "insufficient", "uncertain")
+# Codes that an error of a call may carry itself.
+CALL_CODES = ("MODEL_RETRYABLE", "MODEL_PERMANENT", "CONTEXT_LIMIT", "OUTPUT_TRUNCATED", "CONFIG_INVALID")
 RETRYABLE_STATUS = (408, 425, 429)
-RETRYABLE_NAMES = ("APIConnectionError", "APITimeoutError", "ConnectError", "ConnectTimeout", "ConnectionError", "InternalServerError", "PoolTimeout", "ReadError", "ReadTimeout", "RemoteProtocolError", "Timeout", "TimeoutError", "WriteError", "WriteTimeout", "OSError")
+RETRYABLE_NAMES = ("APIConnectionError", "APITimeoutError", "ConnectError", "ConnectTimeout", "ConnectionError", "InternalServerError", "PoolTimeout", "ReadError", "ReadTimeout", "RemoteProtocolError", "Timeout", "TimeoutError", "WriteError", "WriteTimeout")
+#: Names of the errors of the operating system: lost connections and timeouts among them.
+OS_ERRORS = tuple(sorted(n for n, c in vars(builtins).items() if isinstance(c, type) and issubclass(c, OSError)))
 # Scenarios of the simulated model and ids that force one.
 SCENARIOS = ("correct", "insufficient", "wrong", "correction", "forced_review")
 FORCED = {"FF-1": "forced_failure"}
@@ -80,38 +85,86 @@ def stage2_rule(s: Column) -> Column:
     )
 
 
-def _filled(s: Column, *names: str) -> Column:
-    return reduce(lambda a, b: a & b, [s[n].isNotNull() for n in names]) & F.coalesce(s["evidence_sufficiency"].isin(*SUFFICIENCY), F.lit(False))
+def stage1_problem(found: Column, errors: Column, parsed: Column, refs: Column) -> Column:
+    """Kind of the first problem of a stage-1 output: its JSON object, the errors of its fields, that parsed by the stage-1 schema, and normalised references."""
+    return F.when(found.isNull(), "output_format").when(F.size(errors) > 0, "field_schema").otherwise(F.coalesce(first_evidence_problem(parsed["evidence"], refs), F.when(stage1_rule(parsed).isNotNull(), "consistency")))
 
 
-def stage1_problem(found: Column, parsed: Column, refs: Column) -> Column:
-    """Kind of the first problem of a stage-1 output: its JSON object, that parsed by the stage-1 schema, and normalised references."""
-    return F.when(found.isNull(), "output_format").when(~_filled(parsed, "required_points", "reason"), "field_schema").otherwise(F.coalesce(first_evidence_problem(parsed["evidence"], refs), F.when(stage1_rule(parsed).isNotNull(), "consistency")))
-
-
-def stage2_problem(found: Column, parsed: Column, refs: Column) -> Column:
+def stage2_problem(found: Column, errors: Column, parsed: Column, refs: Column) -> Column:
     """The same for a stage-2 output."""
     every = F.concat(F.coalesce(parsed["evidence"], F.array()), F.flatten(F.transform(F.coalesce(parsed["stage1_corrections"], F.array()), lambda c: F.coalesce(c["evidence"], F.array()))))
-    legal = F.coalesce(parsed["label"].isin(*LABELS), F.lit(False))
-    return F.when(found.isNull(), "output_format").when(~legal | ~_filled(parsed, "reason", "review_required"), "field_schema").otherwise(F.coalesce(first_evidence_problem(every, refs), F.when(stage2_rule(parsed).isNotNull(), "consistency")))
+    return F.when(found.isNull(), "output_format").when(F.size(errors) > 0, "field_schema").otherwise(F.coalesce(first_evidence_problem(every, refs), F.when(stage2_rule(parsed).isNotNull(), "consistency")))
+
+
+#: What the broken rule of a stage asks for, by its number.
+RULES = {
+    "stage1": ("no point is listed", "the reason is empty", "sufficient without evidence", "neither evidence nor what is missing"),
+    "stage2": ("the reason is empty", "review without reasons", "uncertain without review", "a correction without a reason", "a correction that changes the class without review", "correct although the references are insufficient", "correct without evidence", "wrong answer although the references are insufficient"),
+}
+
+
+def _evidence_of(item: dict, refs: dict) -> tuple[str, str] | None:
+    name = item["ref_id"]
+    if name not in REFS:
+        return "ref_range", f"{name!r} is no reference"
+    if refs.get(name) is None:
+        return "empty_ref", f"{name} is empty"
+    quote = normalized(item["quote"])
+    if not quote:
+        return "empty_quote", f"the quote from {name} is empty"
+    return None if quote in normalized(refs[name]) else ("evidence_substring", f"the quote isn't in {name}")
+
+
+def _rule_of(stage: str, x: dict) -> int | None:
+    """stage1_rule() and stage2_rule() of a typed object."""
+    enough, review, label = x["evidence_sufficiency"], x.get("review_required"), x.get("label")
+    if stage == "stage1":
+        broken = (not x["required_points"], not normalized(x["reason"]), enough == "sufficient" and not x["evidence"], not x["evidence"] and not x["missing_information"])
+    else:
+        fix = next((4 if not normalized(c["reason"]) else 5 for c in x["stage1_corrections"] if not normalized(c["reason"]) or (c["affects_classification"] and not review)), 0)
+        short = enough == "insufficient"
+        broken = (not normalized(x["reason"]), review and not x["review_reasons"], enough == "uncertain" and not review, fix == 4, fix == 5, label == CORRECT and short, label == CORRECT and not x["evidence"], label == REF_OK_ANSWER_WRONG and short)
+    return next((n for n, b in enumerate(broken, 1) if b), None)
+
+
+def problem_of(stage: str, reply: dict, refs: dict) -> tuple[str, str] | None:
+    """(kind, message) of the first problem of a JSON object inside a task, by the same rules as stage1_problem() and stage2_problem()."""
+    x, errors = check(reply, stage)
+    if errors:
+        return "field_schema", told_of(errors)
+    quotes = x["evidence"] + [e for c in x.get("stage1_corrections", ()) for e in c["evidence"]]
+    for item in quotes:
+        if bad := _evidence_of(item, refs):
+            return bad
+    rule = _rule_of(stage, x)
+    return ("consistency", RULES[stage][rule - 1]) if rule else None
 
 
 def error_code(status: Column, name: Column, text: Column) -> Column:
     """Class of a model error by HTTP status, else by exception name; what is unknown isn't retried."""
     by_status = F.when(status.isin(*RETRYABLE_STATUS) | status.between(500, 599), "MODEL_RETRYABLE").when((status == 400) & F.contains(F.lower(text), F.lit("context")), "CONTEXT_LIMIT").otherwise("MODEL_PERMANENT")
-    return F.when(status.isNotNull(), by_status).when(name.isin(*RETRYABLE_NAMES), "MODEL_RETRYABLE").otherwise("MODEL_PERMANENT")
+    return F.when(status.isNotNull(), by_status).when(name.isin(*RETRYABLE_NAMES, *OS_ERRORS), "MODEL_RETRYABLE").otherwise("MODEL_PERMANENT")
+
+
+def error_of(error: BaseException, secrets: tuple[str, ...] = ()) -> tuple[str, str]:
+    """(class, message) of an exception inside a task: its own `code` if it's a known one, else by its status, its kind or name; secrets don't get into the message."""
+    name = type(error).__name__
+    text = redacted(str(error), secrets).strip() or name
+    status = next((s for s in (getattr(error, a, None) for a in ("status_code", "status")) if isinstance(s, int) and not isinstance(s, bool)), None)
+    said = text if status is None else f"{text}；HTTP={status}"
+    if (code := getattr(error, "code", None)) in CALL_CODES:
+        return code, said
+    if status is not None:
+        if status in RETRYABLE_STATUS or 500 <= status <= 599:
+            return "MODEL_RETRYABLE", said
+        return "CONTEXT_LIMIT" if status == 400 and "context" in text.lower() else "MODEL_PERMANENT", said
+    if name in RETRYABLE_NAMES or isinstance(error, OSError):
+        return "MODEL_RETRYABLE", said
+    return "MODEL_PERMANENT", f"{name}：{text}"
 
 
 def error_code_of(error: BaseException) -> str:
-    """The same class for an exception inside a task: its own `code`, else by its `status` or name."""
-    if code := getattr(error, "code", None):
-        return str(code)
-    status = getattr(error, "status", None)
-    if status is None:
-        return "MODEL_RETRYABLE" if type(error).__name__ in RETRYABLE_NAMES else "MODEL_PERMANENT"
-    if status in RETRYABLE_STATUS or 500 <= status <= 599:
-        return "MODEL_RETRYABLE"
-    return "CONTEXT_LIMIT" if status == 400 and "context" in str(error).lower() else "MODEL_PERMANENT"
+    return error_of(error)[0]
 
 
 def attempt_outcome(status: Column, code: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,6 +34,11 @@ def normalize_text(c: Column) -> Column:
     return strip(F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
+def normalized(text: str) -> str:
+    """normalize_text() of a text inside a task."""
+    return text.replace("\r\n", "\n").replace("\r", "\n").strip(_BLANK)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
@@ -153,6 +159,13 @@ def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
     return F.regexp_replace(c, _TOKEN, "***")
 
 
+def redacted(text: str, secrets: tuple[str, ...] = ()) -> str:
+    """redact() of a text inside a task or on the driver."""
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        text = text.replace(s, "***")
+    return re.sub(_TOKEN, "***", text, flags=re.ASCII)
+
+
 def scrub_paths(c: Column, root: str | None = None, most: int = 300) -> Column:
     """First line of a message; the output root and what follows it reads <outputs>, other drive or share paths <path>."""
     c = strip(c)

@@ -2,8 +2,8 @@
 
 call_stages() runs the state machine with any client: a factory builds one per task, and mapInPandas hands it the records
 of its partition, so partitions are judged in parallel. simulated() is the offline client as expressions in the JVM.
-Results are keyed by record. A task that is run again calls its records again: the attempts of a stage that must not be
-repeated are those of a record's ledger (used1, used2) and its committed stage 1 (stage1_json), read from stored tables.
+Results are keyed by record. A task of call_stages() that is run again calls its records again; where every call must be
+counted before it is made, operators/ledger.py calls in rounds whose attempts are written first.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import judgement as J
 from ..functions.prompts import answered, with_stage1
 from ..functions.text import clip_output, normalize_text
+from ..functions.typed import errors, typed_flags
 from ..schemas import LABELS, MAX_ATTEMPTS, STAGE1, STAGE2
 
 CORRECT, NO_REF, WRONG = LABELS
@@ -64,15 +65,16 @@ def simulated(records: DataFrame) -> DataFrame:
 
 
 def validated(replies: DataFrame) -> DataFrame:
-    """replies (reply1, reply2, refs) with problem1 and problem2, the kinds of their first problems, and judgement, the parsed stage 2.
+    """replies (reply1, reply2, refs) with problem1 and problem2, the kinds of their first problems, errors1 and errors2, the fields that break the contract, and judgement, the parsed stage 2.
 
     Each reply's JSON object and each normalised reference is a column of its own, so that it's made once.
     """
     df = replies.select("*", J.json_object(F.col("reply1")).alias("_found1"), J.json_object(F.col("reply2")).alias("_found2"), J.normalized_refs(F.col("refs")).alias("_refs"))
-    df = df.select("*", F.from_json("_found1", STAGE1).alias("_stage1"), F.from_json("_found2", STAGE2).alias("judgement"))
-    one = J.stage1_problem(F.col("_found1"), F.col("_stage1"), F.col("_refs"))
-    two = J.stage2_problem(F.col("_found2"), F.col("judgement"), F.col("_refs"))
-    return df.select("*", one.alias("problem1"), two.alias("problem2")).drop("_found1", "_found2", "_refs", "_stage1")
+    df = df.select("*", F.try_parse_json("_found1").alias("_v1"), F.try_parse_json("_found2").alias("_v2"))
+    df = df.select("*", errors(F.col("_v1"), "stage1").alias("errors1"), errors(F.col("_v2"), "stage2").alias("errors2"), F.from_json("_found1", STAGE1).alias("_stage1"), typed_flags(F.from_json("_found2", STAGE2), F.col("_v2")).alias("judgement"))
+    one = J.stage1_problem(F.col("_found1"), F.col("errors1"), F.col("_stage1"), F.col("_refs"))
+    two = J.stage2_problem(F.col("_found2"), F.col("errors2"), F.col("judgement"), F.col("_refs"))
+    return df.select("*", one.alias("problem1"), two.alias("problem2")).drop("_found1", "_found2", "_refs", "_stage1", "_v1", "_v2")
 
 
 def outcomes(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -113,13 +115,15 @@ def parse(text: str) -> dict | None:
 
 
 class ModelError(RuntimeError):
-    """A call that gave no output. `code` is its class; without one it follows from the HTTP status or the exception's name."""
+    """A call that gave no output. `code` is its class; without one it follows from the HTTP status or the exception's kind."""
 
     def __init__(self, message: str, status: int | None = None, code: str | None = None):
         super().__init__(message)
-        self.status, self.code = status, code
+        self.status_code, self.code = status, code
 
 
+# Fixed value: the outcome of an attempt that was begun and of which nothing more is known.
+UNKNOWN = "unknown_after_interrupt"
 ATTEMPT = "record_id string, stage string, attempt_no int, outcome string, content string, error_code string, error_message string, model string, latency_ms long, simulated boolean"
 
 
@@ -132,43 +136,65 @@ def _content(reply: str | dict) -> tuple[str, dict]:
     return text if isinstance(text, str) else "", facts
 
 
+def by_rules(record: dict, stage: str, reply: dict) -> str | None:
+    """The accept() of the library: "kind: message" of a reply's first problem, held against the record's `refs`."""
+    refs = record["refs"]
+    bad = J.problem_of(stage, reply, refs if isinstance(refs, dict) else refs.asDict())
+    return ": ".join(bad) if bad else None
+
+
+def attempted(record: dict, stage: str, call: Callable, accept: Callable, attempt: int) -> tuple:
+    """(outcome, content, error_code, error_message, model, latency_ms, simulated, usage) of one call; a rejected output is answered in the record's messages."""
+    began = time.monotonic()
+    try:
+        text, facts = _content(call(record, stage, attempt))
+    except Exception as e:  # noqa: BLE001 - whatever a client raises is the outcome of one attempt, not of the job
+        return "model_error", None, *J.error_of(e), None, round((time.monotonic() - began) * 1000), None, None
+    took = facts.get("latency_ms", round((time.monotonic() - began) * 1000))
+    reply = parse(text)
+    problem = "output_format" if reply is None else accept(record, stage, reply)
+    known = (facts.get("model"), took, facts.get("simulated"), usage_of(facts.get("usage")))
+    if problem is None:
+        return "ok", text, None, None, *known
+    if record.get("messages"):
+        record["messages"] = answered(record["messages"], text, problem, problem.split(":")[0])
+    return "validation_error", text, J.OUTPUT_INVALID, problem, *known
+
+
+#: What a service says of the tokens of a call.
+USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def usage_of(usage: object) -> str | None:
+    """Token counts of a call (a dict or an object) as JSON text, null where there are none: a missing count is null, never 0."""
+    get = usage.get if isinstance(usage, dict) else lambda n: getattr(usage, n, None)
+    found = {n: v if isinstance(v := get(n), int) and not isinstance(v, bool) else None for n in USAGE}
+    return json.dumps(found) if any(v is not None for v in found.values()) else None
+
+
 def _stage(record: dict, stage: str, call: Callable, accept: Callable, used: int, most: int, wait: tuple[float, ...], sleep: Callable[[float], None]) -> Iterator[tuple]:
     """Attempts of one stage after `used` ones, until one is accepted, the budget is used up, or an error isn't worth another try."""
     if used >= most:
         yield stage, used, "budget_exhausted", None, J.BUDGET_EXHAUSTED, f"{most} attempts are used", None, None, None
         return
     for attempt in range(used + 1, most + 1):
-        began = time.monotonic()
-        try:
-            text, facts = _content(call(record, stage, attempt))
-        except Exception as e:  # noqa: BLE001 - whatever a client raises is the outcome of one attempt, not of the job
-            code = J.error_code_of(e)
-            yield stage, attempt, "model_error", None, code, str(e), None, round((time.monotonic() - began) * 1000), None
-            if code != "MODEL_RETRYABLE":
-                return
-            if attempt < most:
-                sleep(wait[min(attempt, len(wait)) - 1])
-            continue
-        took = facts.get("latency_ms", round((time.monotonic() - began) * 1000))
-        reply = parse(text)
-        problem = "output_format" if reply is None else accept(record, stage, reply)
-        known = (facts.get("model"), took, facts.get("simulated"))
-        if problem is None:
-            yield stage, attempt, "ok", text, None, None, *known
+        row = attempted(record, stage, call, accept, attempt)
+        yield stage, attempt, *row[:-1]
+        if row[0] == "ok" or (row[0] == "model_error" and row[2] != "MODEL_RETRYABLE"):
             return
-        yield stage, attempt, "validation_error", text, J.OUTPUT_INVALID, problem, *known
-        if record.get("messages"):
-            record["messages"] = answered(record["messages"], text, problem, problem.split(":")[0])
+        if row[0] == "model_error" and attempt < most:
+            sleep(wait[min(attempt, len(wait)) - 1])
 
 
-def call_stages(records: DataFrame, client: Callable[[], Callable[[dict, str, int], str | dict]], accept: Callable[[dict, str, dict], str | None], max_attempts: int = MAX_ATTEMPTS, wait: tuple[float, ...] = (2, 4), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def call_stages(records: DataFrame, client: Callable[[], Callable[[dict, str, int], str | dict]], accept: Callable[[dict, str, dict], str | None] = by_rules, max_attempts: int = MAX_ATTEMPTS, wait: tuple[float, ...] = (2, 4), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """Every attempt (ATTEMPT) of both stages with a live client.
 
     client() is built once per task and called as client(record, stage, attempt_no); it returns a text, or a dict with
     `content` and any of model, latency_ms, simulated and finish_reason; what it raises is classed, and retryable errors are
-    tried again after a wait. accept(record, stage, reply) names a problem (a kind, or "kind: more") or returns None.
+    tried again after a wait. accept(record, stage, reply) names a problem (a kind, or "kind: more") or returns None; by
+    default it holds the reply against the contract of the stage and the record's refs.
     Columns of records that count: stage1_json, a committed stage 1, which isn't called again; used1 and used2, attempts of
-    the current campaigns, which aren't refunded; messages1 and messages2 (stage 2's made with a null stage 1): the client
+    the current campaigns (null or NaN for none), which aren't refunded; messages1 and messages2 (stage 2's made with a null stage 1): the client
     finds the messages to send in record["messages"], with every rejected output and what to mend behind them. Stage 2 is
     called only after stage 1 was accepted.
     """
@@ -212,7 +238,8 @@ def results(attempts: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("simulated"), F.lit(False)).alias("simulated"), F.array_sort(F.collect_set("model")).alias("models"),
     )
     done = F.col("last.stage").eqNullSafe("stage2") & (F.col("last.outcome") == "ok")
-    failure = F.struct(F.col("last.error_code").alias("code"), F.col("last.error_message").alias("message"), F.col("last.attempt_no").alias("attempt_count"), (F.col("last.error_code") == "MODEL_RETRYABLE").alias("retryable"))
+    code = F.coalesce("last.error_code", F.when(F.col("last.outcome") == UNKNOWN, J.BUDGET_EXHAUSTED))
+    failure = F.struct(code.alias("code"), F.col("last.error_message").alias("message"), F.col("last.attempt_no").alias("attempt_count"), (F.col("last.error_code") == "MODEL_RETRYABLE").alias("retryable"))
     return last.select("record_id", F.when(done, "completed").otherwise("failed").alias("status"), "stage1_json", "stage2_json", F.when(~done, F.col("last.stage")).alias("failure_stage"), F.when(~done, failure).alias("failure"), "simulated", "models")
 
 

@@ -28,6 +28,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file or folder to a place where nothing is yet."""
+    fs, at = _system(spark, path)
+    goal = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(goal.getParent())
+    if not fs.rename(at, goal):
+        raise OSError(f"could not rename to {to}")
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> None:
     """Writes a file wholly or not at all: to a hidden part file that is renamed at the end, in place of an older one."""
     folder, _, name = path.rpartition("/")
