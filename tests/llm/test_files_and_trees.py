@@ -246,3 +246,24 @@ def test_stage_tables(spark, tmp_path):
     out = C.run(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
     left = {f for f in os.listdir(folder) if f.startswith("stage-")} - before
     assert len(left) == 1 and next(iter(left)).startswith("stage-decontamination-") and out.where(F.col("doc_id").isNotNull()).count() > 0
+
+
+def test_common_lines_of_items(spark):
+    """A benchmark whose items share a line, and documents that hold it: candidates in proportion to matches, no match lost."""
+    from jurata.llm import decontamination
+
+    from .test_documents import shingles
+
+    rng = random.Random(31)
+    w = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = "answer the next question in one word".split()
+    items = [(i, " ".join(line + w((5, 12, 33, 100)[i % 4]))) for i in range(400)]
+    docs = [(i, " ".join(w(30) + line + w(60))) for i in range(500)]
+    docs += [(1000 + i, " ".join(w(20) + t.split() + w(40))) for i, t in items[::10]] + [(2000 + i, " ".join(t.split()[: -max(1, len(t.split()) // 20)])) for i, t in items[::20]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sets, asked = [(d, shingles(t)) for d, t in docs], [(i, shingles(t)) for i, t in items]
+    want = sorted((d, i, len(q), len(q & s)) for d, s in sets for i, q in asked if 100 * len(q & s) >= 80 * len(q))
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontamination.contaminated(df, bench).collect()) == want
+    assert {i for d, i, *_ in want if d >= 1000} >= {i for i, _ in items[::10]}
+    assert decontamination.candidates(df, decontamination.numbered_items(bench)).count() <= 3 * len(want)
