@@ -12,7 +12,6 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +22,7 @@ from ..functions.prompts import answered, with_stage1
 from ..functions.text import clip_output, normalize_text
 from ..functions.typed import errors, typed_flags
 from ..schemas import LABELS, MAX_ATTEMPTS, STAGE1, STAGE2
+from .quotes import longest_common, similarity
 
 CORRECT, NO_REF, WRONG = LABELS
 
@@ -268,11 +268,8 @@ def _diagnosis(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
         if not s:
             rows.append((False, False, len(q), 0, None, None, None, None, None, None, None))
             continue
-        a = b = n = 0
-        for block in SequenceMatcher(None, q, s, autojunk=False).get_matching_blocks():
-            if block.size > n:
-                a, b, n = block
-        ratio = round(SequenceMatcher(None, q[:_SIMILAR], s[:_SIMILAR], autojunk=False).ratio(), 4)
+        a, b, n = longest_common(q, s)
+        ratio = round(similarity(q[:_SIMILAR], s[:_SIMILAR]), 4)
         inside = q in s
         # The common part is as long as can be, so the texts part right behind it.
         parts = (None, None, None) if inside else (a + n, q[a + n : a + n + 1] or None, s[b + n : b + n + 1] or None)

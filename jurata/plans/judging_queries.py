@@ -109,3 +109,15 @@ def judging_rules(spark, d):
     refs = F.struct(*[F.when(F.lit(r == "ref2"), F.coalesce("text", F.lit(""))).alias(r) for r in REFS])
     rows = docs.select("doc_id", F.lit(None).cast("string").alias("reply1"), reply.alias("reply2"), refs.alias("refs"))
     return judge.validated(rows).select("doc_id", F.col("problem2").alias("problem"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, lower(p_name) AS q, lower(concat(p_type, ' ', p_brand, ' ', p_name[2:9])) AS s FROM part),
+n AS (SELECT p_partkey, i, n FROM p, range(1, 60) a(i), range(1, 60) b(n) WHERE i + n - 1 <= length(q) AND contains(s, substr(q, cast(i AS integer), cast(n AS integer)))),
+m AS (SELECT p_partkey, max(n) AS n FROM n GROUP BY 1)
+SELECT p_partkey, contains(s, q) AS is_substring, cast(coalesce(m.n, 0) AS integer) AS match_len, coalesce(substr(q, cast((SELECT min(i) FROM n WHERE n.p_partkey = p.p_partkey AND n.n = m.n) AS integer), cast(m.n AS integer)), '') AS match FROM p LEFT JOIN m USING (p_partkey)"""
+)
+def quote_common_part(spark, d):
+    """The longest part of each part's name that also stands in its description."""
+    part = _table(spark, d, "part").selectExpr("p_partkey", "lower(p_name) as quote", "lower(concat(p_type, ' ', p_brand, ' ', substr(p_name, 2, 8))) as source")
+    return judge.diagnosed(part).select("p_partkey", "is_substring", "match_len", "match")

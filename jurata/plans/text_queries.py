@@ -166,6 +166,6 @@ def judge_two_stage_mock(spark, d):
 
 @query()
 def quote_diagnosis(spark, d):
-    """No SQL: longest common part and similarity are computed by difflib; tests hold them against plain loops."""
+    """No SQL for the similarity; tests hold it against plain loops, and quote_common_part has SQL for the longest common part."""
     items = _table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), F.overlay("text", F.lit("#"), 30).alias("source"))
     return judge.diagnosed(items).drop("quote", "source")
