@@ -1,8 +1,10 @@
 """Publishes the export of a run: one workbook of four sheets and JSON lines, both or neither.
 
-The workbook is bounded by contract (a run's records fit a sheet) and goes through the driver; JSON lines are written by
-the cluster. All of them are written by Spark's own file systems, below any path that its writers take. The manifest that
-makes an export visible is written last, after both files are there.
+The snapshot is written once below the export's folder and every sheet and line is made of what was written, so all of them
+are of one version, whatever is appended meanwhile; it goes when the export is there. The workbook is bounded by contract
+(a run's records fit a sheet, MOST_ROWS and MOST_BYTES) and goes through the driver, row by row into the archive; JSON
+lines are written by the cluster. All of them are written by Spark's own file systems, below any path that its writers
+take. The manifest that makes an export visible is written last, after both files are there.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from ..functions.text import excel_cell
 from ..operators import export as E
 from ..operators.records import batch_counters
 from ..sources import files
+from ..sources.pinned import Version
 from ..sources.xlsx import workbook_bytes
 
-#: Records of a run that a workbook takes.
-MOST_ROWS = 100_000
+#: Records of a run that a workbook takes, and the bytes of their texts.
+MOST_ROWS, MOST_BYTES = 100_000, 256 << 20
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
@@ -30,7 +33,6 @@ def _encoded(rows: DataFrame) -> DataFrame:
 
 def document(snap: DataFrame, run: Mapping[str, str]) -> dict[str, DataFrame]:
     """The four sheets of a snapshot with its rewritten cells counted in the summary."""
-    snap = snap.cache()
     sheets = dict(zip(E.SHEETS, (E.classification_rows(snap), E.review_rows(snap), E.failure_rows(snap)), strict=False))
     changed = None
     for name, rows in sheets.items():
@@ -43,20 +45,36 @@ def document(snap: DataFrame, run: Mapping[str, str]) -> dict[str, DataFrame]:
     return ordered | {E.SHEETS[3]: E.summary_rows(facts, extra).orderBy("ord").drop("ord", "run_id")}
 
 
-def publish(snap: DataFrame, folder: str, export_id: str, run: Mapping[str, str]) -> dict:
-    """Writes detail.jsonl (a folder of parts), result.xlsx and manifest.json below folder; returns the manifest."""
+def publish(snap: DataFrame, folder: str, export_id: str, run: Mapping[str, str], version: Version | None = None) -> dict:
+    """Writes detail.jsonl (a folder of parts), result.xlsx and manifest.json below folder; returns the manifest.
+
+    snap is a snapshot of one run. The version it was read from, if given, is kept as version.json; the manifest names its
+    revision.
+    """
     spark = snap.sparkSession
     if files.exists(spark, f"{folder}/manifest.json"):
         raise FileExistsError(f"{folder} is published already")
-    if snap.limit(MOST_ROWS + 1).count() > MOST_ROWS:
-        raise ValueError(f"a workbook takes {MOST_ROWS} records")
+    kept = f"{folder}/_snapshot"
+    snap.write.mode("overwrite").parquet(kept)
+    snap = spark.read.schema(snap.schema).parquet(kept)
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    runs = F.count_distinct("run_id") if "run_id" in snap.columns else F.lit(1)
+    n, total, n_runs = snap.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), runs).first()
+    if n > MOST_ROWS or total > MOST_BYTES:
+        raise ValueError(f"a workbook takes {MOST_ROWS} records of {MOST_BYTES} bytes together, not {n} of {total}")
+    if n_runs > 1:
+        raise ValueError("an export is of one run")
     lines = E.json_lines(snap, export_id).orderBy("order_index").select("value")
     lines.write.mode("overwrite").text(f"{folder}/detail.jsonl")
-    tables = {name: (df.columns, map(tuple, _encoded(df).collect())) for name, df in document(snap, run).items()}
+    tables = {name: (df.columns, map(tuple, _encoded(df).toLocalIterator())) for name, df in document(snap, run).items()}
     book = workbook_bytes(tables)
     files.put(spark, f"{folder}/result.xlsx", book)
     manifest = {"export_id": export_id, "artifacts": [{"kind": "excel", "path": "result.xlsx", "sha256": hashlib.sha256(book).hexdigest()}, {"kind": "jsonl", "path": "detail.jsonl", "sha256": lines_digest(spark, f"{folder}/detail.jsonl")}]}
+    if version is not None:
+        version.store(f"{folder}/version.json")
+        manifest["captured_revision"] = version.revision
     files.put(spark, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False).encode())
+    files.remove(spark, kept)
     return manifest
 
 

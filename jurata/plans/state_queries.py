@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import export as E
 from ..operators import records as R
+from ..operators.ranks import shared_folder
 from ..schemas import INPUT_COLUMNS, LABELS, REFS
+from ..sources.pinned import Version
 from . import adapter as V
 
 QUERIES: dict = {}
@@ -219,3 +223,20 @@ def raw_inputs(spark, d):
     raw = docs.select("doc_id", F.struct(*[c.alias(r) for c, r in zip(refs, REFS, strict=True)]).alias("refs"), X.raw_input(F.col("doc_id").cast("string"), F.col("text"), F.col("lang"), *refs).alias("raw"))
     back = raw.select("doc_id", X.ref_count(F.col("refs")).alias("n_refs"), F.array_join(F.map_keys("raw"), ",").alias("names"), X.input_of(F.col("raw")).alias("r"))
     return back.select("doc_id", "n_refs", "names", F.concat_ws("|", "r.record_id", "r.q", "r.a", F.coalesce("r.refs.ref1", F.lit(""))).alias("read"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT events.* FROM events, n WHERE event_id * 2 < n.n) SELECT user_id AS record_key, arg_max(event_type, event_id) AS status, count(*) AS n_states, (SELECT max(event_id) FROM e) AS captured_revision FROM e GROUP BY 1")
+def pinned_version(spark, d):
+    """States of records in a version captured between two appends: what is appended afterwards changes nothing."""
+    events = _table(spark, d, "events").select(F.col("user_id").alias("record_key"), F.col("event_id").alias("revision"), F.col("event_type").alias("status"))
+    half, folder = events.count() / 2, f"{shared_folder(spark)}/jurata/version-{uuid.uuid4().hex}"
+    early = F.col("revision") < half
+    ahead = events.where(~early & (F.col("revision") % 10 == 0))  # rows are there before their revision is raised
+    events.where(early).union(ahead).write.parquet(f"{folder}/states")
+    events.where(early).select("revision").write.parquet(f"{folder}/log")
+    version = Version.capture(spark, f"{folder}/log", {"states": f"{folder}/states"})
+    version.store(f"{folder}/version.json")
+    events.where(~early).write.mode("append").parquet(f"{folder}/states")
+    events.where(~early).select("revision").write.mode("append").parquet(f"{folder}/log")
+    rows = Version.load(spark, f"{folder}/version.json").read("states")
+    return rows.groupBy("record_key").agg(F.max_by("status", "revision").alias("status"), F.count("*").alias("n_states"), F.lit(version.revision).cast("long").alias("captured_revision"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from typing import BinaryIO
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +38,34 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"could not rename to {to}")
 
 
+def _replace(spark: SparkSession, part: str, path: str) -> None:
+    """Renames a written file over an older one in one step, where the file system can; there is always one of both."""
+    jvm = spark.sparkContext._jvm
+    fs, at = _system(spark, part)
+    goal = jvm.org.apache.hadoop.fs.Path(path)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    except Py4JJavaError:  # a store without such renames: its objects appear whole anyway
+        fs.delete(goal, False)
+        if not fs.rename(at, goal):
+            raise OSError(f"could not rename to {path}") from None
+        return
+    context.rename(at, goal, how)
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes a file wholly or not at all: to a hidden part file that is renamed at the end, in place of an older one."""
+    """Writes a file wholly or not at all: to a hidden part file that takes an older one's place at the end."""
     folder, _, name = path.rpartition("/")
-    fs, part = _system(spark, f"{folder}/.{name}.part")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = fs.create(part, True)
+    part = f"{folder}/.{name}.part"
+    fs, at = _system(spark, part)
+    out = fs.create(at, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"could not rename to {path}")
+    _replace(spark, part, path)
 
 
 class TooLarge(ValueError):
@@ -57,11 +73,12 @@ class TooLarge(ValueError):
 
 
 def put_stream(spark: SparkSession, path: str, stream: BinaryIO, limit: int, piece: int = 1 << 20) -> tuple[int, str]:
-    """(bytes, sha256) of a stream copied to path piece by piece; above the limit, or if the stream fails, nothing is left of it."""
+    """(bytes, sha256) of a stream copied to path piece by piece; above the limit, or if the stream fails, nothing is left of it and an older file stays."""
     folder, _, name = path.rpartition("/")
-    fs, part = _system(spark, f"{folder}/.{name}.part")
-    at, size, digest, whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), 0, hashlib.sha256(), False
-    out = fs.create(part, True)
+    part = f"{folder}/.{name}.part"
+    fs, at = _system(spark, part)
+    size, digest, whole = 0, hashlib.sha256(), False
+    out = fs.create(at, True)
     try:
         while data := stream.read(piece):
             size += len(data)
@@ -73,10 +90,8 @@ def put_stream(spark: SparkSession, path: str, stream: BinaryIO, limit: int, pie
     finally:
         out.close()
         if not whole:
-            fs.delete(part, False)
-    fs.delete(at, False)
-    if not fs.rename(part, at):
-        raise OSError(f"could not rename to {path}")
+            fs.delete(at, False)
+    _replace(spark, part, path)
     return size, digest.hexdigest()
 
 

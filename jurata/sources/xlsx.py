@@ -4,11 +4,14 @@ spark.dataSource.register(XlsxDataSource); spark.read.format("xlsx").load(path)
 (file, sheet, visible, row, col, kind, value, cached, cached_kind), kind n(umber), s(tring), b(oolean), d(ate or time, by
 the cell's number format, as ISO text), e(rror) or f(ormula, whose formula is value and whose stored result is cached, of
 cached_kind). Numbers are texts: integers digit by digit, others by the shortest digits of their double. Option
-mode=catalog gives only (file, sheet, visible). Several comma-separated paths are read in parallel, one partition per
-file. Guards run before cells are read: size of the unpacked archive, number of visible sheets, cells of a sheet.
+mode=catalog gives only (file, sheet, visible). With option pushdown=true, where spark.sql.python.filterPushdown.enabled is
+set, filters on sheet, row and col reach the file. Several comma-separated paths are read in parallel, one partition per
+sheet. Guards run before cells are read: size of the unpacked archive, number of visible sheets, cells of a sheet.
 
 df.write.format("xlsx").mode("append").option("sheet", name).save(path) writes one workbook per partition (order the rows
-and use one partition for one file): bold header row, frozen, no formulas, at most MAX_ROWS rows, written as they come.
+and use one partition for one file): bold header row, frozen, no formulas, at most MAX_ROWS rows, written as they come. A
+second attempt of a task doesn't meet the first one's file, and nothing has its name before the whole job is done. Streams
+are written the same way, one set of files a micro-batch.
 
 Both read and write paths that every machine has: in a cluster they need option shared=true (a mounted folder).
 stored_cells() reads workbooks from any file system that Spark reads.
@@ -19,17 +22,19 @@ from __future__ import annotations
 import io
 import os
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from itertools import chain, islice
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .files import contents
@@ -150,8 +155,8 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
 
 
-def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: int = MAX_CELLS) -> Iterator[tuple]:
-    """(row, col, kind, value, cached, cached_kind) of the cells with a value, streamed."""
+def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: int = MAX_CELLS, rows_wanted: tuple[float, float] = (1, float("inf"))) -> Iterator[tuple]:
+    """(row, col, kind, value, cached, cached_kind) of the cells with a value, streamed; the cells of rows behind the last one wanted aren't read."""
     kinds = {"n": "n", "s": "s", "str": "s", "inlineStr": "s", "b": "b", "e": "e", "d": "d"}
     dates = Dates.of(book)
     row = rows = cols = 0
@@ -160,6 +165,9 @@ def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: in
             if e.tag != f"{_MAIN}row":
                 continue
             row = int(e.get("r", row + 1))
+            if row > rows_wanted[1]:
+                e.clear()
+                continue
             col = 0
             for c in e.iter(f"{_MAIN}c"):
                 col = _column(c.get("r")) if c.get("r") else col + 1
@@ -185,19 +193,20 @@ def cells(book: zipfile.ZipFile, sheet: Sheet, strings: list[str], max_cells: in
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, sheet: str | None = None):
         super().__init__(path)
-        self.path = path
+        self.path, self.sheet = path, sheet
 
 
-def _rows_of(book: zipfile.ZipFile, name: str, catalog: bool, sheet: str | None) -> Iterator[tuple]:
+def _rows_of(book: zipfile.ZipFile, name: str, catalog: bool, wanted: Wanted) -> Iterator[tuple]:
     strings = None if catalog else _shared(book)
     for s in sheets(book):
         if catalog:
             yield name, s.name, s.visible
-        elif sheet in (None, s.name):
-            for cell in cells(book, s, strings):
-                yield (name, s.name, s.visible, *cell)
+        elif wanted.sheets is None or s.name in wanted.sheets:
+            for cell in cells(book, s, strings, rows_wanted=wanted.rows):
+                if wanted.rows[0] <= cell[0] and wanted.cols[0] <= cell[1] <= wanted.cols[1]:
+                    yield (name, s.name, s.visible, *cell)
 
 
 def stored_cells(spark: SparkSession, *paths: str, catalog: bool = False, sheet: str | None = None, max_upload: int = MAX_UPLOAD) -> DataFrame:
@@ -208,7 +217,7 @@ def stored_cells(spark: SparkSession, *paths: str, catalog: bool = False, sheet:
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 with guarded(io.BytesIO(content), max_upload) as book:
-                    found = pd.DataFrame(list(_rows_of(book, file, catalog, sheet)), columns=names)
+                    found = pd.DataFrame(list(_rows_of(book, file, catalog, Wanted(frozenset([sheet]) if sheet else None))), columns=names)
                     yield found.astype({c: "Int32" for c in ("row", "col") if c in names})
 
     return contents(spark, *paths).mapInPandas(run, _CATALOG if catalog else _SCHEMA)
@@ -224,18 +233,76 @@ def _mounted(options: dict, path: str) -> str:
     return path.removeprefix("file://")
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Which sheets, rows and columns of a workbook are asked for."""
+
+    sheets: frozenset[str] | None = None
+    rows: tuple[float, float] = (1, float("inf"))
+    cols: tuple[float, float] = (1, float("inf"))
+
+    def narrowed(self, f: Filter) -> Wanted | None:
+        """With a filter on sheet, row or col; null if it says something else."""
+        name, value = (f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None), getattr(f, "value", None)
+        if name == "sheet" and isinstance(f, (EqualTo, In)):
+            asked = frozenset([value] if isinstance(f, EqualTo) else value)
+            return replace(self, sheets=asked if self.sheets is None else self.sheets & asked)
+        if name not in ("row", "col"):
+            return None
+        low, high = own = self.rows if name == "row" else self.cols
+        if isinstance(f, In):  # the range of the values alone: the filter itself is left to Spark
+            own = (max(low, min(value)), min(high, max(value)))
+        elif isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+            own = (max(low, value + isinstance(f, GreaterThan)) if not isinstance(f, (LessThan, LessThanOrEqual)) else low, min(high, value - isinstance(f, LessThan)) if not isinstance(f, (GreaterThan, GreaterThanOrEqual)) else high)
+        else:
+            return None
+        return replace(self, rows=own) if name == "row" else replace(self, cols=own)
+
+
+#: Cells of an Arrow batch.
+BATCH_CELLS = 8192
+_TYPES = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    names, types = zip(*[(n, _TYPES[t]) for n, t in (f.split() for f in schema.split(", "))], strict=True)
+    rows = iter(rows)
+    while some := list(islice(rows, BATCH_CELLS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], list(names))
+
+
 class XlsxReader(DataSourceReader):
+    """A partition for each sheet that is asked for; a reader of the catalogue opens no sheet."""
+
     def __init__(self, options: dict):
         self.paths = [_mounted(options, p.strip()) for p in options["path"].split(",")]
-        self.catalog, self.sheet = options.get("mode") == "catalog", options.get("sheet")
+        self.catalog = options.get("mode") == "catalog"
+        self.wanted = Wanted(frozenset([options["sheet"]]) if options.get("sheet") else None)
         self.max_upload = int(options.get("maxbytes", options.get("maxBytes", MAX_UPLOAD)))
 
     def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
+        if self.catalog:
+            return [_File(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            with guarded(p, self.max_upload) as book:  # names of sheets alone
+                out += [_File(p, s.name) for s in sheets(book) if self.wanted.sheets is None or s.name in self.wanted.sheets]
+        return out
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         with guarded(partition.path, self.max_upload) as book:
-            yield from _rows_of(book, partition.path, self.catalog, self.sheet)
+            yield from _batches(_rows_of(book, partition.path, self.catalog, replace(self.wanted, sheets=frozenset([partition.sheet]))), _CATALOG if self.catalog else _SCHEMA)
+
+
+class FilteredXlsxReader(XlsxReader):
+    """The same with filters: other sheets aren't opened, the cells of rows behind the last one asked for aren't read."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - name of the interface
+        for f in filters:
+            narrowed = self.wanted.narrowed(f)
+            self.wanted = narrowed or self.wanted
+            if narrowed is None or isinstance(f, In):
+                yield f
 
 
 def sheet_xml(columns: list[str], rows: Iterator[tuple], write: Callable[[str], object], max_rows: int = MAX_ROWS) -> int:
@@ -305,32 +372,59 @@ def _write(target: str | io.BytesIO, tables: dict[str, tuple[list[str], Iterator
 @dataclass
 class _Written(WriterCommitMessage):
     path: str | None
+    part: int
     rows: int
 
 
-class XlsxWriter(DataSourceWriter):
+class _Parts:
+    """Workbooks of a job: every attempt of a task writes a hidden file of its own, what is committed gets its name at the end, all others go."""
+
     def __init__(self, schema: StructType, options: dict):
         self.columns, self.folder, self.sheet = schema.names, _mounted(options, options["path"]), options.get("sheet", "Sheet1")
+        self.job = uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
+        task = TaskContext.get()
         rows = map(tuple, rows)
         first = list(islice(rows, 1))
-        if not first and TaskContext.get().partitionId():
-            return _Written(None, 0)
+        if not first and task.partitionId():
+            return _Written(None, task.partitionId(), 0)
         os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/part-{TaskContext.get().partitionId():05d}.xlsx"
-        return _Written(path, write_workbook(path, {self.sheet: (self.columns, chain(first, rows))}))
+        path = f"{self.folder}/.{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}.xlsx"
+        return _Written(path, task.partitionId(), _write(path, {self.sheet: (self.columns, chain(first, rows))}))
+
+    def _publish(self, messages: list, name: str) -> None:
+        for m in messages:
+            if m and m.path:
+                os.replace(m.path, f"{self.folder}/{name.format(m.part)}")
+        self._clear()
+
+    def _clear(self) -> None:
+        for f in os.listdir(self.folder) if os.path.isdir(self.folder) else ():
+            if f.startswith(f".{self.job}-"):
+                os.remove(f"{self.folder}/{f}")
+
 
+class XlsxWriter(_Parts, DataSourceWriter):
     def commit(self, messages: list) -> None:
+        self._publish(messages, "part-{:05d}.xlsx")
         with open(f"{self.folder}/_SUCCESS", "w"):
             pass
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clear()
+
+
+class XlsxStreamWriter(_Parts, DataSourceStreamWriter):
+    """The same for a stream: the files of a micro-batch are named by its number, so one that is repeated replaces its own."""
+
+    def commit(self, messages: list, batchId: int) -> None:  # noqa: N803 - name of the interface
+        self._publish(messages, f"batch-{batchId:05d}-part-{{:05d}}.xlsx")
+
+    def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
+        self._clear()
 
 
 class XlsxDataSource(DataSource):
@@ -342,7 +436,11 @@ class XlsxDataSource(DataSource):
         return _CATALOG if self.options.get("mode") == "catalog" else _SCHEMA
 
     def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(dict(self.options))
+        filtered = self.options.get("pushdown", "").lower() == "true" and self.options.get("mode") != "catalog"
+        return (FilteredXlsxReader if filtered else XlsxReader)(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> XlsxWriter:
         return XlsxWriter(schema, dict(self.options))
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> XlsxStreamWriter:  # noqa: N802 - name of the interface
+        return XlsxStreamWriter(schema, dict(self.options))
