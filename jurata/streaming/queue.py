@@ -2,7 +2,8 @@
 
 A queue is a folder of job events. claim_jobs() hands out jobs in order, one micro-batch at a time (the single slot),
 past a gate that holds all but exports while paused; held jobs stay waiting, and are handed out with the next micro-batch
-or by hand_out() once the gate is open. attempt_budget() keeps each record's attempts per stage in the state
+or by hand_out() once the gate is open. gated() has the gate inside the stream: waiting jobs are in its state, and pause
+and resume are events. held_jobs() and used_attempts() read the state of a queue as tables. attempt_budget() keeps each record's attempts per stage in the state
 store: an attempt is reserved before a call and never given back, and a restart goes on from the checkpoint.
 first_events() and revisions() are the deduplication of automatic exports and the revision counter.
 """
@@ -155,6 +156,73 @@ def attempt_budget(requests: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
     return requests.select("record_key", "stage", "seq").groupBy("record_key").transformWithStateInPandas(statefulProcessor=_Budget(most), outputStructType="record_key string, seq long, stage string, attempt_no int, outcome string", outputMode="Append", timeMode="None")
 
 
+#: Parts that a gated queue keeps its waiting jobs in.
+SHARDS = 64
+_JOB = "job_id string, run_id string, kind string, created_at timestamp, seq long"
+
+
+class _Gate(StatefulProcessor):
+    """The waiting jobs of one part of a queue, and whether its gate is closed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.closed = handle.getValueState("closed", "yes boolean")
+        self.held = handle.getListState("held", _JOB)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Events in their order: exports pass always, other jobs while the gate is open; it lets out in order when it opens."""
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")  # what a micro-batch has for this part
+        closed = bool(self.closed.get()[0]) if self.closed.exists() else False
+        held, fresh, out = None, [], []
+        for e in events.itertuples(index=False):
+            if e.gate is not None and e.gate == e.gate:
+                closed = e.gate == "pause"
+                if not closed:
+                    held = [*self.held.get()] if held is None else held
+                    waiting = sorted([*held, *fresh], key=lambda j: (j[3], j[0]))
+                    out += [(j[0], j[1], j[2], int(j[4]), int(e.seq), True) for j in waiting]
+                    held, fresh = [], []
+            elif closed and e.kind != "export":
+                fresh.append((e.job_id, e.run_id, e.kind, e.created_at.to_pydatetime(), int(e.seq)))
+            else:
+                out.append((e.job_id, e.run_id, e.kind, int(e.seq), int(e.seq), False))
+        self.closed.update((closed,))
+        if held is not None:
+            self.held.clear()
+        for j in fresh:
+            self.held.appendValue(j)
+        yield pd.DataFrame(out, columns=["job_id", "run_id", "kind", "seq", "released_by", "was_held"])
+
+    def close(self) -> None:
+        pass
+
+
+def gated(jobs: DataFrame, gate: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(job_id, run_id, kind, seq, released_by, was_held) of the jobs of a stream as a gate lets them out.
+
+    jobs are (job_id, run_id, kind, created_at, seq), gate is a stream (seq, gate) of `pause` and `resume`. Events count in
+    the order of seq, which must grow from micro-batch to micro-batch. While the gate is closed all jobs but exports wait
+    in the state store, and a restart keeps them; a resume lets them out by (created_at, job_id), each run's in one task.
+    Runs are dealt to `shards` parts, each of which gets every event of the gate: there is no single task for all. A part
+    holds a micro-batch's events and, when the gate opens, its waiting jobs in memory.
+    """
+    jobs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own = jobs.select(F.pmod(F.xxhash64("run_id"), F.lit(shards)).cast("int").alias("shard"), "job_id", "run_id", "kind", "created_at", "seq", F.lit(None).cast("string").alias("gate"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in _JOB.split(", ")) if n != "seq"]
+    turns = gate.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *none, "seq", "gate")
+    return own.unionByName(turns).groupBy("shard").transformWithStateInPandas(statefulProcessor=_Gate(), outputStructType="job_id string, run_id string, kind string, seq long, released_by long, was_held boolean", outputMode="Append", timeMode="None")
+
+
+def held_jobs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(job_id, run_id, kind, created_at, seq) of the jobs that wait in a gated queue, read from its state."""
+    return spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("list_element.*")
+
+
+def used_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(record_key, stage, used) of an attempt budget, read from its state: what was reserved, whether or not it came to an end."""
+    state = spark.read.format("statestore").option("stateVarName", "used").load(checkpoint)
+    return state.select(F.col("key.record_key").alias("record_key"), F.col("user_map_key.stage").alias("stage"), F.col("user_map_value.n").alias("used"))
+
+
 class _First(StatefulProcessor):
     """The first row of each key: of those that arrive together the one with the least order."""
 

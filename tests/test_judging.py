@@ -193,3 +193,36 @@ def test_usage():
 
     assert judge.usage_of(None) is None and judge.usage_of({"total_tokens": "7"}) is None
     assert json.loads(judge.usage_of(Used())) == {"prompt_tokens": 3, "completion_tokens": None, "total_tokens": None}
+
+
+def test_gated_queue(spark, tmp_path):
+    """Jobs held at the gate stay in the state over restarts and leave it in order; exports pass."""
+    from jurata.streaming import queue as S
+
+    jobs, gate = f"{tmp_path}/jobs", f"{tmp_path}/gate"
+    add = lambda rows: spark.createDataFrame(rows, "job_id string, run_id string, kind string, created_at string, seq long").withColumn("created_at", F.col("created_at").cast("timestamp")).coalesce(1).write.mode("append").parquet(jobs)
+    turn = lambda rows: spark.createDataFrame(rows, "seq long, gate string").coalesce(1).write.mode("append").parquet(gate)
+
+    def run():
+        out = S.gated(spark.readStream.schema(S._JOB).parquet(jobs), spark.readStream.schema("seq long, gate string").parquet(gate), 3)
+        return {r.job_id: (r.released_by, r.was_held) for r in S.to_table(spark, out, f"{tmp_path}/q", "g").collect()}
+
+    add([("a", "r1", "classify", "2024-01-02", 1), ("b", "r1", "classify", "2024-01-01", 3), ("x", "r2", "export", "2024-01-01", 4), ("c", "r2", "classify", "2024-01-03", 5)])
+    turn([(2, "pause")])
+    assert run() == {"a": (1, False), "x": (4, False)}
+    held = lambda: sorted((r.job_id, r.run_id, r.kind, r.seq) for r in S.held_jobs(spark, f"{tmp_path}/q/g/log").collect())
+    assert held() == [("b", "r1", "classify", 3), ("c", "r2", "classify", 5)]
+    add([("d", "r1", "classify", "2023-12-31", 6)])
+    assert run() == {"a": (1, False), "x": (4, False)} and len(held()) == 3
+    turn([(7, "resume"), (9, "pause")])
+    add([("e", "r3", "classify", "2024-01-01", 8), ("f", "r3", "classify", "2024-01-01", 10)])
+    assert run() == {"a": (1, False), "x": (4, False), "b": (7, True), "c": (7, True), "d": (7, True), "e": (8, False)}
+    assert held() == [("f", "r3", "classify", 10)]
+
+
+def test_used_attempts(spark, tmp_path):
+    from jurata.streaming import queue as S
+
+    spark.createDataFrame([("k", "stage1", i) for i in range(5)] + [("m", "stage2", 9)], "record_key string, stage string, seq long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    S.to_table(spark, S.attempt_budget(spark.readStream.schema("record_key string, stage string, seq long").parquet(f"{tmp_path}/in")), f"{tmp_path}/t", "b")
+    assert sorted(map(tuple, S.used_attempts(spark, f"{tmp_path}/t/b/log").collect())) == [("k", "stage1", 3), ("m", "stage2", 1)]
