@@ -43,21 +43,30 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def number_text(c: Column) -> Column:
     """Text of a number as a cell stores it: integers digit by digit, other numbers by the digits of their double, whole ones without a fraction.
 
     Very small numbers are scientific (1e-05). Where the JVM's own digits of a double aren't the shortest ones, neither are these.
     """
-    integer = F.regexp_extract(c, r"^\s*[+]?(-?)0*(\d+)\s*$", 2)
-    sign = F.when(integer != "0", F.regexp_extract(c, r"^\s*[+]?(-?)", 1)).otherwise("")
-    number = c.try_cast("double")
-    text = number.cast("string")
-    whole = F.when(F.abs(number) < 2.0**63, number.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", number))
+    plainly, signed = r"^(?:0|-?[1-9]\d*)$", r"^\s*[+]?(-?)0*(\d+)\s*$"
+    sign = lambda digits: F.when(digits != "0", F.regexp_extract(c, signed, 1)).otherwise("")
+    integer = lambda digits: F.when(digits != "", F.concat(sign(digits), digits)).otherwise(_with(c.try_cast("double"), lambda number: _with(number.cast("string"), lambda text: _real_text(number, text))))
+    return F.when(c.rlike(plainly), c).otherwise(_with(F.regexp_extract(c, signed, 2), integer))
+
+
+def _real_text(number: Column, text: Column) -> Column:
+    """Text of a double, given its own text by the JVM."""
+    size = F.abs(number)
+    whole = F.when(size < 2.0**63, number.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", number))
     plain = F.rtrim(number.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
     exponent = F.regexp_extract(text, r"E-(\d+)$", 1)
     small = F.concat(F.regexp_replace(text, r"(\.0)?E.*$", ""), F.lit("e-"), F.when(F.length(exponent) < 2, F.lit("0")).otherwise(""), exponent)
-    real = F.when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).when(number == F.floor(number), whole).when(F.abs(number) < 1e-4, small).when(F.contains(text, F.lit("E")) | F.abs(number).between(1e-4, 1e-3), plain).otherwise(text)
-    return F.when(integer != "", F.concat(sign, integer)).otherwise(real)
+    return F.when(size == float("inf"), F.when(number > 0, "inf").otherwise("-inf")).when(number == F.floor(number), whole).when(size < 1e-4, small).when(F.contains(text, F.lit("E")) | size.between(1e-4, 1e-3), plain).otherwise(text)
 
 
 def cell_to_text(kind: Column, value: Column) -> Column:
@@ -76,11 +85,6 @@ def strip_control(c: Column) -> Column:
     return F.struct(clean.alias("text"), (F.length(c) - F.length(clean)).alias("removed"))
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def excel_cell(c: Column) -> Column:
     """struct(text, truncated, guarded, sanitized): cleaned, then guarded against formulas, then cut to a cell's size."""
     formula = lambda x: reduce(lambda a, b: a | b, [x.startswith(p) for p in FORMULA_STARTS])
@@ -129,8 +133,11 @@ def download_name(kind: Column, run_id: Column, export_id: Column) -> Column:
 
 def q_preview(c: Column, n: int = 200) -> Column:
     """One line of at most n characters, cut ones end with an ellipsis."""
-    line = strip(F.regexp_replace(c, rf"[{_BLANK}]+", " "))
-    return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
+    one = lambda x: F.regexp_replace(x, rf"[{_BLANK}]+", " ")
+    cut = lambda x: F.concat(F.substring(x, 1, n), F.lit("…"))
+    whole = _with(strip(one(c)), lambda line: F.when(F.length(line) > n, cut(line)).otherwise(line))
+    # The start of a text is enough where it is long enough as one line: n characters, one more, and a blank.
+    return _with(one(F.substring(F.ltrim(c, F.lit(_BLANK)), 1, 4 * n)), lambda head: F.when(F.length(head) > n + 1, cut(head)).otherwise(whole))
 
 
 def q_preview_short(c: Column, n: int = 60) -> Column:

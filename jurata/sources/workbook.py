@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.records import duplicate_ids
 from ..schemas import GOLD_COLUMNS, GOLD_META, ID, INPUT_COLUMNS, LABELS, REFS, A, Q
 
 # Sheet that is preferred, and the reasons a cell can't be read.
@@ -72,50 +71,79 @@ def unreadable(kind: Column, value: Column, cached: Column) -> Column:
     return F.when(kind == "f", formula).when((kind == "e") | X.is_error_value(value), F.concat(F.lit(_CELL_ERROR), X.strip(value)))
 
 
+def _laid(cells: DataFrame) -> DataFrame:
+    """(file, row, cells, header): each row's cells (col, kind, text, why) with its file's header (col, name) in order, one pass over the cells.
+
+    A file's rows meet in one task; they are bounded by contract.
+    """
+    kind, used = _shown(cells)
+    why = unreadable(F.col("kind"), F.col("value"), F.col("cached"))
+    each = cells.select("file", "row", "col", kind.alias("shown"), used.alias("used"), why.alias("why"))
+    # A header cell is named by what it shows, whatever it says.
+    each = each.select("file", "row", F.struct("col", F.col("shown").alias("kind"), F.when(F.col("why").isNull() | (F.col("row") == 1), X.cell_to_text(F.col("shown"), F.col("used"))).alias("text"), "why").alias("cell"))
+    rows = each.repartition("file").groupBy("file", "row").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    names = F.filter("cells", lambda c: c["text"].isNotNull())
+    return rows.withColumn("header", F.max(F.when(F.col("row") == 1, F.transform(names, lambda c: F.struct(c["col"].alias("col"), c["text"].alias("name"))))).over(W.partitionBy("file")))
+
+
+def _named(laid: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All rows with `named` (cells below a name), the columns' texts, why map and numeric_id."""
+    firsts = F.filter("header", lambda h, i: ~F.exists(F.slice(F.col("header"), F.lit(1), i), lambda g: g["name"] == h["name"]))
+    of = lambda c: F.try_element_at(F.filter("firsts", lambda h: h["col"] == c["col"]), F.lit(1))["name"]
+    named = F.filter(F.transform("cells", lambda c: F.struct(of(c).alias("name"), c["text"].alias("text"), c["why"].alias("why"), c["kind"].alias("kind"))), lambda c: c["name"].isNotNull())
+    rows = laid.withColumn("firsts", firsts).select("file", "row", "header", F.coalesce(named, F.array()).alias("named"))
+    cell = lambda name: F.try_element_at(F.filter("named", lambda c: c["name"] == name), F.lit(1))
+    numeric = F.coalesce(cell(ID)["kind"] == "n", F.lit(False))
+    reasons = F.map_from_entries(F.transform(F.filter("named", lambda c: c["why"].isNotNull()), lambda c: F.struct(c["name"], c["why"])))
+    return rows.select("file", F.col("row").alias("source_row"), *[cell(c)["text"].alias(c) for c in columns], reasons.alias("why"), numeric.alias("numeric_id"), "header", F.size("named").alias("named"))
+
+
 def rows_of(cells: DataFrame, columns: Sequence[str] = INPUT_COLUMNS) -> DataFrame:
     """(file, source_row, columns..., why map, numeric_id): the data rows of a sheet; blank rows between them included."""
-    named = cells.where("row > 1").join(headers(cells).where("not again").select("file", "col", "name"), ["file", "col"])
-    why = unreadable(F.col("kind"), F.col("value"), F.col("cached"))
-    kind, used = _shown(cells)
-    named = named.withColumn("why", why).withColumn("text", F.when(why.isNull(), X.cell_to_text(kind, used)))
-    value = [F.max(F.when(F.col("name") == c, F.col("text"))).alias(c) for c in columns]
-    numeric = F.coalesce(F.bool_or((F.col("name") == ID) & (kind == "n")), F.lit(False))
-    reasons = F.map_from_entries(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("name", "why"))))
-    return named.groupBy("file", F.col("row").alias("source_row")).agg(*value, reasons.alias("why"), numeric.alias("numeric_id"))
+    return _named(_laid(cells), columns).where("source_row > 1 and named > 0").drop("header", "named")
 
 
 def _blank(columns: Sequence[str]) -> Column:
     return F.forall(F.array(*[F.col(f"`{c}`") for c in columns]), lambda c: c.isNull()) & (F.size("why") == 0)
 
 
+def _reason() -> Column:
+    """What is wrong with a row of an input, null if nothing is."""
+    unread = lambda c: F.when(F.try_element_at("why", F.lit(c)).isNotNull(), F.concat(F.lit(f"{c}：不可读取（"), F.try_element_at("why", F.lit(c)), F.lit("）")))
+    needed = lambda c: F.coalesce(unread(c), F.when(F.col(f"`{c}`").isNull(), f"{c}：缺失或为空"))
+    return F.nullif(F.array_join(F.array_compact(F.array(*map(needed, (ID, Q, A)), *map(unread, REFS))), "；"), F.lit(""))
+
+
 def input_records(cells: DataFrame) -> DataFrame:
     """(file, record_id, source_row, order_index, q, a, refs, reason): records in order; reason is null for valid ones."""
     rows = rows_of(cells).where(~_blank(INPUT_COLUMNS))
-    said = lambda c, text: F.concat(F.lit(f"{c}：不可读取（"), F.try_element_at("why", F.lit(c)), F.lit("）")) if text is None else F.when(F.try_element_at("why", F.lit(c)).isNotNull(), F.concat(F.lit(f"{c}：不可读取（"), F.try_element_at("why", F.lit(c)), F.lit("）"))).when(F.col(f"`{c}`").isNull(), f"{c}：{text}")
-    reasons = F.array_compact(F.array(*[said(c, "缺失或为空") for c in (ID, Q, A)], *[said(c, None) for c in REFS]))
     order = F.row_number().over(W.partitionBy("file").orderBy("source_row")) - 1
-    return rows.select("file", F.col(ID).alias("record_id"), "source_row", order.alias("order_index"), Q, A, F.struct(*REFS).alias("refs"), F.nullif(F.array_join(reasons, "；"), F.lit("")).alias("reason"), "numeric_id")
+    return rows.select("file", F.col(ID).alias("record_id"), "source_row", order.alias("order_index"), Q, A, F.struct(*REFS).alias("refs"), _reason().alias("reason"), "numeric_id")
 
 
 def precheck(cells: DataFrame, max_records: int = 1000) -> DataFrame:
     """(file, status, total, valid, input_invalid, skipped_blank_rows, blockers, warnings): a report per file.
 
     Header problems block with null counts, missing columns before repeated ones; then repeated ids, too many records and
-    no valid record block with their counts.
+    no valid record block with their counts. The cells are read once and shuffled once, by file.
     """
-    files = cells.select("file").distinct()
-    header = header_problems(cells).withColumnRenamed("code", "header_code")
-    records = input_records(cells)
-    counts = records.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("valid"), F.count_if(F.col("reason").isNotNull()).alias("input_invalid"), F.bool_or("numeric_id").alias("numeric"))
-    last = cells.where("row > 1").groupBy("file").agg((F.max("row") - 1).alias("rows"))
-    twice = duplicate_ids(records, ["file"]).groupBy("file").agg(F.array_sort(F.collect_list("record_id")).alias("twice"))
-    extra = headers(cells).where(~F.col("name").isin(*INPUT_COLUMNS)).groupBy("file").agg(F.array_sort(F.collect_set("name")).alias("extra"))
-    df = files.join(header, "file", "left").join(counts, "file", "left").join(last, "file", "left").join(twice, "file", "left").join(extra, "file", "left")
-    ok = F.col("header_code").isNull()
-    n = lambda c: F.when(ok, F.coalesce(F.col(c), F.lit(0)))
-    blockers = F.array_compact(F.array(F.col("header_code"), F.when(ok & F.col("twice").isNotNull(), "DUPLICATE_RECORD_ID"), F.when(n("total") > max_records, "TOO_MANY_RECORDS"), F.when(n("valid") == 0, "NO_VALID_RECORDS")))
-    warnings = F.array_compact(F.array(F.when(ok & F.col("extra").isNotNull(), "EXTRA_COLUMNS_UNUSED"), F.when(ok & F.coalesce("numeric", F.lit(False)), "NUMERIC_RECORD_ID_LEADING_ZEROS")))
-    return df.select("file", F.when(F.size(blockers) > 0, "blocked").otherwise("passed").alias("status"), n("total").alias("total"), n("valid").alias("valid"), n("input_invalid").alias("input_invalid"), F.when(ok, F.coalesce(F.col("rows"), F.lit(0)) - n("total")).alias("skipped_blank_rows"), blockers.alias("blockers"), warnings.alias("warnings"))
+    rows = _named(_laid(cells), INPUT_COLUMNS)
+    rows = rows.select("file", "source_row", "header", ((F.col("source_row") > 1) & (F.col("named") > 0) & ~_blank(INPUT_COLUMNS)).alias("record"), F.col(ID).alias("id"), _reason().alias("reason"), "numeric_id")
+    same = F.count_if("record").over(W.partitionBy("file", "id"))
+    df = rows.withColumn("again", F.col("record") & F.col("id").isNotNull() & (same > 1)).groupBy("file").agg(
+        F.transform(F.max("header"), lambda h: h["name"]).alias("names"),
+        F.count_if("record").alias("n"), F.count_if(F.col("record") & F.col("reason").isNull()).alias("good"), F.bool_or(F.col("record") & F.col("numeric_id")).alias("numeric"),
+        F.bool_or("again").alias("again"), F.coalesce(F.max(F.when(F.col("source_row") > 1, F.col("source_row"))) - 1, F.lit(0)).alias("rows"),
+    )
+    there = F.coalesce(F.size("names"), F.lit(0)) > 0
+    missing, repeated = F.size(F.array_except(F.array(*map(F.lit, INPUT_COLUMNS)), "names")) > 0, F.size("names") > F.size(F.array_distinct("names"))
+    code = F.when(there & missing, "MISSING_COLUMNS").when(there & repeated, "DUPLICATE_COLUMNS")
+    extra = there & (F.size(F.array_except("names", F.array(*map(F.lit, INPUT_COLUMNS)))) > 0)
+    df = df.select("file", code.alias("code"), F.coalesce(extra, F.lit(False)).alias("extra"), "n", "good", "numeric", "again", "rows")
+    ok = F.col("code").isNull()
+    blockers = F.array_compact(F.array(F.col("code"), F.when(ok & F.col("again"), "DUPLICATE_RECORD_ID"), F.when(ok & (F.col("n") > max_records), "TOO_MANY_RECORDS"), F.when(ok & (F.col("good") == 0), "NO_VALID_RECORDS")))
+    warnings = F.array_compact(F.array(F.when(ok & F.col("extra"), "EXTRA_COLUMNS_UNUSED"), F.when(ok & F.col("numeric"), "NUMERIC_RECORD_ID_LEADING_ZEROS")))
+    return df.select("file", F.when(F.size(blockers) > 0, "blocked").otherwise("passed").alias("status"), F.when(ok, F.col("n")).alias("total"), F.when(ok, F.col("good")).alias("valid"), F.when(ok, F.col("n") - F.col("good")).alias("input_invalid"), F.when(ok, F.col("rows") - F.col("n")).alias("skipped_blank_rows"), blockers.alias("blockers"), warnings.alias("warnings"))
 
 
 def gold_rows(cells: DataFrame) -> DataFrame:
