@@ -132,6 +132,28 @@ def display(num: int, den: int, digits: int = 4) -> str:
     return f"{num / den:.{digits}f}（{num}/{den}）" if den > 0 else "不可计算（分母为 0）"
 
 
+def display_of(num: Column, den: Column) -> Column:
+    """display() as an expression for counts: four digits of the double num / den, its exact value rounded half to even.
+
+    Unless num / den lies in the middle between two texts, its double rounds as the fraction does. In the middle it counts on
+    which side the double is: its 54 bits as an integer are compared with the middle at the same scale.
+    """
+    d = F.nullif(den.cast("long"), F.lit(0).cast("long"))
+    n = num.cast("long")
+    twice = F.floor((n * 20000 - (n * 20000) % d) / d)  # of a ten-thousandth; whole numbers below 2**53, so exact
+    middle = ((n * 20000) % d == 0) & (twice % 2 == 1)
+    x = n.cast("double") / d.cast("double")
+    scale = (F.lit(53) - F.floor(F.log2(x))).cast("int")
+    whole = (x * F.pow(F.lit(2.0), scale)).cast("long").cast("decimal(19,0)")
+    half = (scale / 2).cast("int")
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), half).cast("decimal(19,0)") * F.call_function("shiftleft", F.lit(1).cast("long"), scale - half).cast("decimal(19,0)")
+    side = F.signum((whole * F.lit(20000).cast("decimal(5,0)")).cast("decimal(38,0)") - (power * twice.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    low = ((twice - 1) / 2).cast("long")
+    near = F.when(~middle, ((n * 20000 + d - (n * 20000 + d) % (d * 2)) / (d * 2)).cast("long")).when((side > 0) | ((side == 0) & (low % 2 == 1)), low + 1).otherwise(low)
+    text = F.concat(((near - near % 10000) / 10000).cast("long").cast("string"), F.lit("."), F.lpad((near % 10000).cast("string"), 4, "0"))
+    return F.when(den > 0, F.concat(text, F.lit("（"), num.cast("string"), F.lit("/"), den.cast("string"), F.lit("）"))).otherwise("不可计算（分母为 0）")
+
+
 def report(scored: DataFrame) -> dict:
     """All metrics of an evaluation as plain values (a few dozen numbers)."""
     cells = confusion_cells(scored).collect()

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import judgement as J
 from ..functions import typed
-from ..operators import judge, ledger
+from ..operators import evaluation, judge, ledger
+from ..operators import requests as Q
+from ..operators.records import resume_plan
 from ..schemas import LABELS, REFS
+from . import adapter as V
+from .state_queries import _failed_orders
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -121,3 +125,49 @@ def quote_common_part(spark, d):
     """The longest part of each part's name that also stands in its description."""
     part = _table(spark, d, "part").selectExpr("p_partkey", "lower(p_name) as quote", "lower(concat(p_type, ' ', p_brand, ' ', substr(p_name, 2, 8))) as source")
     return judge.diagnosed(part).select("p_partkey", "is_substring", "match_len", "match")
+
+
+_PLAN = f"{V.ORDER_RECORDS_SQL}, {V.JOBS_SQL}, p AS (SELECT record_key, run_id, CASE WHEN status <> 'failed' THEN 'continue' WHEN record_key % 5 = 0 THEN 'permanent' WHEN record_key % 7 <> 0 AND 1 + record_key % 5 > 3 THEN 'continue' ELSE 'reopen' END AS a FROM records WHERE status IN ('pending', 'failed')), b AS (SELECT DISTINCT run_id FROM jobs WHERE status IN ('queued', 'running') AND kind = 'classify'), n AS (SELECT run_id, count(*) FILTER (a <> 'permanent') AS selected, count(*) FILTER (a = 'reopen') AS renewed, count(*) FILTER (a = 'permanent') AS never FROM p GROUP BY 1), o AS (SELECT n.*, CASE WHEN b.run_id IS NOT NULL THEN 'STATE_CONFLICT' WHEN selected = 0 THEN 'NOTHING_TO_RESUME' ELSE 'accepted' END AS outcome FROM n LEFT JOIN b USING (run_id))"
+
+
+def _resumed(spark, d):
+    return resume_plan(*_failed_orders(spark, d), retry_failed=True), V.jobs(spark, d)
+
+
+@query(f"WITH {_PLAN} SELECT run_id, outcome, selected, renewed, never FROM o")
+def resume_outcomes(spark, d):
+    out = Q.resume_outcomes(*_resumed(spark, d))
+    return out.select("run_id", "outcome", "selected", "renewed", F.col("skipped_needs_new_batch").alias("never"))
+
+
+@query(f"WITH {_PLAN} SELECT run_id, record_key, a = 'reopen' AS reopen FROM p JOIN o USING (run_id) WHERE outcome = 'accepted' AND a <> 'permanent'")
+def resume_targets(spark, d):
+    """The records that the jobs of accepted resumes are for, and which of them get a new budget when the job is taken up."""
+    jobs, targets = Q.resume_jobs(*_resumed(spark, d), F.lit("2024-01-01").cast("timestamp"), retry_failed=True)
+    return targets.join(jobs.select("job_id", "run_id"), "job_id").select("run_id", "record_key", "reopen")
+
+
+@query("WITH l AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'started' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'progress' WHEN 'error' THEN 'ended' END AS event, 'w' || event_id % 3 AS worker_id, 'k' || event_id AS record_key FROM events) SELECT cast(job_id AS varchar) AS job_id, arg_max(worker_id, seq) FILTER (event = 'started') AS worker_id, arg_max(record_key, seq) FILTER (event = 'progress') AS current_record_key, max(seq) FILTER (event = 'started') AS started_at, max(seq) AS last_activity_at, max(seq) FILTER (event = 'ended') AS finished_at FROM l GROUP BY 1")
+def job_details(spark, d):
+    """Users as jobs whose events are their log."""
+    events = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.expr("case event_type when 'view' then 'started' when 'click' then 'progress' when 'purchase' then 'progress' when 'error' then 'ended' end").alias("event"), F.col("event_id").alias("at"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("worker_id"), F.concat(F.lit("k"), "event_id").alias("record_key"))
+    out = Q.job_details(events.select("job_id").distinct(), events)
+    return out.select("job_id", "worker_id", "current_record_key", "started_at", "last_activity_at", "finished_at")
+
+
+_PATH = "case o_orderkey % 6 when 0 then '../x' when 1 then '/etc/x' when 2 then 'a/../../x' when 3 then '' else concat('e', o_orderkey, '/f..xlsx') end"
+
+
+@query(f"WITH a AS (SELECT o_orderkey, {_PATH} AS path FROM orders WHERE o_orderkey % 11 <> 0), q AS (SELECT DISTINCT o_orderkey FROM orders) SELECT cast(q.o_orderkey AS varchar) AS artifact_id, CASE WHEN q.o_orderkey % 6 > 3 AND path IS NOT NULL THEN '/out/' || path END AS place, CASE WHEN q.o_orderkey % 6 > 3 AND path IS NOT NULL THEN NULL ELSE 'ARTIFACT_MISSING' END AS problem FROM q LEFT JOIN a USING (o_orderkey)")
+def artifact_places(spark, d):
+    orders = _table(spark, d, "orders")
+    artifacts = orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").cast("string").alias("artifact_id"), F.expr(_PATH).alias("relative_path"), F.lit("n").alias("download_name"))
+    return Q.artifact_places(orders.select(F.col("o_orderkey").cast("string").alias("artifact_id")), artifacts, "/out/").drop("download_name")
+
+
+@query("WITH r AS (SELECT l_partkey % 300 + 1 AS den, l_suppkey * 7 % (l_partkey % 300 + 2) AS num FROM lineitem) SELECT DISTINCT num, den, printf('%.4f', num / den) || '（' || num || '/' || den || '）' AS shown FROM r UNION ALL SELECT 1, 0, '不可计算（分母为 0）'")
+def metric_display(spark, d):
+    """Ratios of counts as they are shown."""
+    r = _table(spark, d, "lineitem").selectExpr("l_suppkey * 7 % (l_partkey % 300 + 2) as num", "l_partkey % 300 + 1 as den").distinct()
+    r = r.union(r.agg(F.lit(1).cast("long"), F.lit(0).cast("long")))
+    return r.select("num", "den", evaluation.display_of(F.col("num"), F.col("den")).alias("shown"))
