@@ -267,3 +267,27 @@ def test_common_lines_of_items(spark):
     assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontamination.contaminated(df, bench).collect()) == want
     assert {i for d, i, *_ in want if d >= 1000} >= {i for i, _ in items[::10]}
     assert decontamination.candidates(df, decontamination.numbered_items(bench)).count() <= 3 * len(want)
+
+
+def test_forest_prunes():
+    """Clustered vectors: a query measures at most a twentieth of the rows at a recall of 0.9 or more, fewer in a larger segment."""
+    from jurata.llm import forest
+
+    shares = []
+    for n in (8000, 16000):
+        rng = np.random.default_rng(12)
+        centres = rng.standard_normal((n // 40, 64))
+        x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.standard_normal((n, 64))
+        segment = forest.Segment(np.arange(n), x, forest._planes(64), 10)
+        asked = np.arange(0, n, n // 100)
+        got = {}
+        for q, j, _ in segment.search(asked, x[asked], forest._planes(64), 10, max(forest.LEAST, forest.SHARE * n)):
+            got.setdefault(q, set()).add(j)
+        hit = 0
+        for q in asked.tolist():
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+        assert hit >= 0.9 * 10 * len(asked)
+        shares.append(segment.measured / (len(asked) * n))
+    assert shares[0] <= 0.05 and shares[1] <= 0.6 * shares[0], shares
