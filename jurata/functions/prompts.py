@@ -13,20 +13,20 @@ from ..schemas import REFS
 # Headings of the messages and what stands for an empty reference or output.
 _Q, _A, _REFS1, _REFS2, _STAGE1 = "【问题 q】", "【已有回答 a】", "【资料 ref1—ref10】", "【原始资料 ref1—ref10】", "【阶段一分析结果（已通过校验）】"
 _EMPTY_REF, _EMPTY_OUTPUT = "（本份资料为空）", "（上一次输出为空）"
-# What a model is told after each kind of rejected output.
+#: What a model is told after each kind of rejected output.
 HINTS = {
-    "evidence_substring": "证据摘录必须是对应 ref 原文中一段连续的文字，请从原文原样复制一段更短的文字。",
-    "empty_ref": "证据引用的 ref 在本次输入中是空资料，请改引其它非空 ref，或改用资料缺口说明。",
-    "empty_quote": "证据摘录不能为空，请从对应 ref 原文中复制一段连续文字。",
-    "ref_range": "证据的 ref 编号只能用 ref1—ref10，请按输入中的实际编号填写。",
-    "label_enum": "判断只能取三个既定标签之一，请照抄标签原文，不要改写或自造。",
-    "field_schema": "请严格按要求的字段名与类型输出，不要增删字段或改变取值形式。",
-    "output_format": "请只输出一个完整的 JSON 对象，字符串里的换行写成 \\n。",
-    "consistency": "字段之间不能自相矛盾，请按规则修正后重新输出。",
+    "evidence_substring": "quote 要与所引 ref 的文字逐字相同：选一段连续、较短的原文照样复制，标点和空格也不要动。",
+    "empty_ref": "所引的 ref 这一次没有内容；换一个有内容的 ref，或把缺少的资料写进缺口说明。",
+    "empty_quote": "quote 是空的；请放入所引 ref 中的一段原文。",
+    "ref_range": "ref_id 只有 ref1—ref10 这十个值，按输入里出现的名字填写。",
+    "label_enum": "label 只有三个值，请照抄标签，一个字也不要变。",
+    "field_schema": "有字段缺少、多余或类型不对：字段名和类型都以要求里的列表为准。",
+    "output_format": "整个回答应当就是一个 JSON 对象；文字里要换行时写 \\n 两个字符。",
+    "consistency": "有两个字段的内容互相冲突，请对照规则改到一致。",
 }
-# What frames a hint, and what is told for any other kind.
-_REJECTED, _AGAIN = "上一次输出未通过校验：", "请只重新输出一个符合要求的 JSON 对象，不要输出其它文字或代码块以外的内容。"
-_OTHER = "请对照要求逐项检查输出内容，修正后重新输出。"
+#: What frames a hint, and what is told for any other kind.
+_REJECTED, _AGAIN = "这次的回答没有通过检查，问题是：", "改好之后请再给出完整的 JSON 对象，此外什么都不要写。"
+_OTHER = "请逐条核对要求再回答。"
 
 
 def ref_block(refs: Column) -> Column:
