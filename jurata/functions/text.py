@@ -183,6 +183,14 @@ def scrub_paths(c: Column, root: str | None = None, most: int = 300) -> Column:
     return F.substring(F.split(c, r"\n").getItem(0), 1, most)
 
 
+def scrubbed(text: str, root: str | None = None, most: int = 300) -> str:
+    """scrub_paths() of a text on the driver."""
+    text = text.strip(_BLANK)
+    for form in sorted({root, root.replace("\\", "/")}, key=len, reverse=True) if root else ():
+        text = re.sub(f"(?i){re.escape(form)}" + r"(?:[\\/][^\s'\"]*)?", lambda _: "<outputs>", text)
+    return re.sub(_PLACE, lambda _: "<path>", text).split("\n")[0][:most]
+
+
 def key_refs(c: Column) -> Column:
     """A list of references, cut at commas, semicolons and white space; empty parts go."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)[,，、;；\s]+"), lambda x: x != "")

@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import excel_cell
+from ..functions.text import excel_cell, redacted, scrubbed
 from ..operators import export as E
 from ..operators.records import batch_counters
 from ..sources import files
@@ -82,3 +82,20 @@ def lines_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 over the sorted names and digests of the parts of a folder of lines; each part is hashed where it is read."""
     parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("digest"))
     return hashlib.sha256("".join(f"{r.name} {r.digest}\n" for r in parts.orderBy("name").collect()).encode()).hexdigest()
+
+
+def write_diagnoses(documents: DataFrame, folder: str, job_id: str) -> str | None:
+    """Writes the documents (record_id, value) of judge.diagnostics() of a job, a line each, to a folder of its own.
+
+    They are an aid: a write that fails returns its message without paths and secrets, and changes neither the judging nor
+    what an earlier call of the same job wrote, as a new folder takes the older one's place only when it's complete.
+    """
+    spark = documents.sparkSession
+    part, at = f"{folder}/_{job_id}", f"{folder}/{job_id}"
+    try:
+        documents.select("value").write.mode("overwrite").text(part)
+        files.remove(spark, at)
+        files.move(spark, part, at)
+    except Exception as e:  # noqa: BLE001 - whatever fails here is told, not raised
+        return scrubbed(redacted(str(e)), folder) or type(e).__name__
+    return None

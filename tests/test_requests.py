@@ -45,3 +45,18 @@ def test_look_ups(spark):
     assert json.loads(got[0]) == {"prompt_tokens": 3, "completion_tokens": None, "total_tokens": 5} and got[1:] == [None, None]
     state = spark.createDataFrame([("w", True, "why"), (None, False, None)], "worker_id string, paused boolean, pause_reason string")
     assert [(r.model_dispatch_paused, r.last_worker and r.last_worker.worker_id) for r in Q.execution_control(state).collect()] == [(True, "w"), (False, None)]
+
+
+def test_diagnoses_are_an_aid(spark, tmp_path):
+    """A failing write is told and changes nothing; a later one replaces the job's own folder alone."""
+    from jurata.plans.publish import write_diagnoses
+
+    docs = lambda *v: spark.createDataFrame([(str(i), x) for i, x in enumerate(v)], "record_id string, value string")
+    read = lambda job: sorted(r.value for r in spark.read.text(f"{tmp_path}/d/{job}").collect())
+    assert write_diagnoses(docs("a", "b"), f"{tmp_path}/d", "j1") is None and write_diagnoses(docs("c"), f"{tmp_path}/d", "j2") is None
+    failing = docs("x").withColumn("value", F.expr("raise_error('no sk-abcdefgh12 here')"))
+    said = write_diagnoses(failing, f"{tmp_path}/d", "j1")
+    assert said and "sk-abc" not in said and str(tmp_path) not in said and read("j1") == ["a", "b"]
+    assert write_diagnoses(docs("z"), f"{tmp_path}/d", "j1") is None and read("j1") == ["z"] and read("j2") == ["c"]
+    (tmp_path / "file").write_text("")
+    assert write_diagnoses(docs("z"), f"{tmp_path}/file", "j") is not None
