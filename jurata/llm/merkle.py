@@ -59,32 +59,32 @@ def _above(nodes: Column) -> Column:
 
 
 class Forest:
-    """Trees over items (tree, idx, n, digest): idx from 0 to n - 1 in each tree."""
+    """Trees over items (tree, idx, n, height, digest): idx from 0 to n - 1 in each tree, height the levels above its items."""
 
     def __init__(self, items: DataFrame):
         #: Nodes of the levels 0, STEP, 2 * STEP ..., and all nodes of the levels from there to STEP levels up.
         self.items, self.nodes = [items], []
-        largest = items.agg(F.max("n")).first()[0] or 0
+        highest = items.agg(F.max("height")).first()[0] or 0
         while True:
             base = len(self.nodes) * STEP
             self.nodes.append(self._built(self.items[-1], base))
-            if largest <= ARITY ** (base + STEP - 1):
+            if highest < base + STEP:
                 break
             self.items.append(self.nodes[-1].where(F.col("level") == base + STEP).drop("level"))
 
     @staticmethod
     def _built(items: DataFrame, base: int) -> DataFrame:
-        runs = items.groupBy("tree", "n", F.expr(f"idx div {SPAN}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("run"))  # SPAN items at most
-        runs = runs.select("tree", "n", "block", F.transform("run", lambda x: x["digest"]).alias("x0"))
+        runs = items.groupBy("tree", "n", "height", F.expr(f"idx div {SPAN}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("run"))  # SPAN items at most
+        runs = runs.select("tree", "n", "height", "block", F.transform("run", lambda x: x["digest"]).alias("x0"))
         for level in range(STEP):
-            runs = runs.withColumn(f"x{level + 1}", F.when(F.col("n") > ARITY ** (base + level), _above(F.col(f"x{level}"))).otherwise(F.array().cast("array<binary>")))
+            runs = runs.withColumn(f"x{level + 1}", F.when(F.col("height") > base + level, _above(F.col(f"x{level}"))).otherwise(F.array().cast("array<binary>")))
         row = lambda level: lambda x, i: F.struct(F.lit(base + level).alias("level"), (F.col("block") * ARITY ** (STEP - level) + i).alias("idx"), x.alias("digest"))
-        found = runs.select("tree", "n", F.explode(F.flatten(F.array(*[F.transform(f"x{level}", row(level)) for level in range(STEP + 1)]))).alias("x"))
-        return written(found.select("tree", "n", "x.level", "x.idx", "x.digest"), "nodes")
+        found = runs.select("tree", "n", "height", F.explode(F.flatten(F.array(*[F.transform(f"x{level}", row(level)) for level in range(STEP + 1)]))).alias("x"))
+        return written(found.select("tree", "n", "height", "x.level", "x.idx", "x.digest"), "nodes")
 
     def roots(self) -> DataFrame:
         """(tree, digest) of each tree's top."""
-        tops = [x.where(F.col("level") == _height(F.col("n"))).where(F.lit(i == 0) | (F.col("level") > i * STEP)).select("tree", "digest") for i, x in enumerate(self.nodes)]
+        tops = [x.where(F.col("level") == F.col("height")).where(F.lit(i == 0) | (F.col("level") > i * STEP)).select("tree", "digest") for i, x in enumerate(self.nodes)]
         return reduce(DataFrame.union, tops)
 
     def paths(self, above: DataFrame) -> DataFrame:
@@ -94,23 +94,23 @@ class Forest:
         parents, out = start, None
         for i in reversed(range(len(self.nodes))):
             items, base = self.items[i], i * STEP
-            high = F.col("n") > ARITY ** (base + STEP - 1)  # the tree goes on above these levels
+            high = F.col("height") >= base + STEP  # the tree goes on above these levels
             up = parents.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("steps").alias("_steps"), *others)
             key = F.when(high, F.expr(f"idx div {SPAN}")).otherwise(F.lit(-1))
             met = items.join(up, (items["tree"] == up["_tree"]) & (key == up["_idx"])).drop("_tree", "_idx")
             own = self._siblings(items, self.nodes[i], base)
             out = met.join(own, ["tree", "idx"], "left")
             found = F.coalesce("found", F.array().cast("array<struct<level:int,at:long,left:boolean,digest:string>>"))
-            levels = F.least(_height(F.col("n")), F.lit(base + STEP))
+            levels = F.least("height", F.lit(base + STEP))
             out = out.withColumn("found", found).withColumn("steps", F.concat(self._steps(base, levels), F.col("_steps"))).drop("found", "_steps")
             if i:
-                parents = written(out.drop("n", "digest"), "paths").unionByName(start)
+                parents = written(out.drop("n", "height", "digest"), "paths").unionByName(start)
         return out
 
     @staticmethod
     def _siblings(items: DataFrame, nodes: DataFrame, base: int) -> DataFrame:
         """(tree, idx, found): the siblings of each item on the levels from `base` on, in order, with the side they stand on."""
-        last = F.least(_height(F.col("n")), F.lit(base + STEP)) - 1
+        last = F.least("height", F.lit(base + STEP)) - 1
         asked = items.where(last >= base).select("tree", "idx", "n", F.explode(F.sequence(F.lit(base), last)).alias("level"))
         power = F.element_at(F.array(*[F.lit(ARITY**k).cast("long") for k in range(STEP)]), F.col("level") - base + 1)
         size = F.element_at(F.array(*[F.expr(f"(n - 1) div {ARITY ** (base + k)} + 1") for k in range(STEP)]), F.col("level") - base + 1)
@@ -144,14 +144,15 @@ def proofs(rows: DataFrame) -> DataFrame:
     rows = placed(written(rows, "rows"), ["group", "key", "digest"], "sorted")
     spans = rows.groupBy("part", "group").agg(F.min("place").alias("first"), F.count("*").alias("size"))
     spans = written(spans, "spans")  # a row for each group and each partition it runs on into
-    groups = written(placed(spans.groupBy("group").agg(F.min("first").alias("start"), F.sum("size").alias("n")), ["group"], "groups").select(F.col("group").alias("_group"), F.col("place").alias("tree"), "start", "n"), "groups")
-    spans = written(spans.join(groups, F.col("group").eqNullSafe(F.col("_group"))).select(F.col("part").alias("_part"), "_group", "tree", "start", "n"), "spans")
+    groups = written(placed(spans.groupBy("group").agg(F.min("first").alias("start"), F.sum("size").alias("n")), ["group"], "groups").select(F.col("group").alias("_group"), F.col("place").alias("tree"), "start", "n", _height(F.col("n")).alias("height")), "groups")
+    spans = written(spans.join(groups, F.col("group").eqNullSafe(F.col("_group"))).select(F.col("part").alias("_part"), "_group", "tree", "start", "n", "height"), "spans")
     rows = rows.join(spans, (F.col("part") == F.col("_part")) & F.col("group").eqNullSafe(F.col("_group")))
     leaves = written(rows.withColumn("idx", F.col("place") - F.col("start")).drop("part", "_part", "_group", "place", "start"), "leaves")
-    trees = Forest(leaves.select("tree", "idx", "n", "digest"))
+    trees = Forest(leaves.select("tree", "idx", "n", "height", "digest"))
     trees.items[0] = leaves
     subroots = written(trees.roots(), "subroots")
-    top = Forest(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(subroots.count()).cast("long").alias("n"), "digest"))
+    n = F.lit(subroots.count()).cast("long")
+    top = Forest(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), n.alias("n"), _height(n).alias("height"), "digest"))
     none = F.array().cast("array<struct<left:string,right:string>>").alias("steps")
     ends = top.paths(top.roots().select("tree", none, _hex(F.col("digest")).alias("root")))
     above = written(ends.select(F.col("idx").alias("tree"), "steps", _hex(F.col("digest")).alias("subroot"), "root"), "above")
