@@ -1,4 +1,4 @@
-"""python -m jurata.cli: queries | run NAME SF_DIR | inspect FILE.xlsx | resume TABLES | export TABLES RUN OUT | evaluate TABLES RUN MANIFEST SPLIT OUT
+"""python -m jurata.cli: queries | run NAME SF_DIR | inspect FILE.xlsx | resume TABLES [--queue OUT --run RUN --retry-failed] | export TABLES RUN OUT | evaluate TABLES RUN MANIFEST SPLIT OUT
 
 TABLES is a folder of Parquet tables: runs, records, results, attempts, campaigns, jobs, gold. Exit codes: 0 done, 2 wrong
 arguments, 3 what was asked isn't possible now.
@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +28,9 @@ def main(argv: list[str] | None = None) -> int:
     inspect.add_argument("--sheet")
     resume = commands.add_parser("resume", help="what a resume of each run would do, and what may be done with it")
     resume.add_argument("tables")
+    resume.add_argument("--queue", help="appends the jobs of accepted resumes (jobs) and their records (targets) below this folder")
+    resume.add_argument("--run", help="only this run")
+    resume.add_argument("--retry-failed", action="store_true", help="records whose budget is used up get a new one")
     export = commands.add_parser("export", help="publishes a run's workbook and JSON lines")
     for name in ("tables", "run", "out"):
         export.add_argument(name)
@@ -68,6 +73,8 @@ def _stored(spark: SparkSession, args: argparse.Namespace) -> int:
     from .plans import evaluate, publish
 
     table = lambda name: spark.read.parquet(f"{args.tables.rstrip('/')}/{name}.parquet")
+    if args.command == "resume" and args.queue:
+        return _queued(spark, args, table)
     if args.command == "resume":
         R.allowed_actions(table("runs"), table("records"), table("campaigns"), table("attempts"), table("jobs")).orderBy("run_id").show(1000, truncate=False)
         return 0
@@ -90,5 +97,20 @@ def _stored(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def _queued(spark: SparkSession, args: argparse.Namespace, table: Callable[[str], DataFrame]) -> int:
+    """Puts resumes in the queue; what was accepted and what was refused is shown."""
+    from .operators import records as R
+    from .operators import requests as Q
+
+    mine = lambda df: df if args.run is None else df.where(F.col("run_id") == args.run)
+    plan = R.resume_plan(mine(table("records")), table("campaigns"), table("attempts"), retry_failed=args.retry_failed)
+    outcomes = Q.resume_outcomes(plan, table("jobs")).cache()
+    jobs, targets = Q.resume_jobs(plan, table("jobs"), F.lit(datetime.now(timezone.utc)), args.retry_failed)
+    targets.write.mode("append").parquet(f"{args.queue.rstrip('/')}/targets")  # before the jobs: a job that is there has its records
+    jobs.write.mode("append").parquet(f"{args.queue.rstrip('/')}/jobs")
+    outcomes.orderBy("run_id").show(1000, truncate=False)
+    return 3 if outcomes.where("outcome = 'accepted'").isEmpty() else 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

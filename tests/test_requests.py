@@ -60,3 +60,22 @@ def test_diagnoses_are_an_aid(spark, tmp_path):
     assert write_diagnoses(docs("z"), f"{tmp_path}/d", "j1") is None and read("j1") == ["z"] and read("j2") == ["c"]
     (tmp_path / "file").write_text("")
     assert write_diagnoses(docs("z"), f"{tmp_path}/file", "j") is not None
+
+
+def test_resume_command(spark, tmp_path, capsys):
+    """The command puts a run's resume in the queue once a job for it is possible, and refuses it while one is running."""
+    from jurata import cli
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/t/{name}.parquet")
+    put("runs", [("r", "running", 1)], "run_id string, status string, revision long")
+    put("records", [("r", "a", "pending", None, None), ("r", "b", "failed", "stage1", "OUTPUT_INVALID"), ("s", "c", "pending", None, None)], "run_id string, record_key string, status string, failure_stage string, failure_code string")
+    put("campaigns", [("1", "b", "stage1", 1)], "campaign_id string, record_key string, stage string, campaign_no int")
+    put("attempts", [("1",)] * 3, "campaign_id string")
+    put("jobs", [("j", "r", "classify", "running", "1")], "job_id string, run_id string, kind string, status string, created_at string")
+    asked = ["resume", f"{tmp_path}/t", "--queue", f"{tmp_path}/q", "--run", "r", "--retry-failed"]
+    assert cli.main(asked) == 3 and "STATE_CONFLICT" in capsys.readouterr().out
+    put("jobs", [("j", "r", "classify", "completed", "1")], "job_id string, run_id string, kind string, status string, created_at string")
+    assert cli.main(asked) == 0 and "accepted" in capsys.readouterr().out
+    (job,) = spark.read.parquet(f"{tmp_path}/q/jobs").collect()
+    assert (job.run_id, job.mode, job.selected, job.renewed) == ("r", "retry_failed", 2, 1)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/q/targets").collect())) == [(job.job_id, "a", False), (job.job_id, "b", True)]
