@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import REFS
+from .digest import indented_json
 
 # Headings of the messages and what stands for an empty reference or output.
 _Q, _A, _REFS1, _REFS2, _STAGE1 = "【问题 q】", "【已有回答 a】", "【资料 ref1—ref10】", "【原始资料 ref1—ref10】", "【阶段一分析结果（已通过校验）】"
@@ -45,9 +46,12 @@ def stage1_messages(prompt: Column, q: Column, refs: Column) -> Column:
     return F.when(q.isNotNull(), _messages(prompt, F.lit(_Q), q, F.lit(_REFS1), ref_block(refs)))
 
 
-def stage2_messages(prompt: Column, q: Column, a: Column, refs: Column, stage1: Column) -> Column:
-    """Question, answer, references and the whole stage-1 struct. Null without a question or an answer."""
-    shown = F.to_json(stage1, {"pretty": "true"})
+def stage2_messages(prompt: Column, q: Column, a: Column, refs: Column, stage1: Column, stored: bool = False) -> Column:
+    """Question, answer, references and the whole stage 1. Null without a question or an answer.
+
+    stage1 is a struct, or (stored) the JSON text of a committed stage 1, which is laid out with a line for each member.
+    """
+    shown = indented_json(stage1) if stored else F.to_json(stage1, {"pretty": "true"})
     return F.when(q.isNotNull() & a.isNotNull(), _messages(prompt, F.lit(_Q), q, F.lit(_A), a, F.lit(_REFS2), ref_block(refs), F.lit(_STAGE1), shown))
 
 

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of session and table folder) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ("jurata.plans.record_queries", "jurata.plans.evaluation_queries", "jurata.plans.text_queries", "jurata.plans.stream_queries", "jurata.plans.state_queries", "jurata.plans.workbook_queries", "jurata.plans.judging_queries")
+MODULES: tuple[str, ...] = ("jurata.plans.record_queries", "jurata.plans.evaluation_queries", "jurata.plans.text_queries", "jurata.plans.stream_queries", "jurata.plans.state_queries", "jurata.plans.workbook_queries", "jurata.plans.judging_queries", "jurata.plans.message_queries")
 
 
 def _gather(name: str) -> dict:
