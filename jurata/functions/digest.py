@@ -61,10 +61,14 @@ def _number(token: Column) -> Column:
     return F.when(token == "-0", "0").when(integer, token).otherwise(_with(token.try_cast("double"), _double_text))
 
 
+def _from(c: Column, place: int) -> Column:
+    return F.substring(c, place, 2**31 - 1)
+
+
 def _lower_escapes(string: Column) -> Column:
     """Escaped control characters with small letters."""
     pieces = F.regexp_extract_all(string, F.lit(r"(?s)(\\u[0-9A-F]{4}|\\.|[^\\]++)"))
-    return F.when(F.contains(string, F.lit("\\u00")), F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p)), "")).otherwise(string)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p)), "")
 
 
 def canonical_json(c: Column) -> Column:
@@ -75,13 +79,14 @@ def canonical_json(c: Column) -> Column:
     out. An object that names a key twice, NaN and Infinity aren't JSON; keys sort by UTF-16 code units.
     """
     number = lambda t: F.concat(F.lit('["n'), _number(t), F.lit('"]'))
-    mark = lambda t: F.when(t.rlike(f"^{_NUMBER}$"), number(t)).when(t.startswith('"') & (t != '"'), F.concat(F.lit('"s'), F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+    mark = lambda t: F.when(t.startswith('"') & (t != '"'), F.concat(F.lit('"s'), _from(t, 2))).when(t.rlike(f"^{_NUMBER}$"), number(t)).otherwise(t)
     marked = F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_INPUT)), mark), "")
     # What stands behind a whole value is ignored by the variant's parser, so the value is the first of two and the second, which no text can imitate, must be there.
     pair = F.try_parse_json(F.concat(F.lit("["), marked, F.lit(',"e"]')))
     read = _with(pair, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == "e", _with(F.to_json(v), lambda t: F.substring(t, F.lit(2), F.length(t) - 6))))
     inner = lambda t: F.substring(t, F.lit(4), F.length(t) - 5)
-    plain = lambda t: F.when(t.startswith('["n'), inner(t)).when(t.startswith('"'), _lower_escapes(F.concat(F.lit('"'), F.substring(t, F.lit(3), F.length(t))))).when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)
+    string = lambda t: F.when(F.contains(t, F.lit("\\u00")), _lower_escapes(F.concat(F.lit('"'), _from(t, 3)))).otherwise(F.concat(F.lit('"'), _from(t, 3)))
+    plain = lambda t: F.when(t.startswith('"'), string(t)).when(t.startswith('["n'), inner(t)).when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)
     return F.array_join(F.transform(F.regexp_extract_all(read, F.lit(_OUTPUT)), plain), "")
 
 

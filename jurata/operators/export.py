@@ -63,19 +63,27 @@ def failure_rows(snap: DataFrame) -> DataFrame:
     return snap.where("status = 'failed'").select("order_index", *[c[k].alias(k) for k in FAILURES])
 
 
-def sheet_rows(rows: DataFrame) -> DataFrame:
-    """With the physical row in the sheet, the header being row 1: order_index, one to a row, is ranked by itself and joined."""
-    places = ranked(rows.select("order_index"), ["order_index"], "sheet_row")
-    return rows.join(places, "order_index").withColumn("sheet_row", (F.col("sheet_row") + 1).cast("int"))
-
-
-def rewrites(rows: DataFrame, sheet: str) -> DataFrame:
-    """(sheet, column_name, sheet_row, truncated, guarded, sanitized, location) of the cells that a workbook changes."""
-    names = [n for n, t in rows.dtypes if t == "string"]
-    cells = rows.select("sheet_row", F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("value"), X.excel_cell(F.col(f"`{n}`")).alias("cell")) for n in names])).alias("c")).select("sheet_row", "c.*")
+def sheet_rows(rows: DataFrame, run: str | None = None) -> DataFrame:
+    """With the physical row in the sheet, the header being row 1: order_index, one to a row, is ranked by itself and joined.
+
+    Rows of several runs need the column that tells their runs apart: each run's sheet begins anew.
+    """
+    keys = [rows["order_index"].alias("_index"), (rows[run] if run else F.lit(0)).alias("_run")]
+    places = ranked(rows.select(*keys), ["_run", "_index"], "_place")
+    first = places.groupBy(F.col("_run").alias("_of")).agg((F.min("_place") - 2).alias("_before"))  # the header's row is 1
+    places = places.join(first, F.col("_run").eqNullSafe(F.col("_of"))).select("_run", "_index", (F.col("_place") - F.col("_before")).cast("int").alias("sheet_row"))
+    own = F.col("order_index") == F.col("_index")
+    return rows.join(places, own & F.col(run).eqNullSafe(F.col("_run")) if run else own).drop("_run", "_index")
+
+
+def rewrites(rows: DataFrame, sheet: str, run: str | None = None) -> DataFrame:
+    """(sheet, column_name, sheet_row, truncated, guarded, sanitized, location) of the cells that a workbook changes, and the run they are of if it's a column."""
+    names = [n for n, t in rows.dtypes if t == "string" and n != run]
+    kept = [run, "sheet_row"] if run else ["sheet_row"]
+    cells = rows.select(*kept, F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("value"), X.excel_cell(F.col(f"`{n}`")).alias("cell")) for n in names])).alias("c")).select(*kept, "c.*")
     hit = cells.where("cell.truncated or cell.guarded or cell.sanitized > 0")
     place = F.when(F.col("cell.truncated"), X.cell_location(F.lit(sheet), F.col("column_name"), F.col("sheet_row"), F.length("value"))).when(F.col("cell.sanitized") > 0, X.sanitized_location(F.lit(sheet), F.col("column_name"), F.col("sheet_row"), F.col("cell.sanitized")))
-    return hit.select(F.lit(sheet).alias("sheet"), "column_name", "sheet_row", "cell.truncated", "cell.guarded", "cell.sanitized", place.alias("location"))
+    return hit.select(*kept[:-1], F.lit(sheet).alias("sheet"), "column_name", "sheet_row", "cell.truncated", "cell.guarded", "cell.sanitized", place.alias("location"))
 
 
 def summary_rows(run: DataFrame, extra: Mapping[str, str] | None = None) -> DataFrame:

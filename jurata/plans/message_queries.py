@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import digest as D
 from ..functions import prompts as P
 from ..functions import text as X
+from ..operators import export as E
 from ..operators import records as R
 from ..operators import requests as Q
 from ..schemas import REFS
@@ -157,3 +158,17 @@ def call_usage(spark, d):
     u = _table(spark, d, "events").select("event_id", F.expr("if(event_id % 3 <> 0, user_id, null)").alias("p"), F.expr("if(event_id % 4 <> 0, event_id, null)").alias("c"))
     usage = F.struct(F.col("p").alias("prompt_tokens"), F.col("c").alias("completion_tokens"), (F.col("p") + F.col("c")).alias("total_tokens"))
     return u.select("event_id", Q.usage_json(usage).alias("usage"), Q.resume_scope(F.col("event_id").cast("string")).alias("scope"))
+
+
+_CELLS = "case doc_id % 5 when 0 then concat('=', text) when 1 then repeat(text, 12) when 2 then concat(chr(11), '-', text) when 3 then concat(text, chr(1), chr(2)) else text end"
+
+
+@query(
+    rf"""WITH r AS (SELECT source AS run_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1 AS row, {_CELLS} AS v FROM documents),
+x AS (SELECT *, regexp_replace(v, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS x FROM r), y AS (SELECT *, x[1] IN ('=', '+', '-', '@') AS guarded, length(v) - length(x) AS gone FROM x), z AS (SELECT *, length(x) + CASE WHEN guarded THEN 1 ELSE 0 END > 32767 AS truncated FROM y)
+SELECT run_id, cast(row AS integer) AS sheet_row, truncated, guarded, cast(gone AS integer) AS sanitized, CASE WHEN truncated THEN '分类结果!q 第 ' || row || ' 行（原 ' || length(v) || ' 字符）' WHEN gone > 0 THEN '分类结果!q 第 ' || row || ' 行（清理 ' || gone || ' 个控制字符）' END AS location FROM z WHERE truncated OR guarded OR gone > 0"""
+)
+def sheet_rewrites(spark, d):
+    """Cells of every run's sheet that a workbook cuts, guards or cleans, and where they stand."""
+    rows = _table(spark, d, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("order_index"), F.expr(_CELLS).alias("q"))
+    return E.rewrites(E.sheet_rows(rows, "run_id"), E.SHEETS[0], "run_id").drop("sheet", "column_name")
