@@ -124,6 +124,7 @@ SELECT p_partkey, contains(s, q) AS is_substring, cast(coalesce(m.n, 0) AS integ
 def quote_common_part(spark, d):
     """The longest part of each part's name that also stands in its description."""
     part = _table(spark, d, "part").selectExpr("p_partkey", "lower(p_name) as quote", "lower(concat(p_type, ' ', p_brand, ' ', substr(p_name, 2, 8))) as source")
+    part = part.repartition(4 * spark.sparkContext.defaultParallelism)  # a small file of short texts is one partition
     return judge.diagnosed(part).select("p_partkey", "is_substring", "match_len", "match")
 
 

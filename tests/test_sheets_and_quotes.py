@@ -5,7 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from jurata.operators import export as E
+from jurata.operators import quotes
 from jurata.operators.evidence import quoted_in
+from jurata.plans import judging_queries
 
 
 def test_sheet_rows_of_runs(spark):
@@ -26,3 +28,17 @@ def test_quotes_in_long_tokens(spark):
     quotes = [junk[7_000:8_000], junk[13_000:14_000], "a" * 1_000, "a" * 6_000, "b", "e two", "one t", " " * 1_500, " " * 13, " ", "", "x " + junk[:40], "zzz", junk[5:17], junk[5:16]]
     got = quoted_in(spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"), spark.createDataFrame(texts, "doc_id int, text string"))
     assert sorted(map(tuple, got.select(F.col("quote_id"), F.col("doc_id")).collect())) == sorted((i, d) for i, q in enumerate(quotes) for d, t in texts if t is not None and q in t)
+
+
+def test_short_texts_need_no_hashes(spark, monkeypatch):
+    """Short pairs are compared without the table of hashes, and a small file's rows go to all tasks."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abc") for _ in range(n))
+    pairs = [(text(r.randint(1, 25)), text(r.randint(1, 35))) for _ in range(200)]
+    hashed = [(quotes.longest_common(a, b), quotes.similarity(a, b)) for a, b in pairs]
+    monkeypatch.setattr(quotes, "_SHORT", 0)
+    assert [(quotes.longest_common(a, b), quotes.similarity(a, b)) for a, b in pairs] == hashed
+    monkeypatch.undo()
+    monkeypatch.setattr(quotes, "_Hashes", None)
+    assert [quotes.longest_common(a, b) for a, b in pairs] == [h[0] for h in hashed]
+    assert judging_queries.QUERIES["quote_common_part"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
