@@ -13,7 +13,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -156,41 +159,84 @@ def attempt_budget(requests: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
     return requests.select("record_key", "stage", "seq").groupBy("record_key").transformWithStateInPandas(statefulProcessor=_Budget(most), outputStructType="record_key string, seq long, stage string, attempt_no int, outcome string", outputMode="Append", timeMode="None")
 
 
-#: Parts that a gated queue keeps its waiting jobs in.
-SHARDS = 64
+#: Parts that a gated queue keeps its waiting jobs in, and jobs that stand together in its state or go out together.
+SHARDS, _TOGETHER = 64, 5000
 _JOB = "job_id string, run_id string, kind string, created_at timestamp, seq long"
+#: What a part knows of a job: created_at in microseconds.
+_KNOWN = {"job_id": pa.string(), "run_id": pa.string(), "kind": pa.string(), "created": pa.int64(), "seq": pa.int64()}
+_LISTS = "job_id array<string>, run_id array<string>, kind array<string>, created array<bigint>, seq array<bigint>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a gate (seq, closes) as one value a batch: all numbers, then a byte for each that says whether it closes."""
+    for batch in batches:
+        if batch.num_rows:
+            seq, closes = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("seq", "closes"))
+            yield pa.RecordBatch.from_arrays([pa.array([seq.astype(np.int64).tobytes() + closes.astype(bool).tobytes()], pa.binary())], ["turns"])
+
+
+def _unpacked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(seq, closes) of packed events in the order of seq."""
+    n = [len(p) // 9 for p in packs]
+    seq = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64, k) for p, k in zip(packs, n, strict=True))])
+    closes = np.concatenate([np.zeros(0, bool), *(np.frombuffer(p, bool, k, 8 * k) for p, k in zip(packs, n, strict=True))])
+    order = np.argsort(seq, kind="stable")
+    return seq[order], closes[order]
 
 
 class _Gate(StatefulProcessor):
-    """The waiting jobs of one part of a queue, and whether its gate is closed."""
+    """The waiting jobs of one part of a queue, and whether its gate is closed.
+
+    Waiting jobs are kept _TOGETHER at a time under numbers of their own: a list would be read again for each job added.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.closed = handle.getValueState("closed", "yes boolean")
-        self.held = handle.getListState("held", _JOB)
+        self.closed = handle.getValueState("closed", "yes boolean, n long")
+        self.held = handle.getMapState("held", "no long", _LISTS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """Events in their order: exports pass always, other jobs while the gate is open; it lets out in order when it opens."""
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")  # what a micro-batch has for this part
-        closed = bool(self.closed.get()[0]) if self.closed.exists() else False
-        held, fresh, out = None, [], []
-        for e in events.itertuples(index=False):
-            if e.gate is not None and e.gate == e.gate:
-                closed = e.gate == "pause"
-                if not closed:
-                    held = [*self.held.get()] if held is None else held
-                    waiting = sorted([*held, *fresh], key=lambda j: (j[3], j[0]))
-                    out += [(j[0], j[1], j[2], int(j[4]), int(e.seq), True) for j in waiting]
-                    held, fresh = [], []
-            elif closed and e.kind != "export":
-                fresh.append((e.job_id, e.run_id, e.kind, e.created_at.to_pydatetime(), int(e.seq)))
-            else:
-                out.append((e.job_id, e.run_id, e.kind, int(e.seq), int(e.seq), False))
-        self.closed.update((closed,))
-        if held is not None:
+        packs: list[bytes] = []
+        came: dict[str, list[pa.Array]] = {n: [pa.array([], t)] for n, t in _KNOWN.items()}
+        for frame in rows:  # what a micro-batch has for this part
+            turn = frame["turns"].notna()
+            packs += frame["turns"][turn].tolist()
+            own = frame[~turn]
+            for n, t in _KNOWN.items():
+                came[n].append(pa.array(own[n], t, from_pandas=True))
+        jobs = pa.table({n: pa.chunked_array(came.pop(n)).combine_chunks() for n in _KNOWN})
+        at, closes = _unpacked(packs)
+        closed, n = self.closed.get() if self.closed.exists() else (False, 0)
+
+        seq = jobs["seq"].to_numpy()
+        shut = np.concatenate(([closed], closes))[np.searchsorted(at, seq, "right")]
+        waits = shut & ~pc.fill_null(pc.equal(jobs["kind"], "export"), False).to_numpy(zero_copy_only=False)
+        opens = at[~closes]
+        turn = np.searchsorted(opens, seq, "right")  # the event that opens the gate next
+        stays = waits & (turn == len(opens))
+        by = np.where(waits, np.append(opens, 0)[turn], seq)
+        fresh = np.flatnonzero(stays)
+
+        if len(opens) and n:  # jobs from before go out first of all
+            before = [v for _, v in self.held.iterator()]
             self.held.clear()
-        for j in fresh:
-            self.held.appendValue(j)
-        yield pd.DataFrame(out, columns=["job_id", "run_id", "kind", "seq", "released_by", "was_held"])
+            old = pa.table({c: pa.chunked_array([pa.array(list(v[i]), t) for v in before]) for i, (c, t) in enumerate(_KNOWN.items())})
+            jobs, n = pa.concat_tables([jobs, old]), 0
+            more = np.ones(len(old), bool)
+            stays, waits, by = np.append(stays, ~more), np.append(waits, more), np.append(by, np.full(len(old), opens[0]))
+        for start in range(0, len(fresh), _TOGETHER):
+            some = jobs.take(pa.array(fresh[start : start + _TOGETHER]))
+            self.held.updateValue((n,), tuple(some[c].to_pylist() for c in _KNOWN))
+            n += 1
+        self.closed.update((bool(closes[-1]) if len(closes) else bool(closed), n))
+
+        goes = np.flatnonzero(~stays)
+        order = pc.sort_indices(pa.table({"by": by[goes], "created": jobs["created"].take(goes), "job_id": jobs["job_id"].take(goes)}), [(c, "ascending") for c in ("by", "created", "job_id")])
+        goes = goes[order.to_numpy()]
+        jobs = jobs.select(["job_id", "run_id", "kind", "seq"]).combine_chunks()
+        for start in range(0, len(goes), _TOGETHER):
+            some = goes[start : start + _TOGETHER]
+            yield jobs.take(pa.array(some)).to_pandas().assign(released_by=by[some], was_held=waits[some])
 
     def close(self) -> None:
         pass
@@ -202,19 +248,22 @@ def gated(jobs: DataFrame, gate: DataFrame, shards: int = SHARDS) -> DataFrame:
     jobs are (job_id, run_id, kind, created_at, seq), gate is a stream (seq, gate) of `pause` and `resume`. Events count in
     the order of seq, which must grow from micro-batch to micro-batch. While the gate is closed all jobs but exports wait
     in the state store, and a restart keeps them; a resume lets them out by (created_at, job_id), each run's in one task.
-    Runs are dealt to `shards` parts, each of which gets every event of the gate: there is no single task for all. A part
-    holds a micro-batch's events and, when the gate opens, its waiting jobs in memory.
+    Runs are dealt to `shards` parts, each of which gets every event of the gate, packed (9 bytes each): there is no single
+    task for all. A part holds a micro-batch's events and, when the gate opens, its waiting jobs in memory, as columns.
     """
     jobs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    own = jobs.select(F.pmod(F.xxhash64("run_id"), F.lit(shards)).cast("int").alias("shard"), "job_id", "run_id", "kind", "created_at", "seq", F.lit(None).cast("string").alias("gate"))
-    none = [F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in _JOB.split(", ")) if n != "seq"]
-    turns = gate.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *none, "seq", "gate")
+    own = jobs.select(F.pmod(F.xxhash64("run_id"), F.lit(shards)).cast("int").alias("shard"), "job_id", "run_id", "kind", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"), "seq", F.lit(None).cast("binary").alias("turns"))
+    packs = gate.where("gate is not null").select("seq", (F.col("gate") == "pause").alias("closes")).mapInArrow(_packed, "turns binary")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("job_id", "string"), ("run_id", "string"), ("kind", "string"), ("created", "long"), ("seq", "long"))]
+    turns = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *none, "turns")
     return own.unionByName(turns).groupBy("shard").transformWithStateInPandas(statefulProcessor=_Gate(), outputStructType="job_id string, run_id string, kind string, seq long, released_by long, was_held boolean", outputMode="Append", timeMode="None")
 
 
 def held_jobs(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(job_id, run_id, kind, created_at, seq) of the jobs that wait in a gated queue, read from its state."""
-    return spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("list_element.*")
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint).select("user_map_value.*")
+    each = state.select(F.inline(F.arrays_zip("job_id", "run_id", "kind", "created", "seq")))
+    return each.select("job_id", "run_id", "kind", F.timestamp_micros("created").alias("created_at"), "seq")
 
 
 def used_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
