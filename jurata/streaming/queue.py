@@ -175,13 +175,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([seq.astype(np.int64).tobytes() + closes.astype(bool).tobytes()], pa.binary())], ["turns"])
 
 
-def _unpacked(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(seq, closes) of packed events in the order of seq."""
-    n = [len(p) // 9 for p in packs]
-    seq = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64, k) for p, k in zip(packs, n, strict=True))])
-    closes = np.concatenate([np.zeros(0, bool), *(np.frombuffer(p, bool, k, 8 * k) for p, k in zip(packs, n, strict=True))])
+def _unpacked(packs: list[bytes], closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(seq, closes) of those packed events that turn the gate, in the order of seq; the packs are used up."""
+    n = sum(map(len, packs)) // 9
+    seq, closes, end = np.empty(n, np.int64), np.empty(n, bool), 0
+    while packs:
+        pack = packs.pop(0)
+        k = len(pack) // 9
+        seq[end : end + k], closes[end : end + k] = np.frombuffer(pack, np.int64, k), np.frombuffer(pack, bool, k, 8 * k)
+        end += k
     order = np.argsort(seq, kind="stable")
-    return seq[order], closes[order]
+    closes = closes[order]
+    turns = np.flatnonzero(closes != np.concatenate(([closed], closes[:-1]))) if n else order
+    return seq[order[turns]], closes[turns]
 
 
 class _Gate(StatefulProcessor):
@@ -205,8 +211,8 @@ class _Gate(StatefulProcessor):
             for n, t in _KNOWN.items():
                 came[n].append(pa.array(own[n], t, from_pandas=True))
         jobs = pa.table({n: pa.chunked_array(came.pop(n)).combine_chunks() for n in _KNOWN})
-        at, closes = _unpacked(packs)
         closed, n = self.closed.get() if self.closed.exists() else (False, 0)
+        at, closes = _unpacked(packs, bool(closed))
 
         seq = jobs["seq"].to_numpy()
         shut = np.concatenate(([closed], closes))[np.searchsorted(at, seq, "right")]
@@ -216,12 +222,13 @@ class _Gate(StatefulProcessor):
         stays = waits & (turn == len(opens))
         by = np.where(waits, np.append(opens, 0)[turn], seq)
         fresh = np.flatnonzero(stays)
+        del seq, shut, turn
 
         if len(opens) and n:  # jobs from before go out first of all
             before = [v for _, v in self.held.iterator()]
             self.held.clear()
             old = pa.table({c: pa.chunked_array([pa.array(list(v[i]), t) for v in before]) for i, (c, t) in enumerate(_KNOWN.items())})
-            jobs, n = pa.concat_tables([jobs, old]), 0
+            jobs, n = pa.concat_tables([jobs, old]).combine_chunks(), 0
             more = np.ones(len(old), bool)
             stays, waits, by = np.append(stays, ~more), np.append(waits, more), np.append(by, np.full(len(old), opens[0]))
         for start in range(0, len(fresh), _TOGETHER):
@@ -233,7 +240,8 @@ class _Gate(StatefulProcessor):
         goes = np.flatnonzero(~stays)
         order = pc.sort_indices(pa.table({"by": by[goes], "created": jobs["created"].take(goes), "job_id": jobs["job_id"].take(goes)}), [(c, "ascending") for c in ("by", "created", "job_id")])
         goes = goes[order.to_numpy()]
-        jobs = jobs.select(["job_id", "run_id", "kind", "seq"]).combine_chunks()
+        jobs = jobs.select(["job_id", "run_id", "kind", "seq"])
+        del order
         for start in range(0, len(goes), _TOGETHER):
             some = goes[start : start + _TOGETHER]
             yield jobs.take(pa.array(some)).to_pandas().assign(released_by=by[some], was_held=waits[some])

@@ -220,6 +220,55 @@ def test_gated_queue(spark, tmp_path):
     assert held() == [("f", "r3", "classify", 10)]
 
 
+def test_gate_in_memory_and_state():
+    """A part of a queue packs the gate's events, keeps waiting jobs in few values and lets them out as loops would."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from jurata.streaming import queue as S
+
+    class Kept:
+        def __init__(self):
+            self.v, self.calls = {}, 0
+
+        exists, get, clear, iterator = lambda s: 0 in s.v, lambda s: s.v[0], lambda s: s.v.clear(), lambda s: iter([*s.v.items()])
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.v[k], self.calls = v, self.calls + 1
+
+        def update(self, v):
+            self.v[0] = v
+
+    r, part = random.Random(5), S._Gate()
+    part.closed, part.held = Kept(), Kept()
+    closed, waiting, seq = False, [], 0
+    for size in (3000, 1, 0, 20_000, 12_000):
+        jobs, turns, want = [], [], []
+        for _ in range(size):
+            seq += 1
+            if r.random() < 0.001 * (size < 15_000):
+                closed = r.random() < 0.6
+                turns.append((seq, closed))
+                if not closed:
+                    want += [(j[0], seq, True) for j in sorted(waiting, key=lambda j: (j[3], j[0]))]
+                    waiting = []
+            else:
+                jobs.append((f"j{seq}", "r", r.choice(["classify", "export"]), r.randint(0, 50), seq))
+                if closed and jobs[-1][2] != "export":
+                    waiting.append(jobs[-1])
+                else:
+                    want.append((jobs[-1][0], seq, False))
+        batch = pa.RecordBatch.from_pandas(pd.DataFrame(turns, columns=["seq", "closes"]).astype({"seq": "int64", "closes": bool}), preserve_index=False)
+        packs = [x for p in S._packed(iter([batch])) for x in p.column(0).to_pylist()]
+        assert sum(map(len, packs)) == 9 * len(turns)
+        frames = [pd.DataFrame(jobs, columns=list(S._KNOWN)).assign(turns=None), pd.DataFrame({n: [None] * len(packs) for n in S._KNOWN} | {"turns": packs})]
+        out = [*part.handleInputRows((0,), iter(frames), None)] if size else []
+        got = [row for o in out for row in zip(o["job_id"], o["released_by"].tolist(), o["was_held"].tolist(), strict=True)]
+        assert got == want
+    assert part.held.calls < 60 and np.sum([len(v[0]) for v in part.held.v.values()]) == len(waiting)
+
+
 def test_used_attempts(spark, tmp_path):
     from jurata.streaming import queue as S
 
