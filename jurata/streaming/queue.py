@@ -281,33 +281,60 @@ def used_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 class _First(StatefulProcessor):
-    """The first row of each key: of those that arrive together the one with the least order."""
+    """The first row of each key of those that come one to a micro-batch; keys are forgotten after `ttl` milliseconds."""
 
-    def __init__(self, names: list[str], order: str, ttl: int | None):
-        self.names, self.order, self.ttl = names, order, ttl
+    def __init__(self, names: list[str], ttl: int):
+        self.names, self.ttl = names, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "yes boolean", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for frame in rows:
-            least = frame.nsmallest(1, self.order)
-            if best is None or least[self.order].iloc[0] < best[self.order].iloc[0]:
-                best = least
-        if not self.seen.exists() and best is not None:
+        if not self.seen.exists():
             self.seen.update((True,))
-            yield best[self.names]
+            yield next(frame for frame in rows if len(frame))[self.names]
 
     def close(self) -> None:
         pass
 
 
+#: Rows that are kept besides the least ones before these are looked for again.
+_REDUCED = 50_000
+
+
+def _least(keys: list[str], order: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The row of each key with the least order, of all batches of a task."""
+
+    def reduced(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [(order, "ascending")]))  # nulls last
+        first = rows.select(keys).append_column("_row", pa.array(np.arange(len(rows)))).group_by(keys, use_threads=False).aggregate([("_row", "min")])
+        return rows.take(first["_row_min"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, more = None, []
+        for batch in batches:
+            more.append(batch)
+            if sum(b.num_rows for b in more) > max(_REDUCED, len(kept or ())):
+                kept, more = reduced(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(more)])), []
+        if more:
+            kept = reduced(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(more)]))
+        if kept:
+            yield from kept.combine_chunks().to_batches(10_000)
+
+    return run
+
+
 def first_events(events: DataFrame, keys: list[str], order: str = "seq", hours: int | None = None) -> DataFrame:
-    """The first event of each key, by `order` among those of a micro-batch: automatic exports, idempotency keys. Keys are forgotten after `hours`, if given."""
+    """The first event of each key, by `order` among those of a micro-batch: automatic exports, idempotency keys. Keys are forgotten after `hours`, if given.
+
+    The events of a key meet in a task, which keeps the least of a micro-batch's; Spark's own deduplication keeps the keys.
+    Keys are columns of plain types; a task holds as many rows as it has keys in a micro-batch.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    first = _First(events.columns, order, hours * 3_600_000 if hours else None)
-    return events.groupBy(*keys).transformWithStateInPandas(statefulProcessor=first, outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime" if hours else "None")
+    least = events.repartition(*keys).mapInArrow(_least(keys, order), events.schema)
+    if not hours:
+        return least.dropDuplicates(keys)
+    return least.groupBy(*keys).transformWithStateInPandas(statefulProcessor=_First(events.columns, hours * 3_600_000), outputStructType=events.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
 def revisions(events: DataFrame) -> DataFrame:

@@ -269,6 +269,36 @@ def test_gate_in_memory_and_state():
     assert part.held.calls < 60 and np.sum([len(v[0]) for v in part.held.v.values()]) == len(waiting)
 
 
+def test_first_events(spark, tmp_path):
+    """The first of each key, the least of a micro-batch's, none that was there in an earlier one; null keys are keys."""
+    from jurata.streaming import queue as S
+
+    schema, src = "k string, n int, seq long, v string", f"{tmp_path}/in"
+    run = lambda: sorted(map(str, map(tuple, S.to_table(spark, S.first_events(spark.readStream.schema(schema).parquet(src), ["k", "n"]), f"{tmp_path}/t", "f").collect())))
+    add = lambda rows: spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(src)
+    add([("a", 1, 9, "late"), ("a", 1, 2, "first"), ("a", 2, 5, "x"), (None, None, 8, "none"), (None, None, 7, "null"), ("b", None, 1, "b")])
+    once = sorted(map(str, [("a", 1, 2, "first"), ("a", 2, 5, "x"), (None, None, 7, "null"), ("b", None, 1, "b")]))
+    assert run() == once
+    add([("a", 1, 1, "too late"), (None, None, 1, "y"), ("c", 1, 4, "c2"), ("c", 1, 3, "c1")])
+    assert run() == sorted([*once, str(("c", 1, 3, "c1"))])
+    plan = S.first_events(spark.readStream.schema(schema).parquet(src), ["k", "n"])._jdf.queryExecution().logical().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan  # no call of Python per key
+
+
+def test_first_rows_of_many_batches(monkeypatch):
+    import pyarrow as pa
+
+    from jurata.streaming import queue as S
+
+    monkeypatch.setattr(S, "_REDUCED", 50)
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([1, 2, None]), i) for i in r.sample(range(2000), 2000)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip("kns", x, strict=True)) for x in rows[i : i + 30]], pa.schema([("k", pa.string()), ("n", pa.int64()), ("s", pa.int64())])) for i in range(0, 2000, 30)]
+    want = {(k, n): min(s for a, b, s in rows if (a, b) == (k, n)) for k, n, _ in rows}
+    got = [tuple(x.values()) for b in S._least(["k", "n"], "s")(iter(batches)) for x in b.to_pylist()]
+    assert len(got) == len(want) and {(k, n): s for k, n, s in got} == want and [*S._least(["k"], "s")(iter([]))] == []
+
+
 def test_used_attempts(spark, tmp_path):
     from jurata.streaming import queue as S
 
