@@ -10,11 +10,10 @@ path is not what the model means, so there each step of the fold takes the edge
 equals, whose two ends are borders with one border between them, and removes that border: the model's own merges.
 The set of borders is a 64-bit mask; units of more than UNIT characters are merged in a vectorised UDF.
 
-Units repeat, so the lattice is walked once for each of the COMMON most frequent units of a bounded sample of documents,
-and their ids (a table of bounded size) go to all tasks; a task walks the same lattice for a unit that isn't among them
-and keeps it while it fits. The ids of every document are decoded again in the task, from the whole document's ids, and
-compared with its text; decoded() is the same for ids in a table, by joins. The sample decides only where a unit is walked, never its ids. The piece table is broadcast,
-as the vocabulary bounds it.
+Units repeat, so the lattice is walked once for each distinct unit of all texts. Texts are dealt by a hash to chunks of about
+CHUNK bytes; a unit's ids go to the chunks whose texts have it, and meet these there. The ids of every document are decoded
+again in the task, from the whole document's ids, and compared with its text; decoded() is the same for ids in a table, by
+joins. The piece table is broadcast, as the vocabulary bounds it. A task holds a chunk, its units and their ids.
 
 Models with the identity normaliser, escaped white space and a dummy prefix are meant. Edge cases: a null or empty text
 has no pieces; U+2581 in a text reads as a space, as in the library; characters without a piece become byte pieces (or
@@ -24,9 +23,7 @@ the unknown piece); a null text counts as an empty one; repeated rows and null d
 from __future__ import annotations
 
 import heapq
-import uuid
-from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -46,8 +43,9 @@ _MARK = MARK.encode()
 UNIT = 60
 #: Characters of a unit from which a heap over linked parts is faster than a list.
 LONG = 200
-#: Units that the tasks get, documents they are counted in, and units a worker keeps besides.
-COMMON, SAMPLE, KEPT = 50_000, 2_000, 150_000
+#: Bytes of the texts that meet their units' ids in one task, units that a task gathers before it tells them, and units whose
+#: edges one task sorts.
+CHUNK, KEPT, DEALT = 32 << 20, 400_000, 20_000
 
 _FINE = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}\p{{Nd}}]+|{MARK}*[^\p{{L}}\p{{M}}\p{{Nd}}{MARK}]+|{MARK}+")
 _COARSE = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -100,7 +98,7 @@ class Pieces:
         return [self.bytes_[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_ else [self.unknown]
 
     def merged(self, unit: str) -> list[int]:
-        """Ids of one unit: the same merges (or path) outside the fold, for units that aren't common or are long."""
+        """Ids of one unit: the same merges (or path) outside the fold, for long units."""
         n, score = len(unit), self.score
         if not self.bpe:
             best: list = [(0.0, ())] + [None] * n
@@ -233,87 +231,72 @@ def _marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def common_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit) of at most COMMON units, the most frequent of about SAMPLE documents that a hash of doc_id chooses."""
+def units_of(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, chunks) of every unit of docs (chunk, text), and the chunks whose texts have it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.chunks(batch):
-                n = Counter(u for t in part.column("text").to_pylist() if t for u in pieces.unit.findall(_marked(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
-
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    return some.select("text").mapInArrow(cut, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(COMMON).select("unit")
-
-
-class _Units(dict):
-    """Number of each unit in growing tables of ids: the common ones for good, others while they fit."""
-
-    def __init__(self, pieces: Pieces, common: list[tuple[str, list[int]]]):
-        super().__init__()
-        self.pieces, self.common, self.spelled = pieces, common, _spelled(pieces)
-        self._fill()
-
-    def _fill(self) -> None:
-        self.clear()
-        self.flat, self.first = array("i"), array("q", [0])
-        for unit, ids in self.common:
-            self._add(unit, ids)
+        find, seen = pieces.unit.findall, defaultdict(set)
 
-    def _add(self, unit: str, ids: list[int]) -> int:
-        self[unit] = n = len(self)
-        self.flat.extend(ids)
-        self.first.append(len(self.flat))
-        return n
-
-    def __missing__(self, unit: str) -> int:
-        return self._add(unit, self.pieces.merged(unit))
-
-    def room(self) -> None:
-        """Between texts: starts afresh when the others are too many."""
-        if len(self) > len(self.common) + KEPT or len(self.flat) > 8 * (len(self.common) + KEPT):
-            self._fill()
+        def told() -> Iterator[pa.RecordBatch]:
+            units = list(seen)
+            for at in range(0, len(units), 10_000):
+                some = units[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([[*seen[u]] for u in some], pa.list_(pa.int32()))], ["unit", "chunks"])
+            seen.clear()
 
+        for batch in batches:
+            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for unit in set(find(_marked(text))) if text else ():
+                    seen[unit].add(chunk)
+            if len(seen) > KEPT:
+                yield from told()
+        yield from told()
 
-_workers: dict[str, _Units] = {}
+    rows = docs.mapInArrow(cut, "unit string, chunks array<int>")
+    return rows.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
 
 
 def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip, exact) of every text, whose ids are decoded again: round_trip says that this gives the text as the model reads it (U+2581 is a space), exact that it gives the very text."""
     spark = docs.sparkSession
     bound_batches(spark)
-    common = [(r["unit"], list(r["ids"])) for r in unit_ids(common_units(docs, pieces), pieces).collect()]  # at most COMMON rows
-    sent, key = spark.sparkContext.broadcast((pieces, common)), uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = _Units(*sent.value)
-        table, find = _workers[key], sent.value[0].unit.findall
-        for batch in batches:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    chunks = size // CHUNK + 1
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    units = written(units_of(docs.select("chunk", "text"), pieces), "units")
+    # Edges meet where their unit was dealt to, so few units at a time are sorted in memory.
+    ids = written(unit_ids(units.select("unit").repartition(units.count() // DEALT + 1, "unit"), pieces), "unit_ids")
+    known = units.join(ids, "unit").select(F.explode("chunks").alias("chunk"), "unit", "ids")
+    sent = spark.sparkContext.broadcast((pieces.unit, _spelled(pieces)))
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        cut, spelled = sent.value
+        number = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
+        found = known.column("ids").combine_chunks()
+        found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])
+        first, flat = found.offsets.to_numpy(), found.values.to_numpy()
+        out = []
+        for batch in texts.combine_chunks().to_batches():
             for part in K.chunks(batch):
-                table.room()
-                units, words = [], []
-                for text in part.column("text").to_pylist():
-                    own = find(_marked(text)) if text else []
-                    words.append(len(own))
-                    units.append(np.fromiter(map(table.__getitem__, own), np.int64, len(own)))
-                first, flat = (np.frombuffer(x, t) if len(x) else np.zeros(0, t) for x, t in ((table.first, np.int64), (table.flat, np.int32)))
-                at = np.concatenate(units)
+                own = [cut.findall(_marked(t)) if t else [] for t in part.column("text").to_pylist()]
+                words = [len(o) for o in own]
+                at = np.fromiter((number[u] for o in own for u in o), np.int64, sum(words))
                 begin, n = first[at], first[at + 1] - first[at]
                 ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                row = np.repeat(np.arange(part.num_rows), words)
-                per = np.bincount(row, n, part.num_rows).astype(np.int64)
-                del first, flat  # the tables can't grow while they are looked at
+                per = np.bincount(np.repeat(np.arange(part.num_rows), words), n, part.num_rows).astype(np.int64)
                 ends = np.cumsum(per).tolist()
-                back = [_read(ids[a:b].tolist(), table.spelled) for a, b in zip([0, *ends], ends, strict=False)]
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                exact = [a == b for a, b in zip(back, texts, strict=True)]
-                trip = [e or a == b.replace(_MARK, b" ") for e, a, b in zip(exact, back, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(per), K.lists(per, ids, pa.int32()), pa.array(trip, pa.bool_()), pa.array(exact, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip", "exact"])
+                back = [_read(ids[a:b].tolist(), spelled) for a, b in zip([0, *ends], ends, strict=False)]
+                read = [(t or "").encode() for t in part.column("text").to_pylist()]
+                exact = [a == b for a, b in zip(back, read, strict=True)]
+                trip = [e or a == b.replace(_MARK, b" ") for e, a, b in zip(exact, back, read, strict=True)]
+                out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(per), K.lists(per, ids, pa.int32()), pa.array(trip, pa.bool_()), pa.array(exact, pa.bool_())], _OUT.names))
+        return pa.Table.from_batches(out, _OUT)
+
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean, exact boolean")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean, exact boolean")
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("exact", pa.bool_())])
 
 
 def decoded(rows: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "text") -> DataFrame:

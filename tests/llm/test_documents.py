@@ -271,6 +271,22 @@ def test_pieces_decoded(spark, monkeypatch):
     assert [r.doc_id for r in got.collect() if r.round_trip or r.exact] == [4, 5]
 
 
+def test_every_unit_goes_through_the_lattice(spark, monkeypatch):
+    """Ids of rare units come from the lattice too, in whatever chunk their text is."""
+    import public_tokenizers as P
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    pieces, model = sentencepieces.Pieces.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentencepieces, "CHUNK", 300)
+    monkeypatch.setattr(sentencepieces, "KEPT", 5)
+    monkeypatch.setattr(sentencepieces.Pieces, "merged", None)  # no way beside the lattice
+    texts = [f"rare{i}word common zq{i * i}x, \u4e2d{i}" for i in range(60)] + ["", None, "common", "common"]
+    got = sentencepieces.encoded(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), pieces).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: model.encode(t or "") for i, t in enumerate(texts)} and all(r.exact for r in got)
+
+
+
 def test_viterbi(spark):
     """A unigram model: the best-scored path, against all paths."""
     rows = ((3, "▁", -2.0), (4, "a", -3.0), (5, "b", -3.5), (6, "ab", -4.0), (7, "▁a", -4.5), (8, "ba", -3.9), (9, "aba", -9.0))
