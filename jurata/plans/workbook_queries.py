@@ -5,9 +5,9 @@ A source of documents is a file; a document is a row of it, in the order of doc_
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
 from ..schemas import GOLD_COLUMNS, GOLD_META, INPUT_COLUMNS, LABELS
 from ..sources import workbook as B
 from .state_queries import _table
@@ -26,7 +26,8 @@ def query(sql: str):
 
 def _sheet(spark, d, columns: dict):
     """Cells of the given columns (name -> (kind, value) of a document) below a header, a file per source and kind of defect."""
-    docs = _table(spark, d, "documents").where("source is not null").withColumn("row", F.row_number().over(W.partitionBy("source").orderBy("doc_id")) + 1)
+    docs = numbered(_table(spark, d, "documents").select("doc_id", "source", "lang", "text").where("source is not null"), ["source"], ["doc_id"], "row")
+    docs = docs.withColumn("row", (F.col("row") + 1).cast("int"))
     cell = lambda i, kind, value: F.struct(F.lit(i).alias("col"), kind.alias("kind"), value.cast("string").alias("value"))
     body = docs.select(F.col("source").alias("file"), "row", F.explode(F.array(*[cell(i, k, v) for i, (k, v) in enumerate(columns.values(), 1)])).alias("c"))
     head = docs.select("source").distinct().select(F.col("source").alias("file"), F.lit(1).alias("row"), F.explode(F.array(*[cell(i, F.lit("s"), F.lit(n)) for i, n in enumerate([*columns, "q"], 1)])).alias("c"))

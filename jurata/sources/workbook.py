@@ -1,6 +1,6 @@
 """Checks of input batches and gold sets over a table of cells (as the xlsx source gives them).
 
-Works on many files at once: every step is keyed by file, and a file's rows are bounded by contract.
+Works on many files at once: steps are keyed by file and row (or id), so a file of any length is dealt to all tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.ranks import kept, numbered
 from ..schemas import GOLD_COLUMNS, GOLD_META, ID, INPUT_COLUMNS, LABELS, REFS, A, Q
 
 # Sheet that is preferred, and the reasons a cell can't be read.
@@ -71,36 +72,35 @@ def unreadable(kind: Column, value: Column, cached: Column) -> Column:
     return F.when(kind == "f", formula).when((kind == "e") | X.is_error_value(value), F.concat(F.lit(_CELL_ERROR), X.strip(value)))
 
 
-def _laid(cells: DataFrame) -> DataFrame:
-    """(file, row, cells, header): each row's cells (col, kind, text, why) with its file's header (col, name) in order, one pass over the cells.
-
-    A file's rows meet in one task; they are bounded by contract.
-    """
+def _laid(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, row, col, kind, text, why) of every cell, and the files' headers (file, header) as (col, name) in order, which are written: the cells' first rows are read by themselves."""
     kind, used = _shown(cells)
     why = unreadable(F.col("kind"), F.col("value"), F.col("cached"))
     each = cells.select("file", "row", "col", kind.alias("shown"), used.alias("used"), why.alias("why"))
     # A header cell is named by what it shows, whatever it says.
-    each = each.select("file", "row", F.struct("col", F.col("shown").alias("kind"), F.when(F.col("why").isNull() | (F.col("row") == 1), X.cell_to_text(F.col("shown"), F.col("used"))).alias("text"), "why").alias("cell"))
-    rows = each.repartition("file").groupBy("file", "row").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
-    names = F.filter("cells", lambda c: c["text"].isNotNull())
-    return rows.withColumn("header", F.max(F.when(F.col("row") == 1, F.transform(names, lambda c: F.struct(c["col"].alias("col"), c["text"].alias("name"))))).over(W.partitionBy("file")))
+    each = each.select("file", "row", "col", F.col("shown").alias("kind"), F.when(F.col("why").isNull() | (F.col("row") == 1), X.cell_to_text(F.col("shown"), F.col("used"))).alias("text"), "why")
+    names = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("col", F.col("text").alias("name")))))
+    return each, kept(each.where("row = 1").groupBy("file").agg(names.alias("header")), "headers")
 
 
-def _named(laid: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All rows with `named` (cells below a name), the columns' texts, why map and numeric_id."""
-    firsts = F.filter("header", lambda h, i: ~F.exists(F.slice(F.col("header"), F.lit(1), i), lambda g: g["name"] == h["name"]))
-    of = lambda c: F.try_element_at(F.filter("firsts", lambda h: h["col"] == c["col"]), F.lit(1))["name"]
-    named = F.filter(F.transform("cells", lambda c: F.struct(of(c).alias("name"), c["text"].alias("text"), c["why"].alias("why"), c["kind"].alias("kind"))), lambda c: c["name"].isNotNull())
-    rows = laid.withColumn("firsts", firsts).select("file", "row", "header", F.coalesce(named, F.array()).alias("named"))
-    cell = lambda name: F.try_element_at(F.filter("named", lambda c: c["name"] == name), F.lit(1))
-    numeric = F.coalesce(cell(ID)["kind"] == "n", F.lit(False))
-    reasons = F.map_from_entries(F.transform(F.filter("named", lambda c: c["why"].isNotNull()), lambda c: F.struct(c["name"], c["why"])))
-    return rows.select("file", F.col("row").alias("source_row"), *[cell(c)["text"].alias(c) for c in columns], reasons.alias("why"), numeric.alias("numeric_id"), "header", F.size("named").alias("named"))
+def _named(laid: tuple[DataFrame, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """All rows with the columns' texts, why map, numeric_id and the number of cells below a name (the first of equal names).
+
+    Each cell gets its name by a join and meets its row alone, so a file's rows are dealt to all tasks.
+    """
+    each, header = laid
+    first = header.select(F.col("file").alias("_file"), F.explode("header").alias("h")).groupBy("_file", F.col("h.name").alias("name")).agg(F.min("h.col").alias("_col"))
+    each = each.join(first, each["file"].eqNullSafe(F.col("_file")) & (F.col("col") == F.col("_col")), "left").select("file", "row", "col", "kind", "text", "why", "name")
+    cell = lambda name: F.min(F.when(F.col("name") == name, F.struct("kind", "text", "why")))
+    reasons = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull() & F.col("why").isNotNull(), F.struct("col", "name", "why"))))
+    rows = each.repartition("file", "row").groupBy("file", "row").agg(*[cell(c).alias(f"_{i}") for i, c in enumerate(columns)], cell(ID).alias("_id"), reasons.alias("_why"), F.count("name").cast("int").alias("named"))
+    why = F.map_from_entries(F.transform("_why", lambda c: F.struct(c["name"], c["why"])))
+    return rows.select("file", F.col("row").alias("source_row"), *[F.col(f"_{i}")["text"].alias(c) for i, c in enumerate(columns)], why.alias("why"), F.coalesce(F.col("_id")["kind"] == "n", F.lit(False)).alias("numeric_id"), "named")
 
 
 def rows_of(cells: DataFrame, columns: Sequence[str] = INPUT_COLUMNS) -> DataFrame:
     """(file, source_row, columns..., why map, numeric_id): the data rows of a sheet; blank rows between them included."""
-    return _named(_laid(cells), columns).where("source_row > 1 and named > 0").drop("header", "named")
+    return _named(_laid(cells), columns).where("source_row > 1 and named > 0").drop("named")
 
 
 def _blank(columns: Sequence[str]) -> Column:
@@ -117,24 +117,28 @@ def _reason() -> Column:
 def input_records(cells: DataFrame) -> DataFrame:
     """(file, record_id, source_row, order_index, q, a, refs, reason): records in order; reason is null for valid ones."""
     rows = rows_of(cells).where(~_blank(INPUT_COLUMNS))
-    order = F.row_number().over(W.partitionBy("file").orderBy("source_row")) - 1
-    return rows.select("file", F.col(ID).alias("record_id"), "source_row", order.alias("order_index"), Q, A, F.struct(*REFS).alias("refs"), _reason().alias("reason"), "numeric_id")
+    rows = rows.select("file", F.col(ID).alias("record_id"), "source_row", Q, A, F.struct(*REFS).alias("refs"), _reason().alias("reason"), "numeric_id")
+    rows = numbered(rows, ["file"], ["source_row"], "order_index")
+    return rows.select("file", "record_id", "source_row", (F.col("order_index") - 1).cast("int").alias("order_index"), Q, A, "refs", "reason", "numeric_id")
 
 
 def precheck(cells: DataFrame, max_records: int = 1000) -> DataFrame:
     """(file, status, total, valid, input_invalid, skipped_blank_rows, blockers, warnings): a report per file.
 
     Header problems block with null counts, missing columns before repeated ones; then repeated ids, too many records and
-    no valid record block with their counts. The cells are read once and shuffled once, by file.
+    no valid record block with their counts. The cells are read once besides the first rows and shuffled once, by row.
     """
-    rows = _named(_laid(cells), INPUT_COLUMNS)
-    rows = rows.select("file", "source_row", "header", ((F.col("source_row") > 1) & (F.col("named") > 0) & ~_blank(INPUT_COLUMNS)).alias("record"), F.col(ID).alias("id"), _reason().alias("reason"), "numeric_id")
-    same = F.count_if("record").over(W.partitionBy("file", "id"))
+    laid = _laid(cells)
+    rows = _named(laid, INPUT_COLUMNS)
+    rows = rows.select("file", "source_row", ((F.col("source_row") > 1) & (F.col("named") > 0) & ~_blank(INPUT_COLUMNS)).alias("record"), F.col(ID).alias("id"), _reason().alias("reason"), "numeric_id")
+    # Rows without an id repeat none: each by itself.
+    same = F.count_if("record").over(W.partitionBy("file", "id", F.when(F.col("id").isNull(), F.col("source_row"))))
     df = rows.withColumn("again", F.col("record") & F.col("id").isNotNull() & (same > 1)).groupBy("file").agg(
-        F.transform(F.max("header"), lambda h: h["name"]).alias("names"),
         F.count_if("record").alias("n"), F.count_if(F.col("record") & F.col("reason").isNull()).alias("good"), F.bool_or(F.col("record") & F.col("numeric_id")).alias("numeric"),
         F.bool_or("again").alias("again"), F.coalesce(F.max(F.when(F.col("source_row") > 1, F.col("source_row"))) - 1, F.lit(0)).alias("rows"),
     )
+    names = laid[1].select(F.col("file").alias("_file"), F.transform("header", lambda h: h["name"]).alias("names"))
+    df = df.join(names, df["file"].eqNullSafe(F.col("_file")), "left")
     there = F.coalesce(F.size("names"), F.lit(0)) > 0
     missing, repeated = F.size(F.array_except(F.array(*map(F.lit, INPUT_COLUMNS)), "names")) > 0, F.size("names") > F.size(F.array_distinct("names"))
     code = F.when(there & missing, "MISSING_COLUMNS").when(there & repeated, "DUPLICATE_COLUMNS")
@@ -168,7 +172,8 @@ def gold_rows(cells: DataFrame) -> DataFrame:
     df = rows.withColumn("problems", F.array_compact(F.array(*problems))).withColumn("key_refs", refs).withColumn("excluded", excluded)
     df = df.withColumn("warnings", F.array_compact(F.array(F.when(~excluded & c(judged).isin(*LABELS) & c(why).isNull(), "GOLD_REASON_MISSING"))))
     good = F.size("problems") == 0
-    seen = F.row_number().over(W.partitionBy("file", ID, good).orderBy("source_row"))
+    # Rows with problems aren't counted: each by itself.
+    seen = F.row_number().over(W.partitionBy("file", ID, F.when(~good, F.col("source_row"))).orderBy("source_row"))
     return df.withColumn("problems", F.when(good & (seen > 1), F.array(F.lit("GOLD_ID_DUPLICATE"))).otherwise(F.col("problems")))
 
 
