@@ -60,13 +60,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/jurata/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table of its own in the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Has Spark delete the shuffle files of a query once that has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes df as a table of its own in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    tidy has the shuffle files of the writing deleted after it, as nothing else reads them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if (mine := _paths.get()) is not None:
         mine.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true" if tidy else was)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,6 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no merge can cross (a run of word marks with the letters and digits, or the other
-characters, after it). The distinct units are a table of their own: each is exploded into its substrings up to the
+Texts are cut into units that no merge can cross: between characters that no piece has side by side. The distinct units are a table of their own: each is exploded into its substrings up to the
 longest piece, the substrings are equi-joined to the piece table, the matches grouped by unit are the lattice's edges,
 and a fold with the higher-order function aggregate() walks the lattice.
 
@@ -11,7 +10,7 @@ equals, whose two ends are borders with one border between them, and removes tha
 The set of borders is a 64-bit mask; units of more than UNIT characters are merged in a vectorised UDF.
 
 Units repeat, so the lattice is walked once for each distinct unit of all texts. Texts are dealt by a hash to chunks of about
-CHUNK bytes; a unit's ids go to the chunks whose texts have it, and meet these there. The ids of every document are decoded
+CHUNK bytes; a unit's ids go to the chunks whose texts have it, and meet these there, both as compressed blocks of rows. The ids of every document are decoded
 again in the task, from the whole document's ids, and compared with its text; decoded() is the same for ids in a table, by
 joins. The piece table is broadcast, as the vocabulary bounds it. A task holds a chunk, its units and their ids.
 
@@ -23,15 +22,14 @@ the unknown piece); a null text counts as an empty one; repeated rows and null d
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +41,63 @@ _MARK = MARK.encode()
 UNIT = 60
 #: Characters of a unit from which a heap over linked parts is faster than a list.
 LONG = 200
-#: Bytes of the texts that meet their units' ids in one task, units that a task gathers before it tells them, and units whose
+#: Bytes of the texts that meet their units' ids in one task, pairs of unit and chunk that a task gathers before it tells them, and units whose
 #: edges one task sorts.
 CHUNK, KEPT, DEALT = 32 << 20, 400_000, 20_000
 
-_FINE = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}\p{{Nd}}]+|{MARK}*[^\p{{L}}\p{{M}}\p{{Nd}}{MARK}]+|{MARK}+")
-_COARSE = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-_LETTER = regex.compile(r"[\p{L}\p{M}\p{Nd}]")
+
+@dataclass(frozen=True)
+class Borders:
+    """Where texts are cut: codes are the characters of pieces in order, pairs the (number + 1) of characters side by side in one, as first * (size + 1) + second, in order."""
+
+    codes: np.ndarray
+    pairs: np.ndarray
+
+    @staticmethod
+    def of(pieces: list[str]) -> Borders:
+        codes = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        number = {int(c): i for i, c in enumerate(codes, 1)}
+        pairs = {number[ord(a)] * (len(codes) + 1) + number[ord(b)] for p in pieces for a, b in pairwise(p)}
+        return Borders(codes, np.array(sorted(pairs), np.int64))
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        out = np.zeros(0x110000, np.int64)
+        out[self.codes] = np.arange(1, len(self.codes) + 1)
+        return out
+
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        size = len(self.codes) + 1
+        if size > 4096:  # then the pairs are searched
+            return None
+        out = np.zeros(size * size, bool)
+        out[self.pairs] = True
+        return out
+
+    def _joined(self, code: np.ndarray) -> np.ndarray:
+        at = self.number[code]
+        pair = at[:-1] * (len(self.codes) + 1) + at[1:]
+        return self.table[pair] if self.table is not None else np.isin(pair, self.pairs)
+
+    def cut(self, marked: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Units of texts one after another, and how many each text has."""
+        text = "".join(marked)
+        if not text:
+            return pa.array([], pa.large_string()), np.zeros(len(marked), np.int64)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        first = np.concatenate(([0], np.cumsum([len(t) for t in marked])))
+        start = np.ones(len(code) + 1, bool)
+        start[1:-1] = ~self._joined(code)
+        start[first] = True
+        begin = np.flatnonzero(start[:-1])
+        ends = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800).astype(np.int64) + (code >= 0x10000))))
+        offsets = ends[np.append(begin, len(code))]
+        units = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(text.encode()))
+        return units, np.diff(np.searchsorted(begin, first))
+
+    def findall(self, marked: str) -> list[str]:
+        return self.cut([marked])[0].to_pylist()
 
 
 @dataclass(frozen=True)
@@ -76,11 +124,8 @@ class Pieces:
         return max(len(p) for _, p, _ in self.rows)
 
     @cached_property
-    def unit(self):
-        """The pattern of units: the finer one if no piece has letters next to other characters and marks only in front."""
-        mixed = any(len({bool(_LETTER.match(c)) for c in p.lstrip(MARK)}) > 1 for _, p, _ in self.rows)
-        inner = any(MARK in p.lstrip(MARK) for _, p, _ in self.rows)
-        return regex.compile(r"(?s).+") if inner else _COARSE if mixed else _FINE
+    def unit(self) -> Borders:
+        return Borders.of([p for _, p, _ in self.rows])
 
     @cached_property
     def score(self) -> dict[str, tuple[float, int]]:
@@ -233,29 +278,70 @@ def _marked(text: str) -> str:
 
 def units_of(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, chunks) of every unit of docs (chunk, text), and the chunks whose texts have it."""
+    borders = pieces.unit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = pieces.unit.findall, defaultdict(set)
+        seen: list[pa.Table] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            units = list(seen)
-            for at in range(0, len(units), 10_000):
-                some = units[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([[*seen[u]] for u in some], pa.list_(pa.int32()))], ["unit", "chunks"])
+            rows = pa.concat_tables(seen).group_by("unit", use_threads=False).aggregate([("chunk", "distinct")])
             seen.clear()
+            yield from pa.table([rows["unit"], rows["chunk_distinct"]], ["unit", "chunks"]).to_batches(10_000)
 
         for batch in batches:
-            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for unit in set(find(_marked(text))) if text else ():
-                    seen[unit].add(chunk)
-            if len(seen) > KEPT:
-                yield from told()
-        yield from told()
+            for part in K.chunks(batch):
+                units, words = borders.cut([_marked(t) for t in part.column("text").to_pylist()])
+                if not len(units):
+                    continue
+                units = units.dictionary_encode()
+                pair = pd.unique(np.repeat(part.column("chunk").to_numpy(), words).astype(np.int64) << 32 | units.indices.to_numpy())
+                unit = units.dictionary.take(pa.array(pair & 0xFFFFFFFF)).cast(pa.string())
+                seen.append(pa.table([unit, pa.array((pair >> 32).astype(np.int32))], ["unit", "chunk"]))
+                if sum(map(len, seen)) > 2 * KEPT:
+                    seen[:] = [pa.concat_tables(seen).group_by(["unit", "chunk"], use_threads=False).aggregate([])]
+                    if len(seen[0]) > KEPT:
+                        yield from told()
+        if seen:
+            yield from told()
 
     rows = docs.mapInArrow(cut, "unit string, chunks array<int>")
     return rows.groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(chunk, block): a task's rows of a chunk as compressed Arrow, some MB at a time."""
+    most = CHUNK // 2
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(some).sort_by("chunk").combine_chunks()
+            some.clear()
+            chunk = table.column("chunk").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in pairwise(at):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "block"])
+
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+            if sum(b.nbytes for b in some) > most:
+                yield from told()
+        if some:
+            yield from told()
+
+    return rows.mapInArrow(pack, "chunk int, block binary")
+
+
+def _unpacked(blocks: pa.Table) -> pa.Table | None:
+    tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blocks.column("block")]
+    return pa.concat_tables(tables) if tables else None
+
+
 def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip, exact) of every text, whose ids are decoded again: round_trip says that this gives the text as the model reads it (U+2581 is a space), exact that it gives the very text."""
     spark = docs.sparkSession
@@ -264,24 +350,25 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     chunks = size // CHUNK + 1
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
-    units = written(units_of(docs.select("chunk", "text"), pieces), "units")
+    units = written(units_of(docs.select("chunk", "text"), pieces), "units", tidy=True)
     # Edges meet where their unit was dealt to, so few units at a time are sorted in memory.
-    ids = written(unit_ids(units.select("unit").repartition(units.count() // DEALT + 1, "unit"), pieces), "unit_ids")
+    ids = written(unit_ids(units.select("unit").repartition(units.count() // DEALT + 1, "unit"), pieces), "unit_ids", tidy=True)
     known = units.join(ids, "unit").select(F.explode("chunks").alias("chunk"), "unit", "ids")
     sent = spark.sparkContext.broadcast((pieces.unit, _spelled(pieces)))
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        cut, spelled = sent.value
-        number = {u: i for i, u in enumerate(known.column("unit").to_pylist())}
-        found = known.column("ids").combine_chunks()
-        found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks or [pa.array([], pa.list_(pa.int32()))])
+        borders, spelled = sent.value
+        texts, known = _unpacked(texts), _unpacked(known)
+        number = {u: i for i, u in enumerate(known.column("unit").to_pylist())} if known else {}
+        found = known.column("ids").combine_chunks() if known else pa.array([], pa.list_(pa.int32()))
+        found = found if isinstance(found, pa.ListArray) else pa.concat_arrays(found.chunks)
         first, flat = found.offsets.to_numpy(), found.values.to_numpy()
         out = []
         for batch in texts.combine_chunks().to_batches():
             for part in K.chunks(batch):
-                own = [cut.findall(_marked(t)) if t else [] for t in part.column("text").to_pylist()]
-                words = [len(o) for o in own]
-                at = np.fromiter((number[u] for o in own for u in o), np.int64, sum(words))
+                own, words = borders.cut([_marked(t) for t in part.column("text").to_pylist()])
+                own = own.dictionary_encode()
+                at = np.array([number[u] for u in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
                 begin, n = first[at], first[at + 1] - first[at]
                 ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 per = np.bincount(np.repeat(np.arange(part.num_rows), words), n, part.num_rows).astype(np.int64)
@@ -293,7 +380,8 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(per), K.lists(per, ids, pa.int32()), pa.array(trip, pa.bool_()), pa.array(exact, pa.bool_())], _OUT.names))
         return pa.Table.from_batches(out, _OUT)
 
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean, exact boolean")
+    texts, known = _packed(docs), _packed(known)
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, "doc_id long, n_pieces long, ids array<int>, round_trip boolean, exact boolean")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("exact", pa.bool_())])

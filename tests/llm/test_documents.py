@@ -285,6 +285,19 @@ def test_every_unit_goes_through_the_lattice(spark, monkeypatch):
     got = sentencepieces.encoded(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), pieces).collect()
     assert {r.doc_id: list(r.ids) for r in got} == {i: model.encode(t or "") for i, t in enumerate(texts)} and all(r.exact for r in got)
 
+def test_units_end_where_no_piece_goes_on(spark):
+    """Characters that no piece has side by side are cut apart (fewer distinct units), and rows travel as compressed blocks."""
+    pieces = sentencepieces.Pieces(((3, "▁", -2.0), (4, "a", -3.0), (5, "1", -3.5), (6, "▁a", -4.0), (7, "b", -5.0), (8, "ab", -6.0)), (), 0, bpe=True)
+    assert pieces.unit.findall("▁ab1a▁▁ab日本b") == ["▁ab", "1", "a", "▁", "▁ab", "日", "本", "b"]
+    units, words = pieces.unit.cut(["▁é1", "", "▁a"])
+    assert units.to_pylist() == ["▁", "é", "1", "▁a"] and words.tolist() == [3, 0, 1]
+    rows = spark.createDataFrame([(i % 3, i, "same text " * 50) for i in range(3000)], "chunk int, doc_id long, text string").coalesce(2)
+    blocks = sentencepieces._packed(rows).collect()
+    assert len(blocks) == 6 and sum(len(b.block) for b in blocks) < 3000 * 500 / 10
+    import pyarrow as pa
+
+    back = sentencepieces._unpacked(pa.table([[bytes(b.block) for b in blocks]], ["block"]))
+    assert sorted(back.column("doc_id").to_pylist()) == [*range(3000)]
 
 
 def test_viterbi(spark):
